@@ -164,7 +164,8 @@ def apply_decisions(
     )
     uses = first_uses.select("token", F.col("at").alias("first_at"))
     judged = lookup_join(asked, uses, ["token"], "decision_id", "left", hot_rows)
-    judged = judged.join(states, "template_id", "left").join(closed, "template_id", "left")
+    situation = states.join(closed, "template_id", "left")
+    judged = lookup_join(judged, situation, ["template_id"], "decision_id", "left", hot_rows)
     in_time = F.col("closed_at").isNull() | (at <= F.col("closed_at"))
     token_taken = (at > F.col("first_at")) & (F.col("closed_at").isNull() | (F.col("first_at") <= F.col("closed_at")))
     outcome = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ def lookup_join(
     """Join `left` to a lookup with at most one row per key.
 
     The rows of hot keys are dealt over `SPREAD` slots, and only their lookup rows are
-    repeated per slot; all other keys join as usual. `spread_by` is a column of `left`
-    that differs within a key.
+    repeated per slot; all other keys join as usual. Rows with a NULL key match nothing
+    and are dealt out too. `spread_by` is a column of `left` that differs within a key.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
@@ -43,8 +44,9 @@ def lookup_join(
         .filter(F.col("_rows") >= hot_rows)
         .select(*on, F.lit(True).alias(_HOT))
     )
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     marked = left.join(F.broadcast(hot), on, "left").withColumn(
-        _SLOT, F.when(F.col(_HOT), slot(F.col(spread_by))).otherwise(F.lit(0).cast("bigint"))
+        _SLOT, F.when(F.col(_HOT) | keyless, slot(F.col(spread_by))).otherwise(F.lit(0).cast("bigint"))
     )
     slots = F.when(F.col(_HOT), F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).otherwise(
         F.array(F.lit(0).cast("bigint"))

@@ -23,14 +23,21 @@ COORDINATES = (FILE, FILE_NAME, BLOCK, ORDINAL)
 _WIDE_ENCODINGS = ("UTF-16", "UTF-32")
 
 
-def scan_csv(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig, **options: str) -> DataFrame:
+def scan_csv(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    cfg: TemplateConfig,
+    max_bytes: int | None = None,
+    **options: str,
+) -> DataFrame:
     """Read files as the template describes them: every cell a STRING, records of a
     different width kept whole in `_ragged`, and the coordinates that `with_row_numbers`
     needs. The header record is row 0 of its file, so one scan serves the header check
     and the data.
 
     Reading continues with `with_row_numbers` (which drops nothing) and
-    `data_rows` / `header_rows`.
+    `data_rows` / `header_rows`. Files above `max_bytes` are left out when the scan is
+    planned; they are not opened.
     """
     if cfg.file_format != "csv":
         raise ValueError(f"only csv files can be scanned, not {cfg.file_format!r}; convert them first")
@@ -49,6 +56,8 @@ def scan_csv(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfi
         .option("recursiveFileLookup", True)
     )
     scan = reader.options(**options).csv(list(paths) if not isinstance(paths, str) else paths)
+    if max_bytes is not None:
+        scan = scan.filter(F.col("_metadata.file_size") <= max_bytes)
     return scan.select(
         *[F.col(f"`{n}`") for n in schema.names],
         F.col("_metadata.file_path").alias(FILE),
