@@ -60,8 +60,8 @@ VERDICT_SQL = """
       on e.upload_id = t.upload_id
     join raw_orders_templates as p on p.template_id = t.template_id) as j"""
 CLEAN_SQL = """
-  select upload_id, row_number, order_code, cast(cust_code as bigint) as cust_code,
-    cast(amount as decimal(12,2)) as amount, cast(order_date as date) as order_date, note
+  select upload_id, row_number, order_code, try_cast(cust_code as bigint) as cust_code,
+    try_cast(amount as decimal(12,2)) as amount, try_cast(order_date as date) as order_date, note
   from {rows} as r
   where not exists (select 1 from errors as e where e.upload_id = r.upload_id and e.row_number = r.row_number)
     and upload_id in (select upload_id from verdicts where outcome <> 'failed')"""

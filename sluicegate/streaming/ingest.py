@@ -30,6 +30,7 @@ def ingest_stream(
     """
     names = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
