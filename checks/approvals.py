@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import table, view, with_views
+from checks.fixtures import STORED, stored, table, view, with_views
 from sluicegate.operators import approvals
 
 AS_OF = "1998-06-01 00:00:00"
@@ -12,7 +12,7 @@ BASE_URL = "https://uploads.example.test"
 
 
 def _views(spark, sf, *names):
-    return [view(spark, sf, n) for n in names]
+    return [stored(spark, sf, n) if n in STORED else view(spark, sf, n) for n in names]
 
 
 def submission_readiness(spark, sf):

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluicegate.sources.workspace import materialise
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -171,6 +173,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **sources) if sources else spark.sql(text)
 
 
+# Views that stand for uploaded rows and large registry tables, with a key that spreads
+# them over files. Operators read such input from storage, not from a running query.
+STORED = {"raw_orders": "row_number", "decisions": "decision_id", "token_approvals": "approval_token"}
+
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture written to the shared folder once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        files = spark.sparkContext.defaultParallelism
+        _stored[key] = materialise(view(spark, sf_dir, name).repartition(files, STORED[name]), name)
+    return _stored[key]
+
+
 def with_views(names: str, query: str) -> str:
     """A SQL query for the other engine with the fixtures it needs in a WITH clause."""
     ordered: list[str] = []

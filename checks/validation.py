@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import table, view, with_views
+from checks.fixtures import stored, table, view, with_views
 from sluicegate.functions.text import html_to_text
 from sluicegate.model import ColumnConfig, TemplateConfig
 from sluicegate.operators import gates, history, publish, validate
@@ -80,7 +80,7 @@ def report(last: str, views: str = "raw_orders raw_orders_templates", rows: str
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "raw_orders")
+    return stored(spark, sf, "raw_orders")
 
 
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,11 @@ def _errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.clean_rows(_orders(spark, sf), ORDERS, _verdicts(spark, sf))
+    rows = _orders(spark, sf)
+    repeated = validate.unique_errors(rows, ORDERS)
+    errors = validate.validate(rows, ORDERS, repeated)
+    verdicts = validate.verdict(rows, errors, view(spark, sf, "raw_orders_templates"))
+    return validate.clean_rows(rows, ORDERS, verdicts, repeated)
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:

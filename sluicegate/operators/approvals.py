@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluicegate.model import LEGAL_TRANSITIONS, REMINDER_DAYS, TOKEN_EXPIRY_DAYS
-from sluicegate.plans.skew import HOT_ROWS, lookup_join
+from sluicegate.plans.skew import HOT_ROWS, lookup_join, measured_lookup
+from sluicegate.sources.workspace import materialise
 
 # Fixed texts shown to template creators.
 PARTLY_APPROVED = "%d of %d required reviewers have approved. Awaiting %d more."
@@ -134,18 +135,22 @@ def apply_decisions(
     reviewer), or once every required reviewer has approved. The new status of the
     template as of the decision is returned for recorded ones.
     """
-    asked = _with_token(decisions, approvals, "decision_id", as_of, hot_rows)
+    # Both are read several times below.
+    asked = materialise(_with_token(decisions, approvals, "decision_id", as_of, hot_rows), "decisions")
     states = templates.select(F.col("id").alias("template_id"), F.col("status").alias("_status"))
     at = F.struct("decided_at", "decision_id")
     open_requests = asked.filter(F.col("token_state") == "valid").join(
         states.filter(F.col("_status") == "Pending Approval").select("template_id"), "template_id", "left_semi"
     )
     # First use of each token; a token belongs to one reviewer of one template.
-    first_uses = open_requests.groupBy("token").agg(
-        F.min(at).alias("at"),
-        F.min_by("decision", at).alias("decision"),
-        F.first("template_id").alias("template_id"),
-        F.first("reviewer_email").alias("reviewer_email"),
+    first_uses = materialise(
+        open_requests.groupBy("token").agg(
+            F.min(at).alias("at"),
+            F.min_by("decision", at).alias("decision"),
+            F.first("template_id").alias("template_id"),
+            F.first("reviewer_email").alias("reviewer_email"),
+        ),
+        "first_uses",
     )
     required = reviewers.filter(F.col("reviewer_type") == "required").select("template_id", "reviewer_email")
     by_required = first_uses.join(
@@ -163,9 +168,9 @@ def apply_decisions(
         .select("template_id", F.least("rejected_at", "completed_at").alias("closed_at"), "rejected_at", "completed_at")
     )
     uses = first_uses.select("token", F.col("at").alias("first_at"))
-    judged = lookup_join(asked, uses, ["token"], "decision_id", "left", hot_rows)
-    situation = states.join(closed, "template_id", "left")
-    judged = lookup_join(judged, situation, ["template_id"], "decision_id", "left", hot_rows)
+    judged = measured_lookup(asked, uses, ["token"], "decision_id", "left", hot_rows)
+    situation = materialise(states.join(closed, "template_id", "left"), "situation")
+    judged = measured_lookup(judged, situation, ["template_id"], "decision_id", "left", hot_rows)
     in_time = F.col("closed_at").isNull() | (at <= F.col("closed_at"))
     token_taken = (at > F.col("first_at")) & (F.col("closed_at").isNull() | (F.col("first_at") <= F.col("closed_at")))
     outcome = (
@@ -199,8 +204,9 @@ def _completion_moment(
 ) -> DataFrame:
     """(template_id, completed_at): when the last missing required approval comes in.
     Templates that were complete before this batch are not among them."""
+    concerned = by_required.select("template_id").distinct()
     earlier = (
-        latest_round(approvals)
+        latest_round(approvals.join(concerned, "template_id", "left_semi"))
         .filter(F.col("approved"))
         .select("template_id", "reviewer_email", F.lit(True).alias("_earlier"))
     )

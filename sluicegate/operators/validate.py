@@ -19,6 +19,7 @@ from sluicegate.functions.cells import castable, is_blank, typed
 from sluicegate.model import ColumnConfig, TemplateConfig
 from sluicegate.plans.skew import HOT_ROWS, repeated_keys
 from sluicegate.sources.files import RAGGED
+from sluicegate.sources.workspace import BROADCAST_BYTES
 
 ERROR_COLUMNS = ("upload_id", "row_number", "column_name", "error_type", "error_message", "raw_value")
 ROW_COLUMN = "_row"  # column name of errors that concern the whole record
@@ -102,18 +103,35 @@ def cell_rules(df: DataFrame, cfg: TemplateConfig) -> list[CellRule]:
     return rules
 
 
-def breaks_any(rules: Sequence[CellRule]) -> Column:
-    return reduce(lambda a, b: a | b, [r.broken for r in rules], F.lit(False))
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def is_bad_row(df: DataFrame, cfg: TemplateConfig) -> Column:
+    """True where some rule of `cell_rules` is broken, with one cast per cell: a blank
+    cell never casts, so required cells need no test of their own."""
+    tests = [~_whole(df)]
+    for c in cfg.included:
+        v = _quoted(c.column_name)
+        if isinstance(c.type, T.StringType):
+            unusable = F.lit(False) if c.is_nullable else is_blank(v)
+        else:
+            unusable = ~castable(v, c.type)
+            if c.is_nullable:
+                unusable = unusable & ~is_blank(v)
+        tests.append(unusable | _undecodable(v))
+    return _any(tests)
 
 
 def cell_errors(df: DataFrame, cfg: TemplateConfig, error_types: Sequence[str] | None = None) -> DataFrame:
     """Errors of the one-row rules, one row per bad cell. Good rows leave at the filter,
     so only bad ones are unfolded."""
     rules = [r for r in cell_rules(df, cfg) if error_types is None or r.error_type in error_types]
+    bad = is_bad_row(df, cfg) if error_types is None else _any([r.broken for r in rules])
     if not rules:
         rules = [CellRule("NOT_NULL", F.lit(False), _error("NOT_NULL", ROW_COLUMN, F.lit(""), F.lit("")))]
     return (
-        df.filter(breaks_any(rules))
+        df.filter(bad)
         .select("upload_id", "row_number", F.explode(F.array(*[F.when(r.broken, r.error) for r in rules])).alias("e"))
         .filter(F.col("e").isNotNull())
         .select("upload_id", "row_number", "e.column_name", "e.error_type", "e.error_message", "e.raw_value")
@@ -155,14 +173,15 @@ def unique_cells(df: DataFrame, cfg: TemplateConfig) -> DataFrame:
     )
 
 
-def check_unique(cells: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def check_unique(cells: DataFrame, hot_rows: int = HOT_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Cells whose value occurs more than once in its upload and column; every member of
-    a group is returned. One shuffle of the cells serves any number of columns."""
-    return repeated_keys(cells, ["upload_id", "column_name", "value"], "row_number", hot_rows)
+    a group is returned. One shuffle of the cells serves any number of columns, and the
+    rows themselves move only if very many values are repeated (see `repeated_keys`)."""
+    return repeated_keys(cells, ["upload_id", "column_name", "value"], "row_number", hot_rows, limit)
 
 
-def unique_errors(df: DataFrame, cfg: TemplateConfig, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return check_unique(unique_cells(df, cfg), hot_rows).select(
+def unique_errors(df: DataFrame, cfg: TemplateConfig) -> DataFrame:
+    return check_unique(unique_cells(df, cfg)).select(
         "upload_id",
         "row_number",
         "column_name",
@@ -172,11 +191,12 @@ def unique_errors(df: DataFrame, cfg: TemplateConfig, hot_rows: int = HOT_ROWS)
     )
 
 
-def validate(df: DataFrame, cfg: TemplateConfig, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The error report: one row per bad cell."""
+def validate(df: DataFrame, cfg: TemplateConfig, repeated: DataFrame | None = None) -> DataFrame:
+    """The error report: one row per bad cell. `repeated` passes UNIQUE errors that the
+    caller has at hand."""
     errors = cell_errors(df, cfg)
     if cfg.unique:
-        errors = errors.unionByName(unique_errors(df, cfg, hot_rows))
+        errors = errors.unionByName(unique_errors(df, cfg) if repeated is None else repeated)
     return errors
 
 
@@ -250,7 +270,7 @@ def clean_rows(
     (upload_id, row_number); without it they are computed for templates that need them.
     """
     passing = verdicts.filter(F.col("outcome") != "failed").select("upload_id")
-    rows = df.filter(~breaks_any(cell_rules(df, cfg))).join(passing, "upload_id", "left_semi")
+    rows = df.filter(~is_bad_row(df, cfg)).join(passing, "upload_id", "left_semi")
     if cfg.unique:
         if repeated is None:
             repeated = unique_errors(df, cfg)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.sources.workspace import BROADCAST_BYTES, materialise, sized
+
 # A key with at least this many rows is hot. The hot keys of a table hold at most
 # (bytes of the key columns) / HOT_ROWS: 100 MB for 100 TB, so they can be broadcast.
 HOT_ROWS = 1_000_000
@@ -55,14 +57,44 @@ def lookup_join(
     return marked.join(spread, [*on, _SLOT], how).drop(_HOT, _SLOT)
 
 
-def repeated_keys(rows: DataFrame, on: Sequence[str], spread_by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def measured_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    spread_by: str,
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """`lookup_join` to a lookup that was materialised: a broadcast if its measured size
+    allows one, which no key can skew, else the spread join."""
+    side = sized(right, limit)
+    if side is not None:
+        return left.join(side, list(on), how)
+    return lookup_join(left, right, on, spread_by, how, hot_rows)
+
+
+def repeated_keys(
+    rows: DataFrame,
+    on: Sequence[str],
+    spread_by: str,
+    hot_rows: int = HOT_ROWS,
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Rows whose key occurs more than once, every member of a group included.
 
-    Counts are combined before their shuffle. A hot key is repeated by definition, so its
-    rows are decided by the broadcast and only spread out of the way of the others.
+    The repeated keys are counted (combined before their shuffle) and stored when this is
+    called. Few of them: they are broadcast and the rows do not move again. Many: the rows
+    join them in a shuffle, where hot keys, being repeated by definition, are decided by
+    a bounded broadcast and only spread out of the way of the others.
     """
     on = list(on)
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+    counts = materialise(
+        rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1), "repeated_keys"
+    )
+    few = sized(counts.select(*on), limit)
+    if few is not None:
+        return rows.join(few, on, "left_semi").select(*rows.columns)
     hot = counts.filter(F.col("_rows") >= hot_rows).select(*on, F.lit(True).alias(_HOT))
     cold = counts.filter(F.col("_rows") < hot_rows).select(
         *on, F.lit(0).cast("bigint").alias(_SLOT), F.lit(True).alias("_repeated")

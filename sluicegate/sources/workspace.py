@@ -44,12 +44,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the measured size of `df` allows it, else leave the join
-    to shuffle. Meant for frames that were materialised before: the measurement is
-    one aggregate over them."""
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
+    """`df` with a broadcast hint if its measured size allows it, else None. Meant for
+    frames that were materialised before: the measurement is one aggregate over them."""
     width = F.lit(_ROW_OVERHEAD)
     for name in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) + F.lit(8)
     size = df.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if size <= limit else None
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`sized`, or the frame without a hint, so that the join shuffles."""
+    side = sized(df, limit)
+    return df if side is None else side
