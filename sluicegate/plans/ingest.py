@@ -14,7 +14,7 @@ from sluicegate.model import MAX_UPLOAD_BYTES, TemplateConfig
 from sluicegate.operators.gates import check_headers, header_errors, upload_gates
 from sluicegate.operators.publish import expectations, observe_expectations, observed_log, with_audit_columns
 from sluicegate.operators.validate import clean_rows, validate, verdict
-from sluicegate.sources.files import FILE_NAME, data_rows, header_rows, list_files, scan_csv, with_row_numbers
+from sluicegate.sources.files import FILE_NAME, data_rows, empty_files, header_rows, list_files, scan_csv, with_row_numbers
 from sluicegate.sources.sinks import write_errors, write_target, write_validated
 from sluicegate.sources.workspace import broadcast_if_small, materialise
 
@@ -74,8 +74,9 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     template_id = str(cfg.template_id)
     columns, templates = _config_frames(spark, cfg)
 
+    listed = list_files(spark, paths).unionByName(empty_files(spark, paths))
     gated = materialise(
-        upload_gates(list_files(spark, paths), ctx.max_bytes, ("csv",)).select(
+        upload_gates(listed, ctx.max_bytes, ("csv",)).select(
             F.expr(ctx.upload_id).alias("upload_id"), "path", "length", "modificationTime", "gate"
         ),
         "files",

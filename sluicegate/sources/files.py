@@ -115,7 +115,8 @@ def header_rows(numbered: DataFrame, cfg: TemplateConfig) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str | Sequence[str], pattern: str | None = None) -> DataFrame:
-    """Files below a folder: path, name, length, modificationTime. Contents are not read."""
+    """Files below a folder: path, name, length, modificationTime. Contents are not read.
+    Spark's file sources pass over files of length 0; `empty_files` finds those."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -125,6 +126,24 @@ def list_files(spark: SparkSession, folder: str | Sequence[str], pattern: str |
     )
 
 
+def empty_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
+    """Files of length 0 below a folder, in the form of `list_files`. They are listed by
+    the file system client on the driver, which holds only the names it returns."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for root in [folder] if isinstance(folder, str) else folder:
+        path = hadoop.Path(root)
+        statuses = path.getFileSystem(conf).listFiles(path, True)
+        while statuses.hasNext():
+            status = statuses.next()
+            name = status.getPath().getName()
+            if status.getLen() == 0 and not name.startswith(("_", ".")):
+                found.append((status.getPath().toString(), name, 0, status.getModificationTime() / 1000.0))
+    rows = spark.createDataFrame(found, "path string, name string, length long, changed double")
+    return rows.select("path", "name", "length", F.timestamp_seconds("changed").alias("modificationTime"))
+
+
 def existing_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """`wanted` (path) with a flag telling whether each file exists below the folder."""
     there = list_files(spark, folder).select("path", F.lit(True).alias("_there"))
