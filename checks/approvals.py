@@ -142,8 +142,9 @@ closing as (select t.id as template_id, rejected_pos, completed_pos,
   from templates as t left join rejections as r on r.template_id = t.id
   left join completions as c on c.template_id = t.id),
 judged as (select s.*, closed_pos, rejected_pos, completed_pos,
-    case when s.token_state <> 'valid' then s.token_state when coalesce(t.status, '') <> 'Pending Approval'
-      then 'not_pending' when s.pos > f.pos and f.pos <= closed_pos then 'used'
+    case when s.token_state in ('not_found', 'used') then s.token_state
+      when s.pos > f.pos and f.pos <= closed_pos then 'used' when s.token_state = 'expired' then 'expired'
+      when coalesce(t.status, '') <> 'Pending Approval' then 'not_pending'
       when s.pos <= closed_pos then 'recorded' else 'not_pending' end as outcome
   from seq as s left join templates as t on t.id = s.template_id left join firsts as f on f.token = s.token
   left join closing as c on c.template_id = s.template_id),

@@ -174,9 +174,10 @@ def apply_decisions(
     in_time = F.col("closed_at").isNull() | (at <= F.col("closed_at"))
     token_taken = (at > F.col("first_at")) & (F.col("closed_at").isNull() | (F.col("first_at") <= F.col("closed_at")))
     outcome = (
-        F.when(F.col("token_state") != "valid", F.col("token_state"))
-        .when(F.col("_status").isNull() | (F.col("_status") != "Pending Approval"), "not_pending")
+        F.when(F.col("token_state").isin("not_found", "used"), F.col("token_state"))
         .when(token_taken, "used")
+        .when(F.col("token_state") == "expired", "expired")
+        .when(F.col("_status").isNull() | (F.col("_status") != "Pending Approval"), "not_pending")
         .when(in_time, "recorded")
         .otherwise("not_pending")
     )
