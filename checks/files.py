@@ -113,7 +113,7 @@ def file_inventory(spark, sf):
 def stored_paths(spark, sf):
     orders = table(spark, sf, "orders")
     path = stored_path(
-        F.lit("manualfileuploads"),
+        F.lit("landing"),
         F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "_")),
         F.concat(F.lit("t_"), F.col("o_custkey").cast("string")),
         "o_orderdate",
@@ -223,7 +223,7 @@ def _over_files(last: str) -> str:
 
 
 _TARGET = "order_code, cust_code, amount, order_date, note"
-_STORED_PATH = """select o_orderkey, 'manualfileuploads/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g'))
+_STORED_PATH = """select o_orderkey, 'landing/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g'))
   || '/t_' || o_custkey || '/t_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.'
   || case when o_orderkey % 2 = 0 then 'csv' else 'xlsx' end as path from orders"""
 
@@ -263,7 +263,7 @@ where length(raw_value) - length(replace(raw_value, ',', '')) <> 2""",
     "stored_paths": (stored_paths, _STORED_PATH),
     "parsed_paths": (
         parsed_paths,
-        "select o_orderkey, 'manualfileuploads' as container, "
+        "select o_orderkey, 'landing' as container, "
         "lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g')) as domain, 't_' || o_custkey as template, "
         "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as received_at, "
         "case when o_orderkey % 2 = 0 then 'csv' else 'xlsx' end as extension from orders",

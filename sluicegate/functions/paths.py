@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 _PARTS = r"^(.*)/([^/]+)/([^/]+)/\3_(\d{8}_\d{6})\.([^./]+)$"
 _STAMP = "yyyyMMdd_HHmmss"
+_STAMP_PARTS = r"^(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})$"
 
 
 def _col(c: Column | str) -> Column:
@@ -28,7 +29,8 @@ def stored_path(
 
 
 def parse_stored_path(path: Column | str) -> Column:
-    """Struct (container, domain, template, received_at, extension); NULL fields if the path has another form."""
+    """Struct (container, domain, template, received_at, extension), the time being free of
+    zones as it is in the name; NULL fields if the path has another form."""
     p = _col(path)
 
     def part(i: int) -> Column:
@@ -39,6 +41,6 @@ def parse_stored_path(path: Column | str) -> Column:
         part(1).alias("container"),
         part(2).alias("domain"),
         part(3).alias("template"),
-        F.try_to_timestamp(part(4), F.lit(_STAMP)).alias("received_at"),
+        F.regexp_replace(part(4), _STAMP_PARTS, "$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz").alias("received_at"),
         part(5).alias("extension"),
     )

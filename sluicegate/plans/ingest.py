@@ -16,7 +16,7 @@ from sluicegate.operators.publish import expectations, observe_expectations, obs
 from sluicegate.operators.validate import clean_rows, validate, verdict
 from sluicegate.sources.files import FILE_NAME, data_rows, empty_files, header_rows, list_files, scan_csv, with_row_numbers
 from sluicegate.sources.sinks import write_errors, write_target, write_validated
-from sluicegate.sources.workspace import broadcast_if_small, materialise
+from sluicegate.sources.workspace import broadcast_if_small, materialise, new_folder, remove_folder, sized
 
 COLUMN_FIELDS = "template_id string, column_name string, column_order int"
 VERDICT_STEPS = ("file_uploaded", "schema_validated", "constraints_checked", "writing_to_catalog")
@@ -86,7 +86,8 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     uploads = accepted.select("upload_id", F.lit(template_id).alias("template_id"))
 
     scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, pathGlobFilter="*.[cC][sS][vV]")
-    numbered = with_row_numbers(scan).withColumn("path", F.col("_file"))
+    staging = new_folder(spark, "ingest")
+    numbered = with_row_numbers(scan, folder=staging).withColumn("path", F.col("_file"))
     numbered = numbered.withColumn("upload_id", F.expr(ctx.upload_id)).drop("path")
 
     found = header_rows(numbered, cfg).select("upload_id", "header")
@@ -120,15 +121,15 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     wrote = not passing.isEmpty()
     log: list[tuple[str, int, int, int]] = []
     if wrote:
-        repeated = None
+        repeated, few = None, None
         if cfg.unique:
-            repeated = broadcast_if_small(
-                errors.filter(F.col("error_type") == "UNIQUE").select("upload_id", "row_number").distinct()
-            )
+            repeated = errors.filter(F.col("error_type") == "UNIQUE").select("upload_id", "row_number").distinct()
+            few = sized(repeated)
+            repeated = repeated if few is None else few
         keep = ("upload_id", "row_number", FILE_NAME)
         clean = clean_rows(rows, cfg, broadcast_if_small(passing), repeated, keep)
         if ctx.validated_path:
-            write_validated(clean, ctx.validated_path, ctx.fmt)
+            write_validated(clean, ctx.validated_path, ctx.fmt, scattered=bool(cfg.unique) and few is None)
             stored = spark.read.schema(clean.schema).format(ctx.fmt).load(ctx.validated_path)
             clean = stored.join(broadcast_if_small(passing.select("upload_id")), "upload_id", "left_semi")
         rules = expectations(cfg, ctx.checks)
@@ -147,6 +148,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         log = observed_log(observation, rules)
 
     _write_history(verdicts, rejected, template_id, ctx)
+    remove_folder(spark, staging)  # as large as the input; a failed run leaves it for inspection
     return IngestResult(ctx.run_id, verdicts, errors, rejected, log, wrote)
 
 

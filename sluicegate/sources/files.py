@@ -67,15 +67,16 @@ def scan_csv(
     )
 
 
-def with_row_numbers(scan: DataFrame, header: bool = True) -> DataFrame:
+def with_row_numbers(scan: DataFrame, header: bool = True, folder: str | None = None) -> DataFrame:
     """Add `row_number`, the position of a record in its file: 0 is the header, data
     starts at 1 (files without header start at 1 too).
 
     The scan is written to the shared folder first: record ordinals are only comparable
     within one execution of a scan, and all later steps then read compressed columns
-    instead of parsing the text again. Offsets are one row per file split.
+    instead of parsing the text again. Offsets are one row per file split. Both tables
+    are put into `folder` if one is given.
     """
-    staged = materialise(scan, "scan")
+    staged = materialise(scan, "scan", folder)
     per_split = staged.groupBy(FILE, BLOCK).agg(
         F.min(ORDINAL).alias("_first"), F.count(F.lit(1)).alias("_records")
     )
@@ -87,11 +88,14 @@ def with_row_numbers(scan: DataFrame, header: bool = True) -> DataFrame:
             (F.coalesce(F.sum("_records").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         ),
         "offsets",
+        folder,
     )
     start = 0 if header else 1
-    return staged.join(broadcast_if_small(offsets), [FILE, BLOCK]).withColumn(
-        "row_number", F.col(ORDINAL) + F.col("_shift") + F.lit(start)
-    ).drop("_shift")
+    return (
+        staged.join(broadcast_if_small(offsets), [FILE, BLOCK])
+        .withColumn("row_number", F.col(ORDINAL) + F.col("_shift") + F.lit(start))
+        .drop("_shift")
+    )
 
 
 def data_rows(numbered: DataFrame) -> DataFrame:

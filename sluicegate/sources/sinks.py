@@ -51,10 +51,16 @@ def write_target(
         writer.saveAsTable(table)
 
 
-def write_validated(clean: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Clean rows, one folder per upload; writing an upload again replaces its folder."""
+def write_validated(clean: DataFrame, path: str, fmt: str = "parquet", scattered: bool = False) -> None:
+    """Clean rows, one folder per upload; writing an upload again replaces its folder.
+
+    Rows in file order need no shuffle: a task holds whole stretches of few uploads. Rows
+    `scattered` by a join are brought together per upload first, large uploads over
+    several tasks.
+    """
+    rows = clean.hint("rebalance", F.col("upload_id")) if scattered else clean
     (
-        clean.write.format(fmt)
+        rows.write.format(fmt)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("upload_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SHARED_DIR = "spark.checkpoint.dir"
 
 # Upper bound of a hinted broadcast, in bytes of cell text (see `broadcast_if_small`).
-BROADCAST_BYTES = 256 * 1024 * 1024
+BROADCAST_BYTES = 128 * 1024 * 1024
 _ROW_OVERHEAD = 32
 
 _local_dirs: dict[str, str] = {}
@@ -35,11 +35,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sluicegate/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that `new_folder` made, once nothing reads it any more."""
+    if not folder.startswith(f"{shared_dir(spark)}/sluicegate/"):
+        raise ValueError(f"not a folder of this library: {folder}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write a frame once and read it back: lineage is cut, a lost executor loses
-    nothing, and Catalyst plans the rest with the table's real size."""
+    nothing, and Catalyst plans the rest with the table's real size. `folder` (one of
+    `new_folder`) holds several tables that are removed together."""
     spark = df.sparkSession
-    path = new_folder(spark, label)
+    path = f"{folder}/{label}" if folder else new_folder(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -145,10 +145,10 @@ def test_inventory(spark, tmp_path):
 
 def test_stored_path_round_trip(spark):
     df = spark.sql("select 'finance' as d, 'region_mapping' as t, timestamp '2024-01-05 10:02:03' as at")
-    built = df.select(stored_path(F.lit("manualfileuploads"), "d", "t", "at", F.lit("csv")).alias("p"))
-    assert built.first().p == "manualfileuploads/finance/region_mapping/region_mapping_20240105_100203.csv"
+    built = df.select(stored_path(F.lit("landing"), "d", "t", "at", F.lit("csv")).alias("p"))
+    assert built.first().p == "landing/finance/region_mapping/region_mapping_20240105_100203.csv"
     parsed = built.select(parse_stored_path("p").alias("x")).select("x.*").first()
-    assert (parsed.container, parsed.domain, parsed.template, parsed.extension) == ("manualfileuploads", "finance", "region_mapping", "csv")
+    assert (parsed.container, parsed.domain, parsed.template, parsed.extension) == ("landing", "finance", "region_mapping", "csv")
     assert str(parsed.received_at) == "2024-01-05 10:02:03"
     odd = spark.sql("select 'x/y/t/u_20240105_100203.csv' as p").select(parse_stored_path("p").alias("x")).first().x
     assert odd.template is None and odd.received_at is None
@@ -170,6 +170,36 @@ def test_append_and_overwrite(spark, tmp_path):
     assert spark.table("appended_rows").count() == 4
 
 
+@pytest.mark.parametrize("scattered", [False, True])
+def test_validated_folder_per_upload(spark, tmp_path, scattered):
+    path = str(tmp_path / "validated")
+    rows = spark.range(100).selectExpr("cast(id % 3 as string) as upload_id", "id as row_number")
+    for _ in range(2):
+        sinks.write_validated(rows, path, scattered=scattered)
+    assert spark.read.schema(rows.schema).parquet(path).count() == 100
+    sinks.write_validated(rows.filter("upload_id = '1' and row_number < 10"), path, scattered=scattered)
+    assert spark.read.schema(rows.schema).parquet(path).groupBy("upload_id").count().orderBy("upload_id").collect() == [
+        ("0", 34), ("1", 3), ("2", 33),
+    ]
+
+
+def test_only_own_folders_are_removed(spark, tmp_path):
+    kept = workspace.materialise(spark.range(3), "kept", workspace.new_folder(spark, "run"))
+    folder = os.path.dirname(os.path.dirname(kept.inputFiles()[0]))
+    workspace.remove_folder(spark, folder.removeprefix("file://"))
+    assert not os.path.exists(folder.removeprefix("file://"))
+    with pytest.raises(ValueError):
+        workspace.remove_folder(spark, str(tmp_path))
+
+
+def test_large_files_are_pruned_from_the_scan(spark, tmp_path):
+    put(tmp_path, "small.csv", "a,b,c\n1,2,3\n")
+    put(tmp_path, "large.csv", "a,b,c\n" + "1,2,3\n" * 100)
+    scan = files.scan_csv(spark, str(tmp_path), ABC, max_bytes=100)
+    assert scan.rdd.getNumPartitions() == 1
+    assert {r._file_name for r in scan.collect()} == {"small.csv"}
+
+
 def test_repeated_slice_is_harmless(spark, tmp_path):
     rows = spark.createDataFrame([("1", "x", "p")], "a string, b string, c string")
     path = str(tmp_path / "target")
