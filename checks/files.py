@@ -73,8 +73,7 @@ def ragged_files(spark: SparkSession, sf: str) -> str:
 
 
 def _numbered(spark: SparkSession, folder: str, cfg: TemplateConfig) -> DataFrame:
-    numbered = files.with_row_numbers(files.scan_csv(spark, folder, cfg))
-    return numbered.withColumn("upload_id", F.expr(UPLOAD_OF_PATH.replace("path", files.FILE)))
+    return files.number_records(files.scan_csv(spark, folder, cfg), upload_id=UPLOAD_OF_PATH).rows
 
 
 def scanned_orders(spark, sf):

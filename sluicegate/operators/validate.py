@@ -205,11 +205,13 @@ def verdict(
 ) -> DataFrame:
     """One row per upload: counts of rows (not cells), share of bad rows, outcome.
 
-    `rows`: upload_id, template_id per data row; `templates`: template_id,
-    bad_row_threshold, bad_row_action; `uploads` (upload_id, template_id) adds uploads
-    without any data row. An error in row 0 concerns the header and fails the upload.
+    `rows`: upload_id, template_id per data row, or counted already as `total_rows` per
+    upload; `templates`: template_id, bad_row_threshold, bad_row_action; `uploads`
+    (upload_id, template_id) adds uploads without any data row. An error in row 0
+    concerns the header and fails the upload.
     """
-    totals = rows.groupBy("upload_id", "template_id").agg(F.count(F.lit(1)).alias("total_rows"))
+    count = F.sum("total_rows") if "total_rows" in rows.columns else F.count(F.lit(1))
+    totals = rows.groupBy("upload_id", "template_id").agg(count.alias("total_rows"))
     if uploads is not None:
         totals = (
             uploads.select("upload_id", "template_id")

@@ -14,7 +14,17 @@ from sluicegate.model import MAX_UPLOAD_BYTES, TemplateConfig
 from sluicegate.operators.gates import check_headers, header_errors, upload_gates
 from sluicegate.operators.publish import expectations, observe_expectations, observed_log, with_audit_columns
 from sluicegate.operators.validate import clean_rows, validate, verdict
-from sluicegate.sources.files import FILE_NAME, data_rows, empty_files, header_rows, list_files, scan_csv, with_row_numbers
+from sluicegate.sources.files import (
+    FILE_NAME,
+    UPLOAD_ID,
+    data_rows,
+    empty_files,
+    header_rows,
+    list_files,
+    number_records,
+    record_counts,
+    scan_csv,
+)
 from sluicegate.sources.sinks import write_errors, write_target, write_validated
 from sluicegate.sources.workspace import broadcast_if_small, materialise, new_folder, remove_folder, sized
 
@@ -38,7 +48,7 @@ class IngestContext:
     fmt: str = "parquet"
     max_bytes: int = MAX_UPLOAD_BYTES
     checks: Mapping[str, str] = field(default_factory=dict)
-    upload_id: str = "element_at(split(path, '/'), -1)"
+    upload_id: str = UPLOAD_ID
     slice: tuple[str, str] | None = None  # partition of the target that this run replaces
 
 
@@ -87,24 +97,22 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
 
     scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, pathGlobFilter="*.[cC][sS][vV]")
     staging = new_folder(spark, "ingest")
-    numbered = with_row_numbers(scan, folder=staging).withColumn("path", F.col("_file"))
-    numbered = numbered.withColumn("upload_id", F.expr(ctx.upload_id)).drop("path")
+    numbered = number_records(scan, folder=staging, upload_id=ctx.upload_id)
 
-    found = header_rows(numbered, cfg).select("upload_id", "header")
+    found = header_rows(numbered.rows, cfg).select("upload_id", "header")
     headers = uploads.join(found, "upload_id", "left").withColumn(
         "header", F.coalesce("header", F.array().cast("array<string>"))
     )
     checked = materialise(check_headers(headers, columns), "headers")
     bad_headers = checked.filter(~F.col("header_ok")).select("upload_id")
 
-    records = data_rows(numbered)
-    rows = records.join(broadcast_if_small(bad_headers), "upload_id", "left_anti")
+    rows = data_rows(numbered.rows).join(broadcast_if_small(bad_headers), "upload_id", "left_anti")
     errors = write_errors(
         validate(rows, cfg).unionByName(header_errors(checked)), ctx.errors_path, ctx.run_id
     )
     verdicts = materialise(
         verdict(
-            records.select("upload_id", F.lit(template_id).alias("template_id")), errors, templates, uploads
+            record_counts(numbered.splits).withColumn("template_id", F.lit(template_id)), errors, templates, uploads
         ),
         "verdicts",
     )

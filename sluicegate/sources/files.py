@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ FILE = "_file"
 FILE_NAME = "_file_name"
 BLOCK = "_block"
 ORDINAL = "_ordinal"
-COORDINATES = (FILE, FILE_NAME, BLOCK, ORDINAL)
+SPLIT = "_split"
+UPLOAD_ID = "element_at(split(path, '/'), -1)"  # the file name
 
 # Encodings whose line feed is wider than one byte cannot be split at line ends.
 _WIDE_ENCODINGS = ("UTF-16", "UTF-32")
@@ -61,41 +63,73 @@ def scan_csv(
     return scan.select(
         *[F.col(f"`{n}`") for n in schema.names],
         F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_name").alias(FILE_NAME),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(ORDINAL),
     )
 
 
-def with_row_numbers(scan: DataFrame, header: bool = True, folder: str | None = None) -> DataFrame:
-    """Add `row_number`, the position of a record in its file: 0 is the header, data
-    starts at 1 (files without header start at 1 too).
+@dataclass(frozen=True)
+class NumberedScan:
+    """`rows`: the records with `row_number`, their file and its upload; `splits`: one row
+    per file split with its record count, so that counting needs no second look at rows."""
+
+    rows: DataFrame
+    splits: DataFrame
+
+
+def number_records(
+    scan: DataFrame, header: bool = True, folder: str | None = None, upload_id: str = UPLOAD_ID
+) -> NumberedScan:
+    """Number the records of each file: 0 is the header, data starts at 1 (files without
+    header start at 1 too). `upload_id` is a SQL expression over `path`.
 
     The scan is written to the shared folder first: record ordinals are only comparable
     within one execution of a scan, and all later steps then read compressed columns
-    instead of parsing the text again. Offsets are one row per file split. Both tables
-    are put into `folder` if one is given.
+    instead of parsing the text again. What depends on the file alone is computed once per
+    split and joined by a number. Both tables are put into `folder` if one is given.
     """
-    staged = materialise(scan, "scan", folder)
-    per_split = staged.groupBy(FILE, BLOCK).agg(
-        F.min(ORDINAL).alias("_first"), F.count(F.lit(1)).alias("_records")
+    staged = materialise(scan.withColumn(SPLIT, F.xxhash64(FILE, BLOCK)), "scan", folder)
+    per_split = staged.groupBy(SPLIT, FILE, BLOCK).agg(
+        F.min(ORDINAL).alias("_first"), F.count(F.lit(1)).alias("records")
     )
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(
+    start = 0 if header else 1
+    splits = materialise(
         per_split.select(
+            SPLIT,
             FILE,
             BLOCK,
-            (F.coalesce(F.sum("_records").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        ),
-        "offsets",
+            "records",
+            (F.coalesce(F.sum("records").over(before), F.lit(0)) - F.col("_first") + F.lit(start)).alias("_shift"),
+        )
+        .withColumn("path", F.col(FILE))
+        .withColumns({FILE_NAME: F.element_at(F.split("path", "/"), -1), "upload_id": F.expr(upload_id)})
+        .drop("path"),
+        "splits",
         folder,
     )
-    start = 0 if header else 1
-    return (
-        staged.join(broadcast_if_small(offsets), [FILE, BLOCK])
-        .withColumn("row_number", F.col(ORDINAL) + F.col("_shift") + F.lit(start))
-        .drop("_shift")
+    # Two splits with the same number are next to impossible, and then the names decide.
+    clash = not splits.groupBy(SPLIT).count().filter("count > 1").isEmpty()
+    keys = [SPLIT, FILE, BLOCK] if clash else [SPLIT]
+    rows = (
+        staged.drop(*[c for c in (FILE, BLOCK) if c not in keys])
+        .join(broadcast_if_small(splits.drop("records")), keys)
+        .withColumn("row_number", F.col(ORDINAL) + F.col("_shift"))
+        .drop("_shift", SPLIT)
     )
+    return NumberedScan(rows, splits)
+
+
+def with_row_numbers(scan: DataFrame, header: bool = True, folder: str | None = None) -> DataFrame:
+    """The numbered records alone, see `number_records`."""
+    return number_records(scan, header, folder).rows
+
+
+def record_counts(splits: DataFrame, header: bool = True) -> DataFrame:
+    """Data records per upload: (upload_id, total_rows)."""
+    first = F.col(BLOCK) == 0
+    headers = F.count_if(first) if header else F.lit(0)
+    return splits.groupBy("upload_id").agg((F.sum("records") - headers).alias("total_rows"))
 
 
 def data_rows(numbered: DataFrame) -> DataFrame:
@@ -103,7 +137,7 @@ def data_rows(numbered: DataFrame) -> DataFrame:
 
 
 def header_rows(numbered: DataFrame, cfg: TemplateConfig) -> DataFrame:
-    """One row per file with its header as an array: (coordinates, header)."""
+    """One row per file with its header as an array: (file, upload, header)."""
     cells = F.array(*[F.col(f"`{c.column_name}`") for c in cfg.columns])
     # A header of another width was kept as raw text; names hold no delimiters.
     split = F.transform(
@@ -111,9 +145,9 @@ def header_rows(numbered: DataFrame, cfg: TemplateConfig) -> DataFrame:
         lambda name: F.regexp_replace(name, '^"(.*)"$', "$1"),
     )
     header = F.when(F.col(RAGGED).isNull(), cells).otherwise(split)
-    # The block test reaches the staged files, so only first splits are read.
+    # Joined to first splits only: the other rows fall out at the broadcast join.
     return numbered.filter((F.col(BLOCK) == 0) & (F.col("row_number") == 0)).select(
-        *[c for c in numbered.columns if c not in [x.column_name for x in cfg.columns] and c != RAGGED],
+        *[c for c in (FILE, FILE_NAME, "upload_id") if c in numbered.columns],
         F.transform(header, lambda name: F.trim(F.regexp_replace(name, "^\\x{feff}", ""))).alias("header"),
     )
 
