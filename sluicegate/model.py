@@ -167,7 +167,7 @@ class TemplateConfig:
 
 
 # ---------------------------------------------------------------------------
-# Registry schemas
+# Registry schemas: fixed values, names and types of the registry tables
 # ---------------------------------------------------------------------------
 
 _S, _I, _L, _B, _TS = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType()
@@ -279,7 +279,7 @@ REGISTRY_SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
-# child table, child column, parent table, delete rule
+# Child table, child column, parent table, delete rule
 FOREIGN_KEYS = (
     ("templates", "domain_id", "domains", "restrict"),
     ("templates", "parent_template_id", "templates", "restrict"),
@@ -298,7 +298,7 @@ UNIQUE_KEYS = (
     ("template_approvals", ("approval_token",)),
 )
 
-# Domains every new registry starts with.
+# The domains every new registry starts with.
 SEED_DOMAINS = (
     ("Finance", "finance", "Financial data including cost centers, GL codes and budget mappings"),
     ("Human Resources", "human_resources", "HR data including employee mappings, org structures and job codes"),
