@@ -143,7 +143,7 @@ VIEWS = {
         select p_partkey as id, p_partkey % 2 = 0 as has_description,
           case when p_partkey % 4 = 0 then null else concat('new ', p_name) end as description,
           p_partkey % 3 = 0 as has_write_mode, 'append' as write_mode
-        from {part} where p_partkey % 7 = 0""",
+        from {part}""",
     "principals": "select * from (values ('readers_0'), ('readers_1'), ('readers_2')) as t(group_name)",
 }
 

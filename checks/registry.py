@@ -82,8 +82,8 @@ def refused_registrations(spark, sf):
 
 
 def colliding_names(spark, sf):
-    """Every third name is proposed again, half of them by the template that owns it."""
-    requests = table(spark, sf, "part").filter("p_partkey % 3 = 0").select(
+    """Every name is proposed again, half of them by the template that owns it."""
+    requests = table(spark, sf, "part").select(
         (F.col("p_partkey") + F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(10_000_000)).alias("id"),
         F.concat(F.lit("t_"), F.col("p_partkey").cast("string")).alias("name"),
     )
@@ -170,7 +170,7 @@ def _column_lists(spark, sf):
     key = F.col("p_partkey")
     second = F.when(key % 4 == 2, F.lit("code")).otherwise(F.lit("amount"))
     items = F.array(item(F.lit("code"), "STRING"), item(second, "DOUBLE"))
-    return table(spark, sf, "part").filter("p_partkey % 2 = 0").select(
+    return table(spark, sf, "part").select(
         key.alias("template_id"), F.when(key % 5 != 0, items).alias("items")
     )
 
@@ -200,7 +200,7 @@ def replaced_reviewers(spark, sf):
 
 
 def _deletions(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
 
 
 def _deleted(spark, sf):
@@ -249,7 +249,8 @@ def masked_documents(spark, sf):
     return docs.select(
         "doc_id",
         mask_pii(F.when(F.col("doc_id") % 3 != 0, F.col("source")), F.lit(False)).alias("masked"),
-        mask_pii(F.substr("text", F.lit(1), F.col("doc_id").cast("int") % 12), F.col("doc_id") % 2 == 0).alias("shown"),
+        mask_pii("lang", F.lit(False)).alias("short"),
+        mask_pii("text", F.col("doc_id") % 2 == 0).alias("shown"),
     )
 
 
@@ -265,7 +266,7 @@ def grants(spark, sf):
 
 _VALID_LISTS = """
 requests as (select p_partkey as template_id, status, p_partkey % 5 = 0 as is_empty, p_partkey % 4 = 2 as repeats
-  from part left join templates on id = p_partkey where p_partkey % 2 = 0),
+  from part left join templates on id = p_partkey),
 outcomes as (select template_id, case when status is null then 'not_found' when status <> 'Draft' then 'not_draft'
     when is_empty then 'empty' when repeats then 'duplicate' else 'ok' end as outcome from requests)"""
 _DELETE = """
@@ -273,7 +274,7 @@ outcomes as (select p_partkey as id, case when t.id is null then 'not_found' whe
     when p_partkey in (select template_id from upload_history) then 'has_uploads'
     when p_partkey in (select parent_template_id from templates where parent_template_id is not null) then 'is_parent'
     else 'ok' end as outcome
-  from part left join templates as t on t.id = p_partkey where p_partkey % 2 = 1),
+  from part left join templates as t on t.id = p_partkey),
 gone as (select id from outcomes where outcome = 'ok')"""
 
 QUERIES = {
@@ -363,7 +364,7 @@ from part join domains as d on d.id = p_partkey % 6""",
     "name_collisions": (
         colliding_names,
         """with requests as (select p_partkey + case when p_partkey % 2 = 0 then 0 else 10000000 end as id,
-  't_' || p_partkey as name from part where p_partkey % 3 = 0)
+  't_' || p_partkey as name from part)
 select id, name, 'template' as taken_by from requests where exists
   (select 1 from part where 't_' || p_partkey = name and p_partkey <> id)
 union all select id, name, 'table' from requests where name in (select 't_' || s_suppkey from supplier)""",
@@ -575,8 +576,8 @@ from clauses join templates on id = template_id group by template_id""",
     "masked_text": (
         masked_documents,
         "select doc_id, repeat('*', cast(least(length(case when doc_id % 3 <> 0 then source end), 8) as int)) as masked, "
-        "case when doc_id % 2 = 0 then substr(text, 1, cast(doc_id % 12 as int)) "
-        "else repeat('*', cast(least(length(substr(text, 1, cast(doc_id % 12 as int))), 8) as int)) end as shown "
+        "repeat('*', cast(least(length(lang), 8) as int)) as short, case when doc_id % 2 = 0 then text "
+        "else repeat('*', cast(least(length(text), 8) as int)) end as shown "
         "from documents",
     ),
     "masked_projection": (

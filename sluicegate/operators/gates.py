@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.functions.cells import is_blank
@@ -91,6 +91,13 @@ def header_errors(checked: DataFrame) -> DataFrame:
     )
 
 
+def _reads_as(value: Column, kind: str) -> Column:
+    """Whether a sample value suggests the type. A cast to DATE would accept a time of
+    day and lose it, so dates may not have one."""
+    fits = value.try_cast(kind).isNotNull()
+    return fits & ~F.contains(value, F.lit(":")) if kind == "DATE" else fits
+
+
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Narrowest type of each column of an all-STRING sample:
     (position, column_name, data_type, non_blank, blank). One pass, one aggregate row."""
@@ -101,9 +108,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         filled = ~is_blank(v)
         counts.append(F.count_if(filled).alias(f"filled_{i}"))
         counts.append(F.count_if(~filled).alias(f"blank_{i}"))
-        counts += [
-            F.count_if(filled & v.try_cast(kind).isNull()).alias(f"bad_{i}_{kind}") for kind in INFERENCE_ORDER
-        ]
+        counts += [F.count_if(filled & ~_reads_as(v, kind)).alias(f"bad_{i}_{kind}") for kind in INFERENCE_ORDER]
     profiles = []
     for i, name in enumerate(names):
         narrowest = F.when(F.col(f"filled_{i}") == 0, "STRING")

@@ -96,8 +96,10 @@ def repeated_keys(
     if few is not None:
         return rows.join(few, on, "left_semi").select(*rows.columns)
     hot = counts.filter(F.col("_rows") >= hot_rows).select(*on, F.lit(True).alias(_HOT))
+    # Slot 0, but not as a literal: a literal would be folded out of the join key, and hot
+    # rows would meet in one partition after all.
     cold = counts.filter(F.col("_rows") < hot_rows).select(
-        *on, F.lit(0).cast("bigint").alias(_SLOT), F.lit(True).alias("_repeated")
+        *on, F.pmod(F.col("_rows"), F.lit(1).cast("bigint")).alias(_SLOT), F.lit(True).alias("_repeated")
     )
     marked = rows.join(F.broadcast(hot), on, "left").withColumn(
         _SLOT, F.when(F.col(_HOT), slot(F.col(spread_by)) + 1).otherwise(F.lit(0).cast("bigint"))

@@ -1,6 +1,7 @@
 """Cell rules, verdicts and clean rows on hand-written rows, and their properties."""
 
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,27 @@ def test_repeated_keys_on_every_route(spark, rows_of, hot_rows, limit):
     assert rows_of(found) == sorted([r for r in data if counts[r[1]] > 1], key=repr)
 
 
+def test_hot_rows_are_shuffled_by_slot(spark):
+    """With shuffled joins, the partitioning of the rows must include the slot."""
+    df = spark.range(10_000).select(
+        F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 4000).alias("k")
+    )
+    lookup = spark.range(-1, 4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        for joined in (skew.repeated_keys(df, ["k"], "row", 1000, 0), skew.lookup_join(df, lookup, ["k"], "row", "left", 1000)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert re.search(r"hashpartitioning\(k#\d+L, _slot#\d+L", plan), plan
+            sizes = joined.groupBy(F.spark_partition_id().alias("p")).count()
+            assert sizes.agg(F.max("count")).first()[0] < 3300  # the hot key alone has 3334
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("hot_rows", [2, 10**6])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_lookup_join_equals_plain_join(spark, rows_of, hot_rows, how):
@@ -223,13 +245,14 @@ def test_infer_types(spark):
     cols = {
         "ints": ["1", " 2 ", ""], "longs": ["1", "2147483648", None], "doubles": ["1", "1.5", "1e3"],
         "flags": ["true", "f", "no"], "days": ["2024-1-5", "2024-12-31", ""], "texts": ["x", "1", ""],
-        "blank": ["", None, "  "],
+        "blank": ["", None, "  "], "stamps": ["2024-01-05 10:00:00", "2024-01-05", "2024-01-06T00:00:00"],
     }
     df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} string" for c in cols))
     found = {r.column_name: (r.data_type, r.non_blank) for r in gates.infer_types(df).collect()}
     assert found == {
         "ints": ("INTEGER", 2), "longs": ("BIGINT", 2), "doubles": ("DOUBLE", 3), "flags": ("BOOLEAN", 3),
         "days": ("DATE", 2), "texts": ("STRING", 2), "blank": ("STRING", 0),
+        "stamps": ("TIMESTAMP", 3),
     }
 
 
