@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -68,6 +69,11 @@ def scan_csv(
     )
 
 
+def _plain(uri: Column) -> Column:
+    """The path a file listing shows; scans report it with percent escapes."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 @dataclass(frozen=True)
 class NumberedScan:
     """`rows`: the records with `row_number`, their file and its upload; `splits`: one row
@@ -102,7 +108,7 @@ def number_records(
             "records",
             (F.coalesce(F.sum("records").over(before), F.lit(0)) - F.col("_first") + F.lit(start)).alias("_shift"),
         )
-        .withColumn("path", F.col(FILE))
+        .withColumn("path", _plain(F.col(FILE)))
         .withColumns({FILE_NAME: F.element_at(F.split("path", "/"), -1), "upload_id": F.expr(upload_id)})
         .drop("path"),
         "splits",
@@ -152,6 +158,11 @@ def header_rows(numbered: DataFrame, cfg: TemplateConfig) -> DataFrame:
     )
 
 
+def literal_path(path: str) -> str:
+    """A path for the readers that stands for itself, whatever pattern characters it has."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def list_files(spark: SparkSession, folder: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Files below a folder: path, name, length, modificationTime. Contents are not read.
     Spark's file sources pass over files of length 0; `empty_files` finds those."""
@@ -171,13 +182,15 @@ def empty_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for root in [folder] if isinstance(folder, str) else folder:
-        path = hadoop.Path(root)
-        statuses = path.getFileSystem(conf).listFiles(path, True)
-        while statuses.hasNext():
-            status = statuses.next()
-            name = status.getPath().getName()
-            if status.getLen() == 0 and not name.startswith(("_", ".")):
-                found.append((status.getPath().toString(), name, 0, status.getModificationTime() / 1000.0))
+        pattern = hadoop.Path(root)
+        system = pattern.getFileSystem(conf)
+        for matched in system.globStatus(pattern) or []:
+            statuses = system.listFiles(matched.getPath(), True)
+            while statuses.hasNext():
+                status = statuses.next()
+                name = status.getPath().getName()
+                if status.getLen() == 0 and not name.startswith(("_", ".")):
+                    found.append((status.getPath().toString(), name, 0, status.getModificationTime() / 1000.0))
     rows = spark.createDataFrame(found, "path string, name string, length long, changed double")
     return rows.select("path", "name", "length", F.timestamp_seconds("changed").alias("modificationTime"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluicegate.model import TemplateConfig
 from sluicegate.plans.ingest import IngestContext, ingest
+from sluicegate.sources.files import literal_path
 
 BATCH = "ingest_batch"
 
@@ -38,7 +39,7 @@ def ingest_stream(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        paths = [row.path for row in batch.select("path").distinct().collect()]
+        paths = [literal_path(row.path) for row in batch.select("path").distinct().collect()]
         if not paths:
             return
         slice_of_batch = (BATCH, str(batch_id)) if cfg.write_mode == "append" else None

@@ -356,6 +356,16 @@ def test_stream_takes_each_file_once_and_equals_the_batch(spark, tmp_path, rows_
     assert rows_of(run(), *columns) == rows_of(spark.read.parquet(batch.target_path), *columns)
 
 
+@pytest.mark.parametrize("name", ["a b.csv", "50%20.csv", "é+ü.csv", "r[1]{2}.csv"])
+def test_unusual_file_names(spark, tmp_path, name):
+    put(tmp_path / "landing", name, "code,amount,internal\na,1,i\n")
+    ctx = context(tmp_path)
+    assert ingest(spark, str(tmp_path / "landing"), SALES, ctx).verdicts.first().upload_id == name
+    ctx = context(tmp_path / "stream")
+    ingest_stream(spark, str(tmp_path / "landing"), SALES, ctx, str(tmp_path / "checkpoint")).awaitTermination()
+    assert [r.source_file for r in spark.read.parquet(ctx.target_path).collect()] == [name]
+
+
 def test_quality_stream(spark, tmp_path):
     schema = "template_id int, uploaded_at timestamp, total_rows long, dropped_rows long"
     days = [(1, "2024-01-01 10:00:00", 10, 1), (1, "2024-01-01 11:00:00", 10, 2), (1, "2024-01-05 10:00:00", 5, 0)]
