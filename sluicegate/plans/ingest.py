@@ -29,7 +29,7 @@ from sluicegate.sources.sinks import write_errors, write_target, write_validated
 from sluicegate.sources.workspace import broadcast_if_small, materialise, new_folder, remove_folder, sized
 
 COLUMN_FIELDS = "template_id string, column_name string, column_order int"
-VERDICT_STEPS = ("file_uploaded", "schema_validated", "constraints_checked", "writing_to_catalog")
+STEPS = ("file_uploaded", "schema_validated", "constraints_checked", "writing_to_catalog")
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         ),
         "files",
     )
+    _write_start(gated, template_id, ctx)
     accepted = gated.filter(F.col("gate") == "ok")
     rejected = gated.filter(F.col("gate") != "ok")
     uploads = accepted.select("upload_id", F.lit(template_id).alias("template_id"))
@@ -155,43 +156,56 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         )
         log = observed_log(observation, rules)
 
-    _write_history(verdicts, rejected, template_id, ctx)
+    _write_end(verdicts, rejected, template_id, ctx)
     remove_folder(spark, staging)  # as large as the input; a failed run leaves it for inspection
     return IngestResult(ctx.run_id, verdicts, errors, rejected, log, wrote)
 
 
-def _write_history(verdicts: DataFrame, rejected: DataFrame, template_id: str, ctx: IngestContext) -> None:
-    """Step events of this run: (upload_id, event_id, ts, status, counts). Appended once
-    per run; a repeated run replaces its own events."""
-    at = F.lit(ctx.uploaded_at).cast("timestamp")
-    failed = F.col("outcome") == "failed"
-    steps = F.array(*[F.lit(s) for s in VERDICT_STEPS])
-    reached = F.when(failed, F.slice(steps, 1, 3)).otherwise(steps)
+COUNTS = ("total_rows", "valid_rows", "invalid_rows", "dropped_rows")
+
+
+def _write_start(files: DataFrame, template_id: str, ctx: IngestContext) -> None:
+    """The first event of every file of the run, so that a run that dies leaves a trace."""
+    events = files.select(
+        "upload_id",
+        F.lit(template_id).alias("template_id"),
+        F.lit(0).alias("step"),
+        F.lit(STEPS[0]).alias("status"),
+        *[F.lit(None).cast("bigint").alias(c) for c in COUNTS],
+    )
+    _write_events(events, ctx, "start")
+
+
+def _write_end(verdicts: DataFrame, rejected: DataFrame, template_id: str, ctx: IngestContext) -> None:
+    """The other steps of judged uploads with their counts, and the failure of rejected files."""
+    steps = F.array(*[F.lit(s) for s in STEPS])
+    reached = F.when(F.col("outcome") == "failed", F.slice(steps, 2, 2)).otherwise(F.slice(steps, 2, 3))
     judged = verdicts.select(
         "upload_id",
         "template_id",
-        F.posexplode(F.concat(reached, F.array("outcome"))).alias("step", "status"),
-        "total_rows",
-        "valid_rows",
-        "invalid_rows",
-        "dropped_rows",
-    )
+        F.posexplode(F.concat(reached, F.array("outcome"))).alias("position", "status"),
+        *COUNTS,
+    ).withColumn("step", F.col("position") + 1)
     refused = rejected.select(
         "upload_id",
         F.lit(template_id).alias("template_id"),
-        F.posexplode(F.array(F.lit("file_uploaded"), F.lit("failed"))).alias("step", "status"),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("total_rows", "valid_rows", "invalid_rows", "dropped_rows")],
+        F.lit(1).alias("step"),
+        F.lit("failed").alias("status"),
+        *[F.lit(None).cast("bigint").alias(c) for c in COUNTS],
     )
-    events = judged.unionByName(refused).select(
+    _write_events(judged.drop("position").unionByName(refused), ctx, "end")
+
+
+def _write_events(events: DataFrame, ctx: IngestContext, stage: str) -> None:
+    """Append step events (upload_id, template_id, event_id, ts, status, uploaded_by,
+    counts); a repeated run replaces its own."""
+    rows = events.select(
         "upload_id",
         "template_id",
         F.col("step").cast("bigint").alias("event_id"),
-        at.alias("ts"),
+        F.lit(ctx.uploaded_at).cast("timestamp").alias("ts"),
         "status",
         F.lit(ctx.uploaded_by).alias("uploaded_by"),
-        "total_rows",
-        "valid_rows",
-        "invalid_rows",
-        "dropped_rows",
+        *COUNTS,
     )
-    events.write.mode("overwrite").parquet(f"{ctx.history_path.rstrip('/')}/run_id={ctx.run_id}")
+    rows.write.mode("overwrite").parquet(f"{ctx.history_path.rstrip('/')}/run_id={ctx.run_id}/stage={stage}")

@@ -336,6 +336,14 @@ def test_nothing_passes_nothing_is_written(spark, tmp_path):
     assert not result.wrote and not os.path.exists(ctx.target_path)
 
 
+def test_a_failing_run_leaves_its_start(spark, tmp_path, landing):
+    ctx = context(tmp_path, checks={"broken": "no_such_column > 1"})
+    with pytest.raises(Exception, match="no_such_column"):
+        ingest(spark, landing, SALES, ctx)
+    events = spark.read.parquet(ctx.history_path).select("status", "stage").distinct().collect()
+    assert [tuple(r) for r in events] == [("file_uploaded", "start")]
+
+
 def test_stream_takes_each_file_once_and_equals_the_batch(spark, tmp_path, rows_of):
     landing, ctx, checkpoint = tmp_path / "landing", context(tmp_path), str(tmp_path / "checkpoint")
 
