@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from sluicegate.model import MASK_WIDTH
 
 # Unicode white space; Java's plain \s is ASCII only.
-WHITE_SPACE = (
-    "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
-    "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+WHITE_SPACE = "".join(
+    chr(c)
+    for low, high in (
+        (0x09, 0x0D),
+        (0x1C, 0x20),
+        (0x85, 0x85),
+        (0xA0, 0xA0),
+        (0x1680, 0x1680),
+        (0x2000, 0x200A),
+        (0x2028, 0x2029),
+        (0x202F, 0x202F),
+        (0x205F, 0x205F),
+        (0x3000, 0x3000),
+    )
+    for c in range(low, high + 1)
 )
 
 
@@ -49,6 +61,8 @@ def create_mask_function(spark: SparkSession, name: str = "mask_pii_string", tem
 
 
 def html_to_text(html: Column | str) -> Column:
-    """Drop tags, then collapse white space."""
+    """Drop tags, then collapse white space. All white space becomes a plain space first,
+    so that only runs of spaces are left to replace."""
     without_tags = F.regexp_replace(_col(html), "<[^>]+>", "")
-    return F.trim(F.regexp_replace(without_tags, WHITE_SPACE, " "))
+    spaced = F.translate(without_tags, WHITE_SPACE, " " * len(WHITE_SPACE))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
