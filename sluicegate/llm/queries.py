@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import chat_layouts, divergence_rules, jump_shards, url_vocabulary
+from sluicegate.llm import (
+    chat_layouts,
+    divergence_rules,
+    jump_shards,
+    rank_queue_bpe,
+    token_transducer,
+    url_vocabulary,
+)
 from sluicegate.llm.tables import table
 
 PAGE_RULES = (
@@ -16,6 +24,15 @@ PAGE_RULES = (
     url_vocabulary.Rule("block", "net", "/fr/"),
 )
 SHARDS = 24
+TOKEN_LIMIT = 512
+COUNTED_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+ENCODED_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text."""
+    counted = token_transducer.count_tokens(table(spark, sf_dir, "documents"), COUNTED_VOCABULARY)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +184,26 @@ def _op7_sql() -> str:
     """
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded, digested, decoded again and digested."""
+    documents = table(spark, sf_dir, "documents")
+    encoded = rank_queue_bpe.encode_texts(documents, ENCODED_VOCABULARY, public_tokenizers.PATTERN)
+    digested = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
+    decoded = rank_queue_bpe.decode_ids(digested, ENCODED_VOCABULARY, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 24 and its slot there, and its shard among 25."""
     return jump_shards.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filter": op7_url_filter,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_jump_sharding": op9_jump_sharding,
 }
 
