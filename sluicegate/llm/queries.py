@@ -10,6 +10,7 @@ from sluicegate.llm import (
     chat_layouts,
     divergence_rules,
     jump_shards,
+    odd_minhash,
     rank_queue_bpe,
     token_transducer,
     url_vocabulary,
@@ -198,6 +199,11 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and the component of its near-duplicates."""
+    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_chat_formatting": op3_chat_formatting,
@@ -205,6 +211,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jump_sharding": op9_jump_sharding,
+    "op10_odd_minhash": op10_odd_minhash,
 }
 
 ORACLES = {

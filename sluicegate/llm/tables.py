@@ -19,6 +19,14 @@ def widened(df: DataFrame, **columns: str) -> StructType:
     return StructType([*df.schema, *(StructField(n, DataType.fromDDL(t)) for n, t in columns.items())])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Staging:
     """A folder of intermediate tables in `spark.checkpoint.dir`.
 
