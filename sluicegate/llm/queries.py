@@ -10,6 +10,8 @@ from sluicegate.llm import (
     chat_layouts,
     divergence_rules,
     jump_shards,
+    kmeans_tree,
+    licence_sentences,
     odd_minhash,
     rank_queue_bpe,
     token_transducer,
@@ -80,6 +82,12 @@ from marked group by conv_id
 """
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every hundredth id."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    return kmeans_tree.nearest_neighbours(embeddings, "vec_id % 100 = 0")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return divergence_rules.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
@@ -147,6 +155,45 @@ from judged
 """
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that each document states, joined by commas."""
+    found = licence_sentences.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_known")
+
+
+def _op6_sql() -> str:
+    known = ", ".join(f"({n}, '{s}')" for s, n in licence_sentences.known_sentences().items())
+    rules = ", ".join(
+        f"('{r.licence}', '{licence_sentences.rule_pattern(r)}')" for r in licence_sentences.RULES
+    )
+    return rf"""
+    with known(n, s) as (values {known}), rules(licence, pattern) as (values {rules}),
+    marked as (select row_number() over () as id, doc_id, regexp_replace(lower(regexp_replace(coalesce(text, ''),
+      '([.!?:;][''")]*)[ 	
+]+', '' || chr(1), 'g')), '[^a-z0-9
+]+', ' ', 'g') as t from documents),
+    pieces as (
+      select id, 'line' as how, unnest(regexp_split_to_array(t, '[
+]')) as s, generate_subscripts(regexp_split_to_array(t, '[
+]'), 1) as i from marked
+      union all
+      select id, 'block', unnest(string_split(b, chr(1))), generate_subscripts(string_split(b, chr(1)), 1) from (
+        select id, regexp_replace(regexp_replace(t, '
+(?: ?
+)+', chr(1), 'g'), ' ?
+ ?', ' ', 'g') as b from marked)
+    ),
+    numbered as (select id, how, i, coalesce(n, 0) as n from (select id, how, i, trim(s, ' ') as s from pieces)
+      left join known using (s) where s <> ''),
+    sequences as (select id, how, string_agg(' ' || n || ' ', '' order by i) as seq,
+      count(*) filter (n > 0 and how = 'line') as known_lines from numbered group by id, how),
+    found as (select id, string_agg(distinct licence, ',' order by licence) as licences
+      from sequences join rules on regexp_matches(seq, pattern) group by id)
+    select doc_id, coalesce(licences, '') as licences, coalesce(known_lines, 0)::bigint as n_known
+    from marked left join found using (id) left join (select id, known_lines from sequences where how = 'line') using (id)
+    """
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     judged = url_vocabulary.judge_urls(table(spark, sf_dir, "pages"), PAGE_RULES)
@@ -207,7 +254,9 @@ def op10_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_kmeans_tree": op4_kmeans_tree,
     "op5_quality_rules": op5_quality_rules,
+    "op6_licence_scan": op6_licence_scan,
     "op7_url_filter": op7_url_filter,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jump_sharding": op9_jump_sharding,
@@ -217,5 +266,6 @@ QUERIES = {
 ORACLES = {
     "op3_chat_formatting": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op6_licence_scan": _op6_sql(),
     "op7_url_filter": _op7_sql(),
 }
