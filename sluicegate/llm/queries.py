@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +14,31 @@ from sluicegate.llm import (
     licence_sentences,
     odd_minhash,
     rank_queue_bpe,
+    soft_mixing,
     token_transducer,
     url_vocabulary,
 )
+from sluicegate.llm.settings import (
+    COUNTED_VOCABULARY,
+    ENCODED_VOCABULARY,
+    MIXTURE_ANCHOR,
+    MIXTURE_EPOCHS,
+    MIXTURE_WEIGHTS,
+    PAGE_RULES,
+    PATTERN,
+    SHARDS,
+    TOKEN_LIMIT,
+    labelled_domains,
+)
 from sluicegate.llm.tables import table
 
-PAGE_RULES = (
-    url_vocabulary.Rule("allow", "com"),
-    url_vocabulary.Rule("block", "example.com", "/en/"),
-    url_vocabulary.Rule("allow", "www.example.com", "/en/"),
-    url_vocabulary.Rule("block", "net", "/es/"),
-    url_vocabulary.Rule("block", "net", "/fr/"),
-)
-SHARDS = 24
-TOKEN_LIMIT = 512
-COUNTED_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-ENCODED_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domain, rate and copies in a mixture of set weights."""
+    documents = table(spark, sf_dir, "documents")
+    labelled = labelled_domains(spark, sf_dir)
+    mixture = soft_mixing.fit_mixture(documents, labelled, MIXTURE_WEIGHTS, MIXTURE_ANCHOR, MIXTURE_EPOCHS)
+    return soft_mixing.mixing_rates(documents, mixture)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +179,8 @@ def _op6_sql() -> str:
     with known(n, s) as (values {known}), rules(licence, pattern) as (values {rules}),
     marked as (select row_number() over () as id, doc_id, regexp_replace(lower(regexp_replace(coalesce(text, ''),
       '([.!?:;][''")]*)[ 	
-]+', '' || chr(1), 'g')), '[^a-z0-9
+
+]+', '' || chr(1), 'g')), '[^a-z0-9
 ]+', ' ', 'g') as t from documents),
     pieces as (
       select id, 'line' as how, unnest(regexp_split_to_array(t, '[
@@ -235,9 +245,9 @@ def _op7_sql() -> str:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded, digested, decoded again and digested."""
     documents = table(spark, sf_dir, "documents")
-    encoded = rank_queue_bpe.encode_texts(documents, ENCODED_VOCABULARY, public_tokenizers.PATTERN)
+    encoded = rank_queue_bpe.encode_texts(documents, ENCODED_VOCABULARY, PATTERN)
     digested = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = rank_queue_bpe.decode_ids(digested, ENCODED_VOCABULARY, public_tokenizers.PATTERN)
+    decoded = rank_queue_bpe.decode_ids(digested, ENCODED_VOCABULARY, PATTERN)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -252,6 +262,7 @@ def op10_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_kmeans_tree": op4_kmeans_tree,
@@ -261,6 +272,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_odd_minhash": op10_odd_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

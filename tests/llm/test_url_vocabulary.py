@@ -3,7 +3,7 @@ import re
 from hypothesis import given
 from hypothesis import strategies as st
 
-from sluicegate.llm.queries import PAGE_RULES
+from sluicegate.llm.settings import PAGE_RULES
 from sluicegate.llm.url_vocabulary import SOFT, STRICT, automaton, hits, judge_urls
 
 FOUND = automaton(STRICT, SOFT)
