@@ -11,9 +11,12 @@ comparing them with all rows, and the visits are widened until the leaves visite
 wanted share of these neighbours. A query goes on beyond that until its leaves hold more
 than k vectors. Distances inside the visited leaves are exact.
 
-Leaves are dealt into blocks of `BLOCK_ROWS` vectors and their queries into as many, by
-measured counts, so that a leaf full of equal vectors is many tasks. What is broadcast is
-the tree, the calibration queries and two counts per leaf, all bounded by parameters.
+Neighbouring leaves are stored together in bins of about `BLOCK_ROWS` vectors. A query goes
+to a bin once with the list of the leaves that it visits there, and takes k candidates back.
+A leaf with more vectors is a bin of several blocks, and the queries of a bin are dealt into
+slots, by measured counts, so that a leaf full of equal vectors is many tasks. What is
+broadcast is the tree, the calibration queries and a few numbers per leaf, all bounded by
+parameters.
 
 Defined results: vectors that are NULL, of another length than most, zero, or with NULL or
 non-finite components take no part, as query or candidate; nor do rows without an id. Rows
@@ -39,7 +42,7 @@ SAMPLE_ROWS = 20_000
 BRANCHING = 8
 LEAF_ROWS = 16
 CALIBRATION_QUERIES = 200
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
 BLOCK_ROWS = 4096
 _STEPS = 12
 
@@ -230,36 +233,54 @@ def nearest_neighbours(
     some = sample[:CALIBRATION_QUERIES]
     visits = calibrated_visits(tree, some, _exact_leaves(placed, some, k), target_recall)
 
+    bin_of = _bins(rows_of, block_rows)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.visited(p, visits, rows_of, k + 1) for p in _arrays(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.list_(pa.int64()))], ["id", "vector", "leaves"]
-            )
+            found = []
+            for point in _arrays(batch.column(1)):
+                by_bin: dict[int, list[int]] = {}
+                for leaf in shared.value.visited(point, visits, rows_of, k + 1):
+                    by_bin.setdefault(bin_of[leaf], []).append(leaf)
+                found.append([{"bin": b, "leaves": leaves} for b, leaves in by_bin.items()])
+            kind = pa.list_(pa.struct([("bin", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], ["id", "vector", "visits"])
 
     asked = placed.filter("asked").groupBy("id").agg(F.min("vector").alias("vector"))
+    visit_type = "id bigint, vector array<double>, visits array<struct<bin:bigint,leaves:array<bigint>>>"
     probes = staging.keep(
-        asked.mapInArrow(visit, "id bigint, vector array<double>, leaves array<bigint>").select(
-            "id", "vector", F.explode("leaves").alias("leaf")
-        ),
-        "probes",
+        asked.mapInArrow(visit, visit_type).select("id", "vector", F.inline("visits")), "probes"
     )
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    slots = probes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("slots"))
-    dealing = F.broadcast(staging.keep(blocks.join(slots, "leaf"), "dealing"))  # a row per leaf
+    leaf_bins = spark.createDataFrame(list(enumerate(bin_of)), "leaf bigint, bin bigint")
+    binned = placed.join(F.broadcast(leaf_bins), "leaf")
+    blocks = binned.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    slots = probes.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("slots"))
+    dealing = F.broadcast(staging.keep(blocks.join(slots, "bin"), "dealing"))  # a row per bin
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    stored = placed.join(dealing, "leaf").select(
-        "leaf", own("blocks").alias("block"), every("slots").alias("slot"), F.lit(0).alias("side"), "id", "vector"
+    stored = binned.join(dealing, "bin").select(
+        "bin",
+        own("blocks").alias("block"),
+        every("slots").alias("slot"),
+        F.lit(0).alias("side"),
+        "id",
+        "vector",
+        F.array("leaf").alias("leaves"),
     )
-    asking = probes.join(dealing, "leaf").select(
-        "leaf", every("blocks").alias("block"), own("slots").alias("slot"), F.lit(1).alias("side"), "id", "vector"
+    asking = probes.join(dealing, "bin").select(
+        "bin",
+        every("blocks").alias("block"),
+        own("slots").alias("slot"),
+        F.lit(1).alias("side"),
+        "id",
+        "vector",
+        "leaves",
     )
-    by = ["leaf", "block", "slot"]
+    by = ["bin", "block", "slot"]
     met = stored.unionByName(asking).repartition(*by).sortWithinPartitions(*by, "side", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, points = None, [], []
+        current, ids, points, leaves = None, [], [], []
         for batch in batches:
             heads = zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
             sides, own_ids, matrix = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _arrays(batch.column(5))
@@ -267,17 +288,18 @@ def nearest_neighbours(
             stacked = None
             for i, head in enumerate(heads):
                 if head != current:
-                    current, ids, points, stacked = head, [], [], None
+                    current, ids, points, leaves, stacked = head, [], [], [], None
+                at = batch.column(6)[i].as_py()
                 if sides[i] == 0:
                     ids.append(own_ids[i])
                     points.append(matrix[i])
+                    leaves.append(at[0])
                     stacked = None
-                    continue
-                if not ids:
-                    continue
-                if stacked is None:
-                    stacked = (np.array(ids), np.stack(points))
-                out += _closest(int(own_ids[i]), matrix[i], *stacked, k)
+                elif ids:
+                    if stacked is None:
+                        stacked = (np.array(ids), np.stack(points), np.array(leaves))
+                    visited = np.isin(stacked[2], at)
+                    out += _closest(int(own_ids[i]), matrix[i], stacked[0][visited], stacked[1][visited], k)
             kinds = (pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["query_id", "id", "score"]
@@ -291,6 +313,18 @@ def nearest_neighbours(
     )
 
 
+def _bins(rows_of: list[int], block_rows: int) -> list[int]:
+    """The bin of each leaf: runs of leaves, neighbours in the tree, with `block_rows`
+    vectors at most together, or one larger leaf."""
+    bins, number, held = [], 0, 0
+    for rows in rows_of:
+        if held and held + rows > block_rows:
+            number, held = number + 1, 0
+        bins.append(number)
+        held += rows
+    return bins
+
+
 def _closest(query: int, point: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k nearest different ids of a block, the query's own left out."""
     away = np.sqrt(((points - point) ** 2).sum(axis=1))
