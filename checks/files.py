@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,13 @@ from checks.validation import CLEAN_SQL, ERRORS_SQL, NAMES, ORDERS, VERDICT_SQL,
 from sluicegate.functions.paths import parse_stored_path, stored_path
 from sluicegate.model import ColumnConfig, TemplateConfig
 from sluicegate.operators.gates import check_headers
+from sluicegate.operators.provision import provision
 from sluicegate.operators.publish import with_audit_columns
 from sluicegate.operators.validate import ragged_errors
 from sluicegate.plans.ingest import IngestContext, ingest
 from sluicegate.sources import files, sinks
-from sluicegate.sources.workspace import new_folder
-from sluicegate.streaming.ingest import ingest_stream
+from sluicegate.sources.workspace import materialise, new_folder
+from sluicegate.streaming.ingest import BATCH, ingest_stream
 
 UPLOAD_OF_PATH = "cast(regexp_extract(path, 'upload_id=([0-9]+)', 1) as bigint)"
 INGESTED = dataclasses.replace(ORDERS, bad_row_threshold="8.00", bad_row_action="drop", write_mode="append")
@@ -208,6 +210,95 @@ def streamed_rows(spark, sf):
     return spark.read.parquet(ctx.target_path).select(*NAMES, "uploaded_by")
 
 
+def _by_parts(spark: SparkSession, sf: str, folder: str, parts: int) -> list[str]:
+    """The uploads of the orders files dealt over folders of their own, as links would do."""
+    rows = view(spark, sf, "filed_orders").select("*", (F.col("upload_id") % parts).alias("part"))
+    ordered = rows.repartition("upload_id").sortWithinPartitions("upload_id", "order_number")
+    ordered.select("part", "upload_id", *NAMES).write.partitionBy("part", "upload_id").option("header", True).csv(folder)
+    return [f"{folder}/part={i}" for i in range(parts)]
+
+
+def streamed_table_rows(spark, sf):
+    """Two streams one after the other into one provisioned table: their slices add up."""
+    parts = _by_parts(spark, sf, new_folder(spark, "landing"), 2)
+    name = f"streamed_{uuid.uuid4().hex}"
+    cfg = dataclasses.replace(INGESTED, fully_qualified_name=name)
+    provision(spark, [cfg], slice_column=BATCH)
+    ctx = dataclasses.replace(_context(spark), target_path=None, target_table=name)
+    for folder in parts:
+        ingest_stream(spark, folder, cfg, ctx, new_folder(spark, "checkpoint")).awaitTermination()
+    return _taken(spark, name).select(*NAMES, "uploaded_by")
+
+
+def overwritten_table(spark, sf):
+    """A provisioned table, filled, then overwritten by a selection of itself; with the
+    number of column comments that are still there."""
+    name = f"overwritten_{uuid.uuid4().hex}"
+    cfg = dataclasses.replace(ORDERS, fully_qualified_name=name)
+    provision(spark, [cfg])
+    sinks.write_target(_audited(spark, sf), cfg, "overwrite", table=name)
+    sinks.write_target(spark.table(name).filter("amount > 200000"), cfg, "overwrite", table=name)
+    comments = sum(1 for c in spark.catalog.listColumns(name) if c.description)
+    return _taken(spark, name).drop("uploaded_at").withColumn("comments", F.lit(comments))
+
+
+def _taken(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of a table made for one query, which is dropped."""
+    rows = materialise(spark.table(name), "taken")
+    spark.sql(f"drop table {name}")
+    return rows
+
+
+def nested_uploads(spark, sf):
+    """Files of one name in many folders, told apart by their path below the landing folder."""
+    rows = view(spark, sf, "filed_orders").filter("upload_id % 1000 = 0").select("upload_id", *NAMES)
+    folder = new_folder(spark, "landing")
+    rows.repartition("upload_id").write.partitionBy("upload_id").option("header", True).csv(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for r in files.list_files(spark, folder, "*.csv").select("path").collect():
+        path = hadoop.Path(r.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path, hadoop.Path(path.getParent(), "orders.csv"))
+    verdicts = ingest(spark, folder, INGESTED, dataclasses.replace(_context(spark), upload_id=None)).verdicts
+    return verdicts.select("upload_id", "total_rows")
+
+
+TEXTS = TemplateConfig(
+    columns=(
+        ColumnConfig("doc_id", "BIGINT", is_nullable=False, column_order=0),
+        ColumnConfig("text", "STRING", column_order=1),
+        ColumnConfig("lang", "STRING", column_order=2),
+    ),
+    template_id="texts",
+    bad_row_threshold="0.00",
+    multi_line=True,
+)
+
+
+def multi_line_texts(spark, sf):
+    """Documents, line breaks and all, as quoted CSV cells, ingested and read back."""
+    folder = new_folder(spark, "landing")
+    texts = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    ctx = dataclasses.replace(_context(spark), upload_id=None)
+    ingest(spark, folder, TEXTS, ctx)
+    return spark.read.parquet(ctx.target_path).select("doc_id", F.trim("text").alias("text"), "lang")
+
+
+def ingested_history(spark, sf):
+    """The events of a run: status by status, with their counts."""
+    ctx = _context(spark)
+    ingest(spark, order_files(spark, sf), INGESTED, ctx)
+    events = spark.read.parquet(ctx.history_path)
+    return events.select("upload_id", "event_id", "status", "total_rows", "valid_rows", "dropped_rows", "written_rows")
+
+
+def ingested_log(spark, sf):
+    """The stored log of a run's expectations, one of which drops rows."""
+    ctx = dataclasses.replace(_context(spark), checks={"amount_limit": "amount < 400000"})
+    ingest(spark, order_files(spark, sf), INGESTED, ctx)
+    return spark.read.parquet(f"{ctx.history_path}_expectations").select("rule", "processed", "passed", "dropped")
+
+
 _NUMBERED = """
 numbered as (select upload_id, 'orders' as template_id, row_number() over (partition by upload_id order by order_number)
     as row_number, order_code, nullif(cust_code, '') as cust_code, amount, order_date, note from filed_orders),
@@ -226,6 +317,20 @@ _STORED_PATH = """select o_orderkey, 'landing/' || lower(regexp_replace(o_orderp
   || '/t_' || o_custkey || '/t_' || o_custkey || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.'
   || case when o_orderkey % 2 = 0 then 'csv' else 'xlsx' end as path from orders"""
 
+_EVENTS_SQL = """
+select upload_id, cast(0 as bigint) as event_id, 'file_uploaded' as status, null::bigint as total_rows,
+  null::bigint as valid_rows, null::bigint as dropped_rows, null::bigint as written_rows from verdicts
+union all
+select upload_id, i, s, total_rows, valid_rows, dropped_rows, case when outcome = 'failed' then 0 else valid_rows end
+from verdicts, lateral (values (1::bigint, 'schema_validated'), (2, 'constraints_checked'),
+  (3, case when outcome = 'failed' then 'failed' else 'writing_to_catalog' end),
+  (4, case when outcome <> 'failed' then outcome end)) as e(i, s) where s is not null"""
+_LOG_SQL = """
+select rule, (select count(*) from clean) as processed, (select count(*) from clean) - dropped as passed, dropped
+from (select unnest(['order_code_not_null', 'cust_code_not_null', 'amount_not_null', 'order_date_not_null',
+    'amount_limit']) as rule,
+  unnest([0, 0, 0, 0, (select count(*) from clean where not coalesce(amount < 400000, false))])::bigint as dropped)"""
+
 QUERIES = {
     "csv_scan": (
         scanned_orders,
@@ -285,5 +390,31 @@ where length(raw_value) - length(replace(raw_value, ',', '')) <> 2""",
     "ingested_rows": (ingested_rows, _over_files(f"select {_TARGET}, 's1@x.test' as uploaded_by from clean")),
     "ingested_verdicts": (ingested_verdicts, _over_files("select * from verdicts")),
     "ingested_errors": (ingested_errors, _over_files("select * from errors")),
+    "streamed_table_rows": (
+        streamed_table_rows,
+        _over_files(f"select {_TARGET}, 's1@x.test' as uploaded_by from clean"),
+    ),
+    "overwritten_table": (
+        overwritten_table,
+        report(
+            f"select {_TARGET}, 's1@x.test' as uploaded_by, 'orders_' || upload_id || '.csv' as source_file, "
+            "(select count(*) from raw_orders_columns where is_pii)::int as comments from clean where amount > 200000",
+            "raw_orders raw_orders_templates raw_orders_columns",
+        ),
+    ),
+    "nested_uploads": (
+        nested_uploads,
+        with_views(
+            "filed_orders",
+            "select 'upload_id=' || upload_id || '/orders.csv' as upload_id, count(*) as total_rows from filed_orders "
+            "where upload_id % 1000 = 0 group by upload_id",
+        ),
+    ),
+    "multi_line_texts": (
+        multi_line_texts,
+        "select doc_id, nullif(trim(text, ' '), '') as text, lang from documents",
+    ),
+    "ingested_history": (ingested_history, _over_files(_EVENTS_SQL)),
+    "ingested_log": (ingested_log, _over_files(_LOG_SQL)),
     "streamed_rows": (streamed_rows, _over_files(f"select {_TARGET}, 's1@x.test' as uploaded_by from clean")),
 }

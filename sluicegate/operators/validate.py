@@ -208,7 +208,8 @@ def verdict(
     `rows`: upload_id, template_id per data row, or counted already as `total_rows` per
     upload; `templates`: template_id, bad_row_threshold, bad_row_action; `uploads`
     (upload_id, template_id) adds uploads without any data row. An error in row 0
-    concerns the header and fails the upload.
+    concerns the file as a whole, like its header, and fails the upload; none of its rows
+    count as valid then.
     """
     count = F.sum("total_rows") if "total_rows" in rows.columns else F.count(F.lit(1))
     totals = rows.groupBy("upload_id", "template_id").agg(count.alias("total_rows"))
@@ -242,7 +243,9 @@ def verdict(
         "template_id",
         "total_rows",
         "invalid_rows",
-        (F.col("total_rows") - F.col("invalid_rows")).alias("valid_rows"),
+        F.when(F.col("bad_header"), F.lit(0).cast("bigint"))
+        .otherwise(F.col("total_rows") - F.col("invalid_rows"))
+        .alias("valid_rows"),
         F.when(outcome == "partial", F.col("invalid_rows")).otherwise(F.lit(0).cast("bigint")).alias("dropped_rows"),
         F.when(F.col("total_rows") == 0, F.lit(0.0))
         .otherwise((F.col("invalid_rows") * 100).cast("double") / F.greatest("total_rows", F.lit(1).cast("bigint")))

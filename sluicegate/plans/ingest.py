@@ -3,6 +3,8 @@ write with expectations and audit columns, error rows, history."""
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -12,16 +14,23 @@ from pyspark.sql import functions as F
 
 from sluicegate.model import MAX_UPLOAD_BYTES, TemplateConfig
 from sluicegate.operators.gates import check_headers, header_errors, upload_gates
-from sluicegate.operators.publish import expectations, observe_expectations, observed_log, with_audit_columns
-from sluicegate.operators.validate import clean_rows, validate, verdict
+from sluicegate.operators.publish import (
+    expectations,
+    meets_all,
+    observe_expectations,
+    observed_log,
+    with_audit_columns,
+)
+from sluicegate.operators.validate import ROW_COLUMN, clean_rows, validate, verdict
 from sluicegate.sources.files import (
     FILE_NAME,
-    UPLOAD_ID,
     data_rows,
     empty_files,
     header_rows,
     list_files,
     number_records,
+    open_quotes,
+    path_below,
     record_counts,
     scan_csv,
 )
@@ -34,8 +43,9 @@ STEPS = ("file_uploaded", "schema_validated", "constraints_checked", "writing_to
 
 @dataclass(frozen=True)
 class IngestContext:
-    """Where a run writes and on whose behalf. `upload_id` turns a file path column into
-    the identity of the upload (default: the file name)."""
+    """Where a run writes and on whose behalf. `upload_id` is an SQL expression over `path`
+    that gives the identity of the upload (default: the path below the folder that is
+    read). `log_path` takes the log of expectations (default: beside the history)."""
 
     uploaded_by: str
     uploaded_at: str
@@ -48,7 +58,8 @@ class IngestContext:
     fmt: str = "parquet"
     max_bytes: int = MAX_UPLOAD_BYTES
     checks: Mapping[str, str] = field(default_factory=dict)
-    upload_id: str = UPLOAD_ID
+    upload_id: str | None = None
+    log_path: str | None = None
     slice: tuple[str, str] | None = None  # partition of the target that this run replaces
 
 
@@ -83,6 +94,10 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     """
     template_id = str(cfg.template_id)
     columns, templates = _config_frames(spark, cfg)
+    times = {STEPS[0]: ctx.uploaded_at}
+    if ctx.upload_id is None:
+        roots = [paths] if isinstance(paths, str) else list(paths)
+        ctx = dataclasses.replace(ctx, upload_id=path_below(spark, *roots))
 
     listed = list_files(spark, paths).unionByName(empty_files(spark, paths))
     gated = materialise(
@@ -91,12 +106,16 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         ),
         "files",
     )
+    same = gated.groupBy("upload_id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
+    if twice := [r["upload_id"] for r in same.limit(5).collect()]:
+        raise ValueError(f"several files have the same upload id: {twice}")
     _write_start(gated, template_id, ctx)
     accepted = gated.filter(F.col("gate") == "ok")
     rejected = gated.filter(F.col("gate") != "ok")
     uploads = accepted.select("upload_id", F.lit(template_id).alias("template_id"))
 
-    scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, pathGlobFilter="*.[cC][sS][vV]")
+    only = {"pathGlobFilter": "*.[cC][sS][vV]"}
+    scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, **only)
     staging = new_folder(spark, "ingest")
     numbered = number_records(scan, folder=staging, upload_id=ctx.upload_id)
 
@@ -106,10 +125,18 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     )
     checked = materialise(check_headers(headers, columns), "headers")
     bad_headers = checked.filter(~F.col("header_ok")).select("upload_id")
+    file_errors = header_errors(checked)
+    if not cfg.multi_line:
+        broken = _quote_errors(open_quotes(numbered.staged, cfg, paths, encoding=cfg.encoding, **only), ctx)
+        broken = materialise(broken.join(bad_headers, "upload_id", "left_anti"), "open_quotes", staging)
+        bad_headers = bad_headers.unionByName(broken.select("upload_id"))
+        file_errors = file_errors.unionByName(broken)
+    bad_headers = materialise(bad_headers, "bad_headers", staging)
+    times[STEPS[1]] = _now()
 
     rows = data_rows(numbered.rows).join(broadcast_if_small(bad_headers), "upload_id", "left_anti")
     errors = write_errors(
-        validate(rows, cfg).unionByName(header_errors(checked)), ctx.errors_path, ctx.run_id
+        validate(rows, cfg).unionByName(file_errors), ctx.errors_path, ctx.run_id
     )
     verdicts = materialise(
         verdict(
@@ -118,6 +145,8 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         "verdicts",
     )
 
+    times[STEPS[2]] = times[STEPS[3]] = _now()
+
     passing = verdicts.filter(F.col("outcome") != "failed")
     if cfg.write_mode == "overwrite":
         # Uploads replace each other: the newest passing file is what remains.
@@ -138,9 +167,10 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         keep = ("upload_id", "row_number", FILE_NAME)
         clean = clean_rows(rows, cfg, broadcast_if_small(passing), repeated, keep)
         if ctx.validated_path:
-            write_validated(clean, ctx.validated_path, ctx.fmt, scattered=bool(cfg.unique) and few is None)
-            stored = spark.read.schema(clean.schema).format(ctx.fmt).load(ctx.validated_path)
-            clean = stored.join(broadcast_if_small(passing.select("upload_id")), "upload_id", "left_semi")
+            # A folder per run, so that what is read back is what this run wrote.
+            folder = f"{ctx.validated_path.rstrip('/')}/run_id={ctx.run_id}"
+            write_validated(clean, folder, ctx.fmt, scattered=bool(cfg.unique) and few is None)
+            clean = spark.read.schema(clean.schema).format(ctx.fmt).load(folder)
         rules = expectations(cfg, ctx.checks)
         kept, observation = observe_expectations(clean, rules, f"expectations_{ctx.run_id}")
         target = with_audit_columns(kept, ctx.uploaded_by, ctx.uploaded_at, F.col(FILE_NAME))
@@ -155,13 +185,50 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
             slice_column=ctx.slice[0] if ctx.slice else None,
         )
         log = observed_log(observation, rules)
+        _write_log(spark, log, template_id, ctx)
+        written = passing.select("upload_id", F.col("valid_rows").alias("written_rows"))
+        if any(dropped for *_, dropped in log):
+            counted = clean.filter(meets_all(rules)).groupBy("upload_id").agg(F.count(F.lit(1)).alias("written_rows"))
+            written = written.drop("written_rows").join(counted, "upload_id", "left").fillna(0, ["written_rows"])
+    else:
+        written = passing.select("upload_id", F.lit(0).cast("bigint").alias("written_rows"))
 
-    _write_end(verdicts, rejected, template_id, ctx)
+    _write_end(verdicts, written, bad_headers, rejected, template_id, ctx, times)
     remove_folder(spark, staging)  # as large as the input; a failed run leaves it for inspection
     return IngestResult(ctx.run_id, verdicts, errors, rejected, log, wrote)
 
 
-COUNTS = ("total_rows", "valid_rows", "invalid_rows", "dropped_rows")
+COUNTS = ("total_rows", "valid_rows", "invalid_rows", "dropped_rows", "written_rows")
+
+
+def _now() -> str:
+    return datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%fZ")
+
+
+def _quote_errors(lines: DataFrame, ctx: IngestContext) -> DataFrame:
+    """One error for each upload with an open quote, in the row of the file as a whole."""
+    return (
+        lines.select(F.expr(ctx.upload_id).alias("upload_id"), "line")
+        .groupBy("upload_id")
+        .agg(F.min("line").alias("raw_value"))
+        .select(
+            "upload_id",
+            F.lit(0).cast("bigint").alias("row_number"),
+            F.lit(ROW_COLUMN).alias("column_name"),
+            F.lit("SCHEMA_MISMATCH").alias("error_type"),
+            F.lit("A quoted cell is not closed in its line, and the template is not multi-line").alias("error_message"),
+            "raw_value",
+        )
+    )
+
+
+def _write_log(spark: SparkSession, log: list[tuple[str, int, int, int]], template_id: str, ctx: IngestContext) -> None:
+    """The expectation log of the run, a row per expectation; a repeated run replaces it."""
+    entries = [(template_id, ctx.uploaded_by, *entry) for entry in log]
+    schema = "template_id string, uploaded_by string, rule string, processed long, passed long, dropped long"
+    folder = ctx.log_path or f"{ctx.history_path.rstrip('/')}_expectations"
+    rows = spark.createDataFrame(entries, schema)
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/run_id={ctx.run_id}")
 
 
 def _write_start(files: DataFrame, template_id: str, ctx: IngestContext) -> None:
@@ -171,29 +238,50 @@ def _write_start(files: DataFrame, template_id: str, ctx: IngestContext) -> None
         F.lit(template_id).alias("template_id"),
         F.lit(0).alias("step"),
         F.lit(STEPS[0]).alias("status"),
+        F.lit(ctx.uploaded_at).alias("at"),
         *[F.lit(None).cast("bigint").alias(c) for c in COUNTS],
     )
     _write_events(events, ctx, "start")
 
 
-def _write_end(verdicts: DataFrame, rejected: DataFrame, template_id: str, ctx: IngestContext) -> None:
-    """The other steps of judged uploads with their counts, and the failure of rejected files."""
-    steps = F.array(*[F.lit(s) for s in STEPS])
-    reached = F.when(F.col("outcome") == "failed", F.slice(steps, 2, 2)).otherwise(F.slice(steps, 2, 3))
-    judged = verdicts.select(
-        "upload_id",
-        "template_id",
-        F.posexplode(F.concat(reached, F.array("outcome"))).alias("position", "status"),
-        *COUNTS,
-    ).withColumn("step", F.col("position") + 1)
+def _write_end(
+    verdicts: DataFrame,
+    written: DataFrame,
+    bad_files: DataFrame,
+    rejected: DataFrame,
+    template_id: str,
+    ctx: IngestContext,
+    times: dict[str, str],
+) -> None:
+    """The other steps of judged uploads with their counts, and the failure of rejected
+    files. An upload whose file is wrong as a whole fails before its schema is accepted; one
+    that breaks its threshold has had its constraints checked."""
+    end = _now()
+    step = lambda name, at: F.struct(F.lit(name).alias("status"), F.lit(at).alias("at"))
+    checked = [step(name, times[name]) for name in STEPS[1:3]]
+    reached = (
+        F.when(F.col("_bad_file"), F.array().cast("array<struct<status:string,at:string>>"))
+        .when(F.col("outcome") == "failed", F.array(*checked))
+        .otherwise(F.array(*checked, step(STEPS[3], times[STEPS[3]])))
+    )
+    last = F.struct(F.col("outcome").alias("status"), F.lit(end).alias("at"))
+    judged = (
+        verdicts.join(written, "upload_id", "left")
+        .join(bad_files.select("upload_id", F.lit(True).alias("_bad_file")).distinct(), "upload_id", "left")
+        .fillna(0, ["written_rows"])
+        .fillna(False, ["_bad_file"])
+        .select("upload_id", "template_id", F.posexplode(F.concat(reached, F.array(last))).alias("position", "e"), *COUNTS)
+        .select("upload_id", "template_id", (F.col("position") + 1).alias("step"), "e.status", "e.at", *COUNTS)
+    )
     refused = rejected.select(
         "upload_id",
         F.lit(template_id).alias("template_id"),
         F.lit(1).alias("step"),
         F.lit("failed").alias("status"),
+        F.lit(end).alias("at"),
         *[F.lit(None).cast("bigint").alias(c) for c in COUNTS],
     )
-    _write_events(judged.drop("position").unionByName(refused), ctx, "end")
+    _write_events(judged.unionByName(refused), ctx, "end")
 
 
 def _write_events(events: DataFrame, ctx: IngestContext, stage: str) -> None:
@@ -203,7 +291,7 @@ def _write_events(events: DataFrame, ctx: IngestContext, stage: str) -> None:
         "upload_id",
         "template_id",
         F.col("step").cast("bigint").alias("event_id"),
-        F.lit(ctx.uploaded_at).cast("timestamp").alias("ts"),
+        F.greatest(F.col("at").cast("timestamp"), F.lit(ctx.uploaded_at).cast("timestamp")).alias("ts"),
         "status",
         F.lit(ctx.uploaded_by).alias("uploaded_by"),
         *COUNTS,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def scan_csv(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", RAGGED)
         .option("escape", '"')
-        .option("multiLine", cfg.encoding.upper().startswith(_WIDE_ENCODINGS))
+        .option("multiLine", cfg.multi_line or cfg.encoding.upper().startswith(_WIDE_ENCODINGS))
         .option("recursiveFileLookup", True)
     )
     scan = reader.options(**options).csv(list(paths) if not isinstance(paths, str) else paths)
@@ -77,10 +78,12 @@ def _plain(uri: Column) -> Column:
 @dataclass(frozen=True)
 class NumberedScan:
     """`rows`: the records with `row_number`, their file and its upload; `splits`: one row
-    per file split with its record count, so that counting needs no second look at rows."""
+    per file split with its record count, so that counting needs no second look at rows;
+    `staged`: the scan as it was stored."""
 
     rows: DataFrame
     splits: DataFrame
+    staged: DataFrame
 
 
 def number_records(
@@ -123,7 +126,7 @@ def number_records(
         .withColumn("row_number", F.col(ORDINAL) + F.col("_shift"))
         .drop("_shift", SPLIT)
     )
-    return NumberedScan(rows, splits)
+    return NumberedScan(rows, splits, staged)
 
 
 def with_row_numbers(scan: DataFrame, header: bool = True, folder: str | None = None) -> DataFrame:
@@ -163,6 +166,45 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
+def path_below(spark: SparkSession, *roots: str) -> str:
+    """SQL expression over `path`: what follows the root that a file lies below. Files of
+    one name in several folders differ. For roots with pattern characters, and those that
+    are files themselves, it is the whole path."""
+    found = "path"
+    for root in sorted(roots, key=len):
+        if re.search(r"[*?\[\]{}]", re.sub(r"\\.", "", root)):
+            continue
+        plain = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(re.sub(r"\\(.)", r"\1", root))
+        base = plain.toUri().getPath().rstrip("/") + "/"
+        literal = "'" + base.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        found = f"if(instr(path, {literal}) > 0, substring(path, instr(path, {literal}) + length({literal})), {found})"
+    return found
+
+
+def open_quotes(scan: DataFrame, cfg: TemplateConfig, paths: str | Sequence[str], **options: str) -> DataFrame:
+    """Lines that open a quoted cell and don't close it: (path, line). A template that is
+    not `multi_line` can't hold what follows, and reading on would make up records.
+
+    `scan` is a staged scan of the same files. Such a line leaves a cell that begins with a
+    quote, or a record of another width; only files that have one are looked at again.
+    """
+    spark = scan.sparkSession
+    odd = [F.col(f"`{c.column_name}`").startswith('"') for c in cfg.columns]
+    odd.append(F.contains(F.col(RAGGED), F.lit('"')))
+    suspects = scan.filter(F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in odd]), F.lit(False)))
+    suspects = materialise(suspects.select(_plain(F.col(FILE)).alias("path")).distinct(), "suspects")
+    sep = re.escape(cfg.delimiter)
+    cell = f'(?:\\s*+"(?:[^"]++|"")*+"[^{sep}]*+|\\s*+[^"{sep}][^{sep}]*+|\\s*+)'
+    unclosed = f'^(?:{cell}{sep})*+\\s*+"(?:[^"]++|"")*+$'
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .options(**options)
+        .text(list(paths) if not isinstance(paths, str) else paths)
+        .select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("line"))
+    )
+    return lines.join(broadcast_if_small(suspects), "path", "left_semi").filter(F.col("line").rlike(unclosed))
+
+
 def list_files(spark: SparkSession, folder: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Files below a folder: path, name, length, modificationTime. Contents are not read.
     Spark's file sources pass over files of length 0; `empty_files` finds those."""

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluicegate.model import TemplateConfig
 from sluicegate.plans.ingest import IngestContext, ingest
-from sluicegate.sources.files import literal_path
+from sluicegate.sources.files import literal_path, path_below
 
 BATCH = "ingest_batch"
 
@@ -27,8 +27,12 @@ def ingest_stream(
 
     The stream carries file names only, `files_per_batch` at a time; contents are read by
     the batch scan, splits and all. A batch owns one slice of an appended target, one run
-    of the error table and one of the history, and replaces them when it is repeated.
+    of the error table and one of the history, and replaces them when it is repeated. Its
+    name is that of the query, which the checkpoint keeps, and the batch number, so that
+    streams may share their tables. An upload is known by its path below `folder`.
     """
+    if ctx.upload_id is None:
+        ctx = dataclasses.replace(ctx, upload_id=path_below(spark, folder))
     names = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -42,12 +46,14 @@ def ingest_stream(
         paths = [literal_path(row.path) for row in batch.select("path").distinct().collect()]
         if not paths:
             return
-        slice_of_batch = (BATCH, str(batch_id)) if cfg.write_mode == "append" else None
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run_id = f"{query}-{batch_id}"
+        slice_of_batch = (BATCH, run_id) if cfg.write_mode == "append" else None
         ingest(
             batch.sparkSession,
             paths,
             cfg,
-            dataclasses.replace(ctx, run_id=f"batch-{batch_id}", slice=slice_of_batch),
+            dataclasses.replace(ctx, run_id=run_id, slice=slice_of_batch),
         )
 
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluicegate.functions.paths import parse_stored_path, stored_path
 from sluicegate.model import ColumnConfig, TemplateConfig
 from sluicegate.operators.gates import check_headers, header_errors
+from sluicegate.operators.provision import provision
 from sluicegate.operators.validate import cell_errors, ragged_errors
 from sluicegate.plans.ingest import IngestContext, ingest
 from sluicegate.sources import files, sinks, workspace
@@ -309,6 +310,14 @@ def test_ingest(spark, tmp_path, landing):
     history = spark.read.parquet(ctx.history_path)
     steps = [r.status for r in history.filter("upload_id = 'sales_20240102_000000.csv'").orderBy("event_id").collect()]
     assert steps == ["file_uploaded", "schema_validated", "constraints_checked", "writing_to_catalog", "partial"]
+    bad_header = history.filter("upload_id = 'sales_20240104_000000.csv'").orderBy("event_id").collect()
+    assert [(r.status, r.valid_rows) for r in bad_header] == [("file_uploaded", None), ("failed", 0)]
+    times = [r.ts for r in history.filter("upload_id = 'sales_20240102_000000.csv'").orderBy("event_id").collect()]
+    assert times == sorted(times) and len(set(times)) > 2
+    ends = history.filter("status in ('completed', 'partial')").select("upload_id", "written_rows").collect()
+    assert {r.upload_id[6:14]: r.written_rows for r in ends} == {"20240101": 2, "20240102": 1, "20240106": 0}
+    stored = spark.read.parquet(f"{ctx.history_path}_expectations")
+    assert sorted((r.rule, r.processed, r.passed, r.dropped) for r in stored.collect()) == sorted(result.log)
     failed = [r.status for r in history.filter("upload_id = 'sales_20240103_000000.csv'").orderBy("event_id").collect()]
     assert failed == ["file_uploaded", "schema_validated", "constraints_checked", "failed"]
     assert history.select("upload_id").distinct().count() == 8
@@ -357,7 +366,8 @@ def test_stream_takes_each_file_once_and_equals_the_batch(spark, tmp_path, rows_
     put(landing, names[1], FILES[names[1]])
     assert run().count() == 4
     assert run().count() == 4  # nothing new
-    assert {r[BATCH] for r in run().select(BATCH).distinct().collect()} == {0, 1}
+    slices = {r[BATCH] for r in run().select(BATCH).distinct().collect()}
+    assert {x[-2:] for x in slices} == {"-0", "-1"} and len({x[:-2] for x in slices}) == 1
     batch = context(tmp_path / "batch")
     ingest(spark, str(landing), SALES, batch)
     columns = ("code", "amount", "uploaded_by", "source_file")
@@ -374,6 +384,91 @@ def test_unusual_file_names(spark, tmp_path, name):
     assert [r.source_file for r in spark.read.parquet(ctx.target_path).collect()] == [name]
 
 
+def test_same_names_in_two_folders_are_two_uploads(spark, tmp_path):
+    for folder in ("p", "q"):
+        put(tmp_path / "landing" / folder, "a.csv", "code,amount,internal\nx,1,i\ny,2,i\n")
+    ctx = context(tmp_path)
+    result = ingest(spark, str(tmp_path / "landing"), SALES, ctx)
+    assert sorted((r.upload_id, r.outcome, r.total_rows) for r in result.verdicts.collect()) == [
+        ("p/a.csv", "completed", 2),
+        ("q/a.csv", "completed", 2),
+    ]
+    assert spark.read.parquet(ctx.target_path).count() == 4
+    with pytest.raises(ValueError, match="same upload id"):
+        ingest(spark, str(tmp_path / "landing"), SALES, context(tmp_path / "again", upload_id=files.UPLOAD_ID))
+
+
+BROKEN = 'code,amount,internal\n"x\ny",1,i\nz,2,"i\nj"\nw,3,"i, ""j"" k"\n'
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    put(tmp_path / "landing", "a.csv", BROKEN)
+    put(tmp_path / "landing", "b.csv", 'code,amount,internal\n"p, ""q""",1,5" pipe\n')
+    lenient = dataclasses.replace(SALES, bad_row_threshold="100.00")
+    ctx = context(tmp_path)
+    result = ingest(spark, str(tmp_path / "landing"), lenient, ctx)
+    assert {r.upload_id: r.outcome for r in result.verdicts.collect()} == {"a.csv": "failed", "b.csv": "completed"}
+    assert [r.code for r in spark.read.parquet(ctx.target_path).collect()] == ['p, "q"']
+    found = result.errors.filter("upload_id = 'a.csv'").collect()
+    assert [(r.row_number, r.column_name, r.error_type) for r in found] == [(0, "_row", "SCHEMA_MISMATCH")]
+
+    ctx = context(tmp_path / "whole")
+    whole = ingest(spark, str(tmp_path / "landing"), dataclasses.replace(SALES, multi_line=True), ctx)
+    assert {r.upload_id: (r.outcome, r.total_rows) for r in whole.verdicts.collect()} == {
+        "a.csv": ("completed", 3),
+        "b.csv": ("completed", 1),
+    }
+    assert sorted(r.code for r in spark.read.parquet(ctx.target_path).collect()) == ['p, "q"', "w", "x\ny", "z"]
+
+
+def test_streams_share_their_tables(spark, tmp_path):
+    """Two templates, and one of them again with a fresh checkpoint, into one history."""
+    ctx = context(tmp_path)
+    for i, (folder, template) in enumerate([("one", "t1"), ("two", "t2"), ("one", "t1")]):
+        put(tmp_path / folder, f"f{i}.csv", "code,amount,internal\na,1,i\nb,x,i\n")
+        cfg = dataclasses.replace(SALES, template_id=template)
+        ingest_stream(spark, str(tmp_path / folder), cfg, ctx, str(tmp_path / f"cp{i}")).awaitTermination()
+    history = spark.read.parquet(ctx.history_path)
+    assert history.select("run_id", "upload_id").distinct().count() == 4
+    assert {r.template_id for r in history.select("template_id").distinct().collect()} == {"t1", "t2"}
+    assert sinks.read_errors(spark, ctx.errors_path).count() == 4
+    assert spark.read.parquet(ctx.target_path).count() == 4
+
+
+def test_stream_into_a_provisioned_table(spark, tmp_path):
+    """Batches add up, a repeated one replaces itself, and schema and comments stay."""
+    table = "sales_target"
+    cfg = dataclasses.replace(
+        SALES,
+        fully_qualified_name=table,
+        columns=(dataclasses.replace(SALES.columns[0], is_pii=True), *SALES.columns[1:]),
+    )
+    spark.sql(f"drop table if exists {table}")
+    provision(spark, [cfg], slice_column=BATCH)
+    comments = {c.name: c.description for c in spark.catalog.listColumns(table)}
+    assert comments["code"]
+    ctx = dataclasses.replace(context(tmp_path), target_path=None, target_table=table)
+    for i in range(3):
+        put(tmp_path / "landing", f"f{i}.csv", f"code,amount,internal\na{i},1,i\nb{i},2,i\n")
+        ingest_stream(spark, str(tmp_path / "landing"), cfg, ctx, str(tmp_path / "cp")).awaitTermination()
+        assert spark.table(table).count() == 2 * (i + 1)
+    once_more = spark.table(table).filter(F.col(BATCH).endswith("-1"))
+    rows = workspace.materialise(once_more, "again")
+    sinks.write_target(rows, cfg, "append", table=table, slice_column=BATCH)
+    assert spark.table(table).count() == 6
+    assert {c.name: c.description for c in spark.catalog.listColumns(table)} == comments
+
+    plain = dataclasses.replace(cfg, fully_qualified_name="sales_plain", write_mode="overwrite")
+    spark.sql("drop table if exists sales_plain")
+    provision(spark, [plain])
+    with pytest.raises(ValueError, match="columns|partitioned"):
+        sinks.write_target(rows, plain, "append", table="sales_plain", slice_column=BATCH)
+    sinks.write_target(rows.drop(BATCH), plain, table="sales_plain")
+    sinks.write_target(spark.table("sales_plain").filter("amount = 2"), plain, table="sales_plain")
+    assert [(r.code, r.amount) for r in spark.table("sales_plain").collect()] == [("b1", 2)]
+    assert {c.name: c.description for c in spark.catalog.listColumns("sales_plain")}["code"] == comments["code"]
+
+
 def test_quality_stream(spark, tmp_path):
     schema = "template_id int, uploaded_at timestamp, total_rows long, dropped_rows long"
     days = [(1, "2024-01-01 10:00:00", 10, 1), (1, "2024-01-01 11:00:00", 10, 2), (1, "2024-01-05 10:00:00", 5, 0)]
