@@ -14,9 +14,10 @@ Nothing is shuffled, and a text's ids are never more than its bytes.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,53 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Pre-tokens up to this size are remembered, and so many of them per worker.
-MEMO_BYTES, MEMO_ENTRIES = 48, 200_000
+MEMO_BYTES, MEMO_ENTRIES = 48, 700_000
 _NONE = -1
 
 
-class RankQueue:
-    """Positions by rank; `pop` gives the leftmost one of the lowest rank."""
-
-    def __init__(self, ranks: int):
-        self.levels = []
-        while True:
-            ranks = (ranks + 63) >> 6
-            self.levels.append([0] * ranks)
-            if ranks == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            word = words[rank >> 6]
-            words[rank >> 6] = word | 1 << (rank & 63)
-            if word:
-                break
-            rank >>= 6
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.buckets:
-            return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for words in self.levels:
-                words[at >> 6] &= ~(1 << (at & 63))
-                if words[at >> 6]:
-                    break
-                at >>= 6
-        return rank, position
+class _Memo(dict):
+    """Pre-token -> its packed ids; computes what it lacks."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, text: str) -> bytes:
+        piece = text.encode()
+        ids = self.encoder.encode_piece(piece)
+        packed = pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= MEMO_BYTES:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[text] = packed
+        return packed
 
 
 class Encoder:
@@ -81,72 +54,101 @@ class Encoder:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, ranks), default=1)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.memo: dict[bytes, list[int]] = {}
+        self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        self.byte_ids = [ranks.get(bytes([b]), _NONE) for b in range(256)]
+        self.memo = _Memo(self)
         self.pieces: list[bytes] = [b""] * (max(ranks.values(), default=0) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        memo = self.memo
-        for match in self.pattern.findall(text):
-            piece = match.encode()
-            known = memo.get(piece)
-            if known is None:
-                known = self.encode_piece(piece)
-                if len(piece) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[piece] = known
-            ids += known
-        return ids
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed."""
+        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. A piece that is a token as a whole is that token."""
-        ranks, queue, longest = self.ranks, self.queue, self.longest
-        if piece in ranks:
-            return [ranks[piece]]
-        size = len(piece)
+        """The ids of one pre-token. A piece that is a token as a whole is that token.
+
+        The queue is written out here, as this is where the time goes. A bucket is the one
+        position that it holds or a heap of them. `words` are bitmaps of 256 ranks each, a
+        bit per rank with a bucket; `top` has a bit per word that isn't zero. All of them
+        are empty again at the end.
+        """
+        rank_of, words, buckets = self.ranks.get, self.words, {}
+        whole = rank_of(piece)
+        if whole is not None:
+            return [whole]
+        size, longest = len(piece), self.longest
         after = list(range(1, size + 1))
         before = list(range(-1, size))
-        pair = [_NONE] * (size + 1)
-
-        def look(start: int) -> None:
-            """Enter the pair that begins at `start`, if there is a merge for it."""
-            middle = after[start]
-            pair[start] = _NONE
-            if middle < size:
-                end = after[middle]
-                if end - start <= longest:
-                    rank = ranks.get(piece[start:end], _NONE)
-                    if rank != _NONE:
-                        pair[start] = rank
-                        queue.push(rank, start)
-
+        ids = [self.byte_ids[b] for b in piece]
+        pair = [_NONE] * (size + 1)  # the rank of the pair that begins here
+        top = 0
         for start in range(size - 1):
-            look(start)
-        while (found := queue.pop()) is not None:
-            rank, start = found
+            rank = rank_of(piece[start : start + 2])
+            if rank is not None:
+                pair[start] = rank
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = start
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, start]
+                else:
+                    bucket.append(start)  # positions rise, so this is a heap
+        while top:
+            # Find the first set bits, and take the leftmost position.
+            first = top & -top
+            at = first.bit_length() - 1
+            word = words[at]
+            bit = word & -word
+            rank = at << 8 | bit.bit_length() - 1
+            start = buckets[rank]
+            if type(start) is int:
+                del buckets[rank]
+                words[at] = word = word ^ bit
+                if not word:
+                    top ^= first
+            else:
+                bucket, start = start, heappop(start)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
             if pair[start] != rank:
                 continue  # stale: merged away, or its neighbour has grown
+            ids[start] = rank
             gone = after[start]
-            end = after[gone]
+            end = after[start] = after[gone]
             pair[gone] = _NONE
-            after[start] = end
             before[end] = start
-            look(start)
-            if (left := before[start]) >= 0:
-                look(left)
-        ids, start = [], 0
+            left = before[start]
+            for begin, stop in ((start, after[end] if end < size else 0), (left, end if left >= 0 else 0)):
+                if not stop:
+                    if begin >= 0:
+                        pair[begin] = _NONE
+                    continue
+                rank = rank_of(piece[begin:stop]) if stop - begin <= longest else None
+                if rank is None:
+                    pair[begin] = _NONE
+                    continue
+                pair[begin] = rank
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = begin
+                    words[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, begin] if bucket < begin else [begin, bucket]
+                else:
+                    heappush(bucket, begin)
+        found, start = [], 0
         while start < size:
-            ids.append(ranks[piece[start : after[start]]])
+            found.append(ids[start])
             start = after[start]
-        return ids
+        return found
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, packed: bytes) -> bytes:
         pieces = self.pieces
-        return b"".join([pieces[i] for i in ids])
+        return b"".join([pieces[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
 
 
 def read_ranks(path: str) -> bytes:
@@ -180,8 +182,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     """key, n_tokens, ids: the ids as little-endian unsigned 32-bit integers."""
 
     def work(tool: Encoder, texts: pa.Array) -> list[pa.Array]:
-        ids = [np.array(tool.encode(t.as_py() or ""), dtype="<u4") for t in texts]
-        return [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())]
+        ids = [tool.encode(t.as_py() or "") for t in texts]
+        return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
 
     narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
@@ -195,7 +197,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") ->
     """The frame with `decoded`, the bytes that its ids stand for, in place of the ids."""
 
     def work(tool: Encoder, packed: pa.Array) -> list[pa.Array]:
-        whole = [tool.decode(np.frombuffer(p.as_py() or b"", dtype="<u4")) for p in packed]
+        whole = [tool.decode(p.as_py() or b"") for p in packed]
         return [pa.array(whole, pa.binary())]
 
     kept = [f for f in encoded.schema if f.name != ids]
