@@ -30,10 +30,15 @@ VIEWS = {
             else cast(o_orderkey as string) end as order_code,
           case when month(o_orderdate) <> 12 and o_orderkey % 53 = 0 then ''
                when month(o_orderdate) <> 12 and o_orderkey % 59 = 0 then null
+               when month(o_orderdate) <> 12 and o_orderkey % 211 = 7 then '12.0'
                else cast(o_custkey as string) end as cust_code,
           case when month(o_orderdate) <> 12 and o_orderkey % 71 = 0 then 'N/A'
+               when month(o_orderdate) <> 12 and o_orderkey % 223 = 5 then '1.999'
+               when month(o_orderdate) <> 12 and o_orderkey % 227 = 5 then '1.990'
                else cast(cast(o_totalprice as decimal(12,2)) as string) end as amount,
           case when month(o_orderdate) <> 12 and o_orderkey % 83 = 0 then '2024-13-45'
+               when month(o_orderdate) <> 12 and o_orderkey % 229 = 5 then '2024-01-05Tjunk'
+               when month(o_orderdate) <> 12 and o_orderkey % 233 = 5 then '2024'
                else cast(cast(o_orderdate as date) as string) end as order_date,
           o_orderpriority as note
         from {orders}""",

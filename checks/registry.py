@@ -8,7 +8,7 @@ from checks.fixtures import table, view, with_views
 from sluicegate.functions.text import mask_pii, schema_name
 from sluicegate.model import ColumnConfig, TemplateConfig
 from sluicegate.operators import provision, registry
-from sluicegate.sources.bootstrap import seed
+from sluicegate.sources.bootstrap import missing_tables, seed
 
 CATALOG = "main"
 PARTS = TemplateConfig(
@@ -131,7 +131,7 @@ def template_rule_audit(spark, sf):
             "delimiter": F.when(F.col("id") % 29 == 0, "||").otherwise(","),
         }
     )
-    return registry.audit_rules(faulty, registry.registry_rules("templates"))
+    return registry.audit_rules(faulty, registry.registry_rules("templates"), partial=True)
 
 
 def column_rule_audit(spark, sf):
@@ -139,12 +139,83 @@ def column_rule_audit(spark, sf):
         "data_type", F.when(F.col("template_id") % 9 == 0, "VARCHAR").otherwise(F.col("data_type"))
     )
     keyed = columns.withColumn("id", F.concat_ws("/", F.col("template_id").cast("string"), "column_name"))
-    return registry.audit_rules(keyed, registry.registry_rules("template_columns"))
+    return registry.audit_rules(keyed, registry.registry_rules("template_columns"), partial=True)
 
 
 def integrity(spark, sf):
     names = ("domains", "templates", "template_columns", "template_reviewers", "template_approvals", "upload_history")
-    return registry.integrity_audit({n: view(spark, sf, n) for n in names})
+    tables = {n: view(spark, sf, n) for n in names}
+    # One error per line item, some of uploads that are not there.
+    tables["upload_validation_errors"] = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("upload_id")
+    )
+    return registry.integrity_audit(tables)
+
+
+def _planted(spark, sf, name: str, key: str, **changes):
+    """A fixture with `id` and with fields replaced by SQL expressions."""
+    rows = view(spark, sf, name).withColumn("id", F.expr(key))
+    return rows.withColumns({field: F.expr(text) for field, text in changes.items()})
+
+
+def reviewer_rule_audit(spark, sf):
+    rows = _planted(
+        spark,
+        sf,
+        "template_reviewers",
+        "concat(cast(template_id as string), '/', reviewer_email)",
+        reviewer_email="if(template_id % 7 = 0, replace(reviewer_email, '@', ' at '), reviewer_email)",
+        reviewer_name="if(template_id % 5 = 0, null, reviewer_email)",
+        reviewer_type="if(template_id % 11 = 0, 'observer', reviewer_type)",
+    )
+    return registry.audit_rules(rows, registry.registry_rules("template_reviewers"))
+
+
+def approval_rule_audit(spark, sf):
+    rows = _planted(
+        spark,
+        sf,
+        "template_approvals",
+        "approval_token",
+        action="if(template_id % 7 = 0, 'maybe', action)",
+        comment="if(template_id % 5 = 0, repeat('x', 501), null)",
+    )
+    return registry.audit_rules(rows, registry.registry_rules("template_approvals"))
+
+
+def decision_rule_audit(spark, sf):
+    rows = _planted(
+        spark,
+        sf,
+        "decisions",
+        "decision_id",
+        decision="if(decision_id % 7 = 0, null, if(decision_id % 11 = 0, 'APPROVE', decision))",
+        comment="if(decision_id % 5 = 0, repeat('x', 501), 'fine')",
+    )
+    return registry.audit_rules(rows, registry.registry_rules("decisions"))
+
+
+def history_rule_audit(spark, sf):
+    rows = _planted(spark, sf, "upload_history", "id", status="if(id % 7 = 0, 'success', status)")
+    return registry.audit_rules(rows, registry.registry_rules("upload_history"))
+
+
+def error_rule_audit(spark, sf):
+    kinds = F.array(*[F.lit(k) for k in ("NOT_NULL", "UNIQUE", "TYPE_MISMATCH", "SCHEMA_MISMATCH", "ENCODING_ERROR", "ODD")])
+    rows = table(spark, sf, "lineitem").select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"),
+        F.get(kinds, (F.col("l_partkey") % 7).cast("int")).alias("error_type"),
+    )
+    return registry.audit_rules(rows, registry.registry_rules("upload_validation_errors"))
+
+
+def missing_target_tables(spark, sf):
+    """Tables of templates that a catalog listing, one per supplier, does not have."""
+    expected = view(spark, sf, "templates").select(F.col("uc_table_name").alias("table_name"))
+    there = table(spark, sf, "supplier").select(
+        F.concat(F.lit("t_"), F.col("s_suppkey").cast("string")).alias("table_name")
+    )
+    return missing_tables(expected, there)
 
 
 def patched_templates(spark, sf):
@@ -419,11 +490,65 @@ union all select id, 'status', 'allowed value', status from faulty where status
             "'VARCHAR' as value from template_columns where template_id % 9 = 0",
         ),
     ),
+    "reviewer_rule_audit": (
+        reviewer_rule_audit,
+        with_views(
+            "template_reviewers",
+            """, faulty as (select template_id || '/' || reviewer_email as id, case when template_id % 7 = 0
+    then replace(reviewer_email, '@', ' at ') else reviewer_email end as reviewer_email, template_id, reviewer_type from template_reviewers)
+select id, 'reviewer_email' as field, 'email' as rule, reviewer_email as value from faulty where template_id % 7 = 0
+union all select id, 'reviewer_name', 'length 1-100', null from faulty where template_id % 5 = 0
+union all select id, 'reviewer_type', 'allowed value', 'observer' from faulty where template_id % 11 = 0""",
+        ),
+    ),
+    "approval_rule_audit": (
+        approval_rule_audit,
+        with_views(
+            "template_approvals",
+            "select approval_token as id, 'action' as field, 'allowed value' as rule, 'maybe' as value "
+            "from template_approvals where template_id % 7 = 0 union all select approval_token, 'comment', "
+            "'length 0-500', repeat('x', 501) from template_approvals where template_id % 5 = 0",
+        ),
+    ),
+    "decision_rule_audit": (
+        decision_rule_audit,
+        with_views(
+            "decisions",
+            "select decision_id as id, 'decision' as field, 'allowed value' as rule, "
+            "case when decision_id % 7 = 0 then null else 'APPROVE' end as value from decisions "
+            "where decision_id % 7 = 0 or decision_id % 11 = 0 union all select decision_id, 'comment', "
+            "'length 0-500', repeat('x', 501) from decisions where decision_id % 5 = 0",
+        ),
+    ),
+    "history_rule_audit": (
+        history_rule_audit,
+        with_views(
+            "upload_history",
+            "select id, 'status' as field, 'allowed value' as rule, 'success' as value from upload_history where id % 7 = 0",
+        ),
+    ),
+    "error_rule_audit": (
+        error_rule_audit,
+        "select l_orderkey || '/' || l_linenumber as id, 'error_type' as field, 'allowed value' as rule, "
+        "case when l_partkey % 7 = 5 then 'ODD' end as value from lineitem where l_partkey % 7 in (5, 6)",
+    ),
+    "missing_target_tables": (
+        missing_target_tables,
+        with_views(
+            "templates",
+            "select uc_table_name as table_name from templates where uc_table_name not in "
+            "(select 't_' || s_suppkey from supplier)",
+        ),
+    ),
     "integrity_audit": (
         integrity,
         with_views(
             "domains templates template_columns template_reviewers template_approvals upload_history",
-            """select 'orphan' as "check", 'upload_history' as table_name, 'template_id' as key_columns,
+            """select 'orphan' as "check", 'upload_validation_errors' as table_name, 'upload_id' as key_columns,
+  cast(upload_id as varchar) as key_value, count(*) as n
+  from (select case when l_linenumber = 7 then -l_orderkey else l_orderkey end as upload_id from lineitem)
+  where upload_id not in (select id from upload_history) group by upload_id
+union all select 'orphan' as "check", 'upload_history' as table_name, 'template_id' as key_columns,
   cast(template_id as varchar) as key_value, count(*) as n from upload_history
   where template_id not in (select id from templates) group by template_id
 union all select 'orphan', 'templates', 'domain_id', cast(domain_id as varchar), count(*) from templates

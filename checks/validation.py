@@ -36,11 +36,14 @@ NARROW_SQL = """
   union all select upload_id, row_number, 'order_date', 'NOT_NULL', 'Value is required', order_date
     from {rows} where order_date is null or trim(order_date) = ''
   union all select upload_id, row_number, 'cust_code', 'TYPE_MISMATCH', 'Value is not a valid BIGINT', cust_code
-    from {rows} where trim(cust_code) <> '' and try_cast(cust_code as bigint) is null
+    from {rows} where trim(cust_code) <> '' and not (try_cast(cust_code as bigint) is not null
+      and regexp_full_match(trim(cust_code), '[+-]?[0-9]+'))
   union all select upload_id, row_number, 'amount', 'TYPE_MISMATCH', 'Value is not a valid DECIMAL(12,2)', amount
-    from {rows} where trim(amount) <> '' and try_cast(amount as decimal(12,2)) is null
+    from {rows} where trim(amount) <> '' and not (try_cast(amount as decimal(12,2)) is not null
+      and try_cast(amount as decimal(12,2)) = try_cast(amount as decimal(30,15)))
   union all select upload_id, row_number, 'order_date', 'TYPE_MISMATCH', 'Value is not a valid DATE', order_date
-    from {rows} where trim(order_date) <> '' and try_cast(order_date as date) is null"""
+    from {rows} where trim(order_date) <> '' and not (try_cast(order_date as date) is not null
+      and regexp_full_match(trim(order_date), '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}'))"""
 UNIQUE_SQL = """
   select upload_id, row_number, 'order_code' as column_name, 'UNIQUE' as error_type,
     'Value occurs more than once' as error_message, order_code as raw_value
@@ -67,9 +70,11 @@ CLEAN_SQL = """
     and upload_id in (select upload_id from verdicts where outcome <> 'failed')"""
 TYPED_SQL = """
   select upload_id, row_number, nullif(trim(order_code), '') as order_code,
-    try_cast(nullif(trim(cust_code), '') as bigint) as cust_code,
-    try_cast(nullif(trim(amount), '') as decimal(12,2)) as amount,
-    try_cast(nullif(trim(order_date), '') as date) as order_date, note from raw_orders"""
+    case when regexp_full_match(trim(cust_code), '[+-]?[0-9]+') then try_cast(cust_code as bigint) end as cust_code,
+    case when try_cast(amount as decimal(12,2)) = try_cast(amount as decimal(30,15))
+      then try_cast(amount as decimal(12,2)) end as amount,
+    case when regexp_full_match(trim(order_date), '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}')
+      then try_cast(order_date as date) end as order_date, note from raw_orders"""
 
 
 def report(last: str, views: str = "raw_orders raw_orders_templates", rows: str = "raw_orders") -> str:
@@ -249,14 +254,18 @@ QUERIES = {
         with_views(
             "raw_orders",
             "select position, column_name, case when non_blank = 0 then 'STRING' when ints = non_blank then 'INTEGER' "
-            "when longs = non_blank then 'BIGINT' when doubles = non_blank then 'DOUBLE' "
+            "when longs = non_blank then 'BIGINT' when plain = non_blank and whole + scale <= 38 "
+            "then 'DECIMAL(' || (whole + scale) || ',' || scale || ')' when doubles = non_blank then 'DOUBLE' "
             "when dates = non_blank then 'DATE' else 'STRING' end as data_type, non_blank, blank from "
             "(select position, column_name, count(*) filter (where v <> '') as non_blank, "
             "count(*) filter (where coalesce(v, '') = '') as blank, "
             "count(*) filter (where regexp_full_match(v, '-?[0-9]{1,9}')) as ints, "
             "count(*) filter (where regexp_full_match(v, '-?[0-9]{1,18}')) as longs, "
+            "count(*) filter (where regexp_full_match(v, '[+-]?[0-9]+([.][0-9]*)?')) as plain, "
+            "max(length(regexp_extract(v, '^[+-]?([0-9]+)([.][0-9]*)?$', 1))) as whole, "
+            "max(length(regexp_extract(v, '^[+-]?[0-9]+[.]([0-9]*)$', 1))) as scale, "
             "count(*) filter (where try_cast(v as double) is not null) as doubles, "
-            "count(*) filter (where try_cast(v as date) is not null) as dates from ("
+            "count(*) filter (where try_cast(v as date) is not null and length(v) between 8 and 10) as dates from ("
             + " union all ".join(
                 f"select {i} as position, '{n}' as column_name, trim({n}) as v from raw_orders"
                 for i, n in enumerate(NAMES)

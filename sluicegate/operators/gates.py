@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicegate.functions.cells import is_blank
-from sluicegate.model import FILE_FORMATS, MAX_UPLOAD_BYTES
+from sluicegate.functions.cells import castable, is_blank
+from sluicegate.model import FILE_FORMATS, MAX_UPLOAD_BYTES, spark_type
 
 # Narrowest first.
 INFERENCE_ORDER = ("INTEGER", "BIGINT", "DOUBLE", "BOOLEAN", "DATE", "TIMESTAMP")
@@ -92,10 +92,12 @@ def header_errors(checked: DataFrame) -> DataFrame:
 
 
 def _reads_as(value: Column, kind: str) -> Column:
-    """Whether a sample value suggests the type. A cast to DATE would accept a time of
-    day and lose it, so dates may not have one."""
-    fits = value.try_cast(kind).isNotNull()
-    return fits & ~F.contains(value, F.lit(":")) if kind == "DATE" else fits
+    """Whether a sample value suggests the type, by the test that validation makes."""
+    return castable(value, spark_type(kind))
+
+
+_PLAIN_DECIMAL = r"^[+-]?(\d+)(?:\.(\d*))?$"
+MAX_DIGITS = 38
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -109,10 +111,23 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         counts.append(F.count_if(filled).alias(f"filled_{i}"))
         counts.append(F.count_if(~filled).alias(f"blank_{i}"))
         counts += [F.count_if(filled & ~_reads_as(v, kind)).alias(f"bad_{i}_{kind}") for kind in INFERENCE_ORDER]
+        number = F.trim(v)
+        counts.append(F.count_if(filled & ~number.rlike(_PLAIN_DECIMAL)).alias(f"bad_{i}_DECIMAL"))
+        counts += [
+            F.max(F.when(filled, F.length(F.regexp_extract(number, _PLAIN_DECIMAL, group)))).alias(f"{part}_{i}")
+            for group, part in ((1, "whole"), (2, "scale"))
+        ]
     profiles = []
     for i, name in enumerate(names):
         narrowest = F.when(F.col(f"filled_{i}") == 0, "STRING")
         for kind in INFERENCE_ORDER:
+            if kind == "DOUBLE":
+                # Plain numbers with decimals keep all their digits.
+                whole, scale = F.col(f"whole_{i}"), F.col(f"scale_{i}")
+                narrowest = narrowest.when(
+                    (F.col(f"bad_{i}_DECIMAL") == 0) & (whole + scale <= MAX_DIGITS),
+                    F.format_string("DECIMAL(%d,%d)", whole + scale, scale),
+                )
             narrowest = narrowest.when(F.col(f"bad_{i}_{kind}") == 0, kind)
         profiles.append(
             F.struct(

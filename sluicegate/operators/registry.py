@@ -168,7 +168,8 @@ def name_collisions(
 ) -> DataFrame:
     """Requests (id, name) whose name another template, or a table of the catalog, already
     bears: (id, name, taken_by). A template never collides with its own lineage
-    (`root_id`, where both frames have it) nor with itself."""
+    (`root_id`, where both frames have it) nor with itself. Requests of one batch collide
+    with each other in the same way (`taken_by` is `request`): none of them is first."""
     same_line = "root_id" in templates.columns and "root_id" in requests.columns
     own = "root_id" if same_line else "id"
     # One row per name is enough to decide: two different owners, or one that is not ours.
@@ -178,6 +179,10 @@ def name_collisions(
         .filter((F.col("_low") != F.col(own)) | (F.col("_high") != F.col(own)))
         .select("id", "name", F.lit("template").alias("taken_by"))
     )
+    several = requests.groupBy("name").agg(F.min(own).alias("_low"), F.max(own).alias("_high")).filter("_low <> _high")
+    taken = taken.unionByName(
+        requests.join(several, "name", "left_semi").select("id", "name", F.lit("request").alias("taken_by"))
+    )
     if existing_tables is not None:
         tables = existing_tables.select(F.col("table_name").alias("name")).distinct()
         taken = taken.unionByName(
@@ -290,10 +295,14 @@ def registry_rules(table: str) -> list[FieldRule]:
     raise ValueError(f"no rules for {table!r}")
 
 
-def audit_rules(df: DataFrame, rules: Sequence[FieldRule], key: str = "id") -> DataFrame:
-    """Broken rules as (key, field, rule, value). Rules on fields the frame does not have
-    are skipped; good rows leave at one filter."""
+def audit_rules(df: DataFrame, rules: Sequence[FieldRule], key: str = "id", partial: bool = False) -> DataFrame:
+    """Broken rules as (key, field, rule, value); good rows leave at one filter. A rule on
+    a field that the frame lacks is an error, unless `partial` says that the frame is a
+    selection of fields: then only its fields are judged."""
     usable = [r for r in rules if r.field in df.columns]
+    absent = sorted({r.field for r in rules} - set(df.columns))
+    if absent and not partial:
+        raise ValueError(f"the frame lacks fields that have rules: {absent}")
     if not usable:
         raise ValueError("none of the rules applies to this frame")
     any_broken = usable[0].broken
@@ -316,10 +325,16 @@ def audit_rules(df: DataFrame, rules: Sequence[FieldRule], key: str = "id") -> D
     )
 
 
-def integrity_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Orphaned foreign keys and repeated unique keys of the tables given:
+def integrity_audit(tables: Mapping[str, DataFrame], partial: bool = False) -> DataFrame:
+    """Orphaned foreign keys and repeated unique keys of the registry's tables:
     (check, table_name, key_columns, key_value, n). Keys are counted before they are
-    joined, so a parent with many children is one row."""
+    joined, so a parent with many children is one row. A table or a key column that is
+    not there is an error, unless `partial` allows to check what there is."""
+    needed = [(child, (column,)) for child, column, *_ in model.FOREIGN_KEYS] + list(model.UNIQUE_KEYS)
+    absent = [t for t in model.REGISTRY_SCHEMAS if t not in tables]
+    absent += [f"{t}.{c}" for t, key in needed if t in tables for c in key if c not in tables[t].columns]
+    if absent and not partial:
+        raise ValueError(f"can't be checked without {sorted(set(absent))}")
     found = []
     for child, column, parent, _ in model.FOREIGN_KEYS:
         if child not in tables or parent not in tables or column not in tables[child].columns:

@@ -154,7 +154,12 @@ def test_names_collide_outside_their_lineage(spark):
     requests = spark.createDataFrame([(2, "a", 1), (9, "a", 9), (3, "b", 3), (8, "new", 8), (7, "taken", 7)], "id int, name string, root_id int")
     tables = spark.createDataFrame([("taken",), ("taken",)], "table_name string")
     found = registry.name_collisions(requests, templates, tables)
-    assert {(r.id, r.taken_by) for r in found.collect()} == {(9, "template"), (7, "table")}
+    assert {(r.id, r.taken_by) for r in found.collect()} == {
+        (9, "template"),
+        (7, "table"),
+        (2, "request"),  # 2 and 9 ask for one name in one batch
+        (9, "request"),
+    }
 
 
 @pytest.mark.parametrize(
@@ -190,7 +195,13 @@ def test_field_rules(spark, table, row, broken):
     kinds = {"version": "int", "bad_row_threshold": "double"}
     schema = "id int, " + ", ".join(f"{k} {kinds.get(k, 'string')}" for k in row)
     df = spark.createDataFrame([(1, *row.values())], schema)
-    assert {(r.field, r.rule) for r in registry.audit_rules(df, registry.registry_rules(table)).collect()} == broken
+    assert {(r.field, r.rule) for r in registry.audit_rules(df, registry.registry_rules(table), partial=True).collect()} == broken
+
+
+def test_rules_on_absent_fields_are_an_error(spark):
+    df = spark.createDataFrame([(1, "name")], "id int, name string")
+    with pytest.raises(ValueError, match="bad_row_action"):
+        registry.audit_rules(df, registry.registry_rules("templates"))
 
 
 def test_integrity_audit(spark):
@@ -200,7 +211,9 @@ def test_integrity_audit(spark):
         "upload_history": spark.createDataFrame([(1, 1), (2, 9), (3, 9)], "id int, template_id int"),
         "upload_validation_errors": spark.createDataFrame([(3,), (4,)], "upload_id int"),
     }
-    assert {tuple(r) for r in registry.integrity_audit(tables).collect()} == {
+    with pytest.raises(ValueError, match="template_reviewers"):
+        registry.integrity_audit(tables)
+    assert {tuple(r) for r in registry.integrity_audit(tables, partial=True).collect()} == {
         ("orphan", "templates", "domain_id", "7", 1),
         ("orphan", "upload_history", "template_id", "9", 2),
         ("orphan", "upload_validation_errors", "upload_id", "4", 1),
