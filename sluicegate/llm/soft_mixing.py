@@ -17,7 +17,7 @@ counts and totals are over all documents.
 Defined results: a NULL text is empty, has no tokens and the posterior of an empty text. A
 label row without an id, a domain or a document is left out, and one of several labels of a
 document is used. A target for a domain without labelled documents can't be met and is left
-out, the others scaled up; with fewer than two labelled domains the posterior is 1 for the
+out, the others scaled up, and one for more than there is of a domain is lowered; with fewer than two labelled domains the posterior is 1 for the
 only one, and without any every rate is 1. Equal rows get equal rates and copies. An empty
 frame gives an empty frame. Other columns are kept or left out whole, so that no name can
 clash.
@@ -129,10 +129,15 @@ def fit_mixture(
     key: str = "doc_id",
     text: str = "text",
     max_labelled: int = MAX_LABELLED,
+    max_epochs: float | None = None,
 ) -> Mixture:
     """Fit rates so that domain d has `weights[d]` of all expected tokens, and the domain
-    `anchor` is taken `epochs` times over. `labelled` has the columns id and domain. Starts
-    jobs; what comes to the driver is a few numbers per pair of domains."""
+    `anchor` is taken `epochs` times over. `labelled` has the columns id and domain.
+
+    A domain of which there is too little is not made up for by taking other documents for
+    it: a target above `max_epochs` (default: `epochs`) times the domain's tokens is lowered
+    to that. Starts jobs; what comes to the driver is a few numbers per pair of domains.
+    """
     staging = Staging(docs.sparkSession, "mixing")
     domains, model = fit_classifier(docs, labelled, key, text, max_labelled, staging)
     rows = docs.select(F.lit(None).cast("int").alias("row"), F.col(f"`{text}`").alias("text"))
@@ -148,7 +153,7 @@ def fit_mixture(
         return Mixture(domains, model, 1.0, (), tuple(base), tuple(base))
     wanted = wanted / wanted.sum()
     at = domains.index(anchor) if anchor in domains and wanted[domains.index(anchor)] else int(wanted.argmax())
-    targets = wanted * (epochs * base[at] / wanted[at])
+    targets = np.minimum(wanted * (epochs * base[at] / wanted[at]), (max_epochs or epochs) * base)
     start = float(targets.sum() / base.sum())
     steps: list[tuple[float, ...]] = []
     least = np.inf

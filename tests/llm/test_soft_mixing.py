@@ -29,7 +29,7 @@ def fitted(spark):
     rows = corpus(1, 600)
     docs = spark.createDataFrame([(i, t, "clash", 0.5) for i, t, _ in rows], "doc_id bigint, text string, domain string, rate double")
     labelled = spark.createDataFrame([(i, d) for i, _, d in rows if i % 3 == 0], "id bigint, domain string")
-    return rows, docs, mixing.fit_mixture(docs, labelled, WEIGHTS, "plain", 1.5)
+    return rows, docs, mixing.fit_mixture(docs, labelled, WEIGHTS, "plain", 1.5, max_epochs=3.0)
 
 
 def test_held_out_accuracy(fitted):
@@ -64,6 +64,16 @@ def test_rates_against_plain_descent(fitted):
     assert np.allclose([got[s.row] for s in scored], rate)
 
 
+def test_a_domain_that_is_hardly_there_does_not_push_others_out(frame):
+    rows = [(i, t, d) for i, t, d in corpus(2, 500) if d != "rude"] + [(900, "fool clown " * 20, "rude")]
+    docs = frame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labelled = frame([(i, d) for i, _, d in rows], "id bigint, domain string")
+    mixture = mixing.fit_mixture(docs, labelled, {"plain": 0.6, "code": 0.1, "rude": 0.3}, "plain", 1.25)
+    rates = {r.doc_id: r.rate for r in mixing.mixing_rates(docs, mixture).collect()}
+    assert min(rates[i] for i, _, d in rows if d == "plain") >= 1
+    assert max(rates.values()) < 2.5
+
+
 def test_copies_follow_rates(fitted):
     rows, docs, mixture = fitted
     rated = mixing.mixing_rates(docs, mixture).collect()
