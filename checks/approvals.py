@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import STORED, stored, table, view, with_views
 from sluicegate.operators import approvals
+from sluicegate.sources.workspace import materialise
 
 AS_OF = "1998-06-01 00:00:00"
 BASE_URL = "https://uploads.example.test"
@@ -41,7 +42,8 @@ def _applied(spark, sf, strict=False):
 
 
 def all_approved(spark, sf):
-    return approvals.fully_approved(*_views(spark, sf, "template_reviewers", "template_approvals"))
+    reviewers, rows, templates = _views(spark, sf, "template_reviewers", "template_approvals", "templates")
+    return approvals.fully_approved(reviewers, rows, templates=templates)
 
 
 def all_approved_by_rows(spark, sf):
@@ -81,11 +83,22 @@ def request_messages(spark, sf):
 
 
 def decision_messages(spark, sf):
-    templates, domains, reviewers, rows = _views(
-        spark, sf, "templates", "domains", "template_reviewers", "template_approvals"
+    templates, domains, reviewers = _views(spark, sf, "templates", "domains", "template_reviewers")
+    outcomes = materialise(_applied(spark, sf), "outcomes")
+    messages = approvals.messages_after(outcomes, reviewers, view(spark, sf, "token_approvals"))
+    return approvals.decision_notices(outcomes, templates, domains, messages)
+
+
+def tables_after_decisions(spark, sf):
+    """Status and open requests of every template after the decisions were applied."""
+    rows, templates = stored(spark, sf, "token_approvals"), view(spark, sf, "templates")
+    outcomes = materialise(_applied(spark, sf), "outcomes")
+    rows = rows.withColumn("actioned_at", F.lit(None).cast("timestamp_ntz"))
+    after, changed = approvals.applied_tables(outcomes, rows, templates)
+    counts = after.groupBy(F.col("template_id").alias("id")).agg(
+        F.count_if("token_used").alias("used"), F.count_if(F.col("action") == "approved").alias("approved_rows")
     )
-    messages = approvals.progress_messages(reviewers, rows)
-    return approvals.decision_notices(_applied(spark, sf), templates, domains, messages)
+    return changed.join(counts, "id", "left").select(F.col("id").alias("template_id"), "status", "used", "approved_rows")
 
 
 def failure_messages(spark, sf):
@@ -108,7 +121,7 @@ required as (select r.template_id, count(*) as required, count(*) filter (where
     on l.template_id = r.template_id and l.reviewer_email = r.reviewer_email
   where reviewer_type = 'required' group by r.template_id)"""
 _STATES = """
-states as (select d.*, a.template_id, a.reviewer_email,
+states as (select d.*, a.template_id, a.reviewer_email, a.round,
     case when a.approval_token is null then 'not_found' when token_used then 'used'
       when token_expires_at < {clock} then 'expired' else 'valid' end as token_state
   from decisions as d left join token_approvals as a on a.approval_token = d.token)"""
@@ -123,7 +136,8 @@ _APPLIED = (
     + """,
 seq as (select *, row_number() over (order by decided_at, decision_id) as pos from states),
 open as (select s.* from seq as s join templates as t on t.id = s.template_id
-  where token_state = 'valid' and status = 'Pending Approval'),
+  where token_state = 'valid' and status = 'Pending Approval'
+    and round = (select max(round) from template_approvals as b where b.template_id = s.template_id)),
 firsts as (select * from (select *, row_number() over (partition by token order by pos) as rn from open) as o
   where rn = 1),
 req as (select template_id, reviewer_email from template_reviewers where reviewer_type = 'required'),
@@ -145,7 +159,9 @@ judged as (select s.*, closed_pos, rejected_pos, completed_pos,
     case when s.token_state in ('not_found', 'used') then s.token_state
       when s.pos > f.pos and f.pos <= closed_pos then 'used' when s.token_state = 'expired' then 'expired'
       when coalesce(t.status, '') <> 'Pending Approval' then 'not_pending'
-      when s.pos <= closed_pos then 'recorded' else 'not_pending' end as outcome
+      when s.pos > closed_pos then 'not_pending'
+      when s.round < (select max(round) from template_approvals as b where b.template_id = s.template_id) then 'old_round'
+      else 'recorded' end as outcome
   from seq as s left join templates as t on t.id = s.template_id left join firsts as f on f.token = s.token
   left join closing as c on c.template_id = s.template_id),
 applied as (select decision_id, decided_at, token, decision, template_id, reviewer_email, outcome,
@@ -161,6 +177,16 @@ _MESSAGE = """case when approved >= required then 'All ' || required
     || ' required reviewers have approved. The Unity Catalog table will be provisioned shortly.'
   else approved || ' of ' || required || ' required reviewers have approved. Awaiting '
     || (required - approved) || ' more.' end"""
+# Counted decision by decision, in their order.
+_MESSAGES = """,
+reqs as (select template_id, count(*) as required from req group by template_id),
+before as (select template_id, count(*) as n from latest natural join req where approved group by template_id),
+texts as (select a.decision_id, q.required, coalesce(b.n, 0) + (select count(distinct o.reviewer_email)
+    from applied as o join missing as m on m.template_id = o.template_id and m.reviewer_email = o.reviewer_email
+    where o.template_id = a.template_id and o.outcome = 'recorded' and o.decision = 'approve'
+      and (o.decided_at, o.decision_id) <= (a.decided_at, a.decision_id)) as approved
+  from applied as a join reqs as q on q.template_id = a.template_id left join before as b on b.template_id = a.template_id
+  where outcome = 'recorded')"""
 _BACK = "'Your template has been moved back to Draft status. You can revise it and submit again.'"
 _LINEAGE = """
 , ordered as (select *, coalesce(lag(to_status) over (partition by template_id order by ts, event_id), 'Draft')
@@ -208,8 +234,10 @@ QUERIES = {
     "fully_approved": (
         all_approved,
         with_views(
-            "template_reviewers template_approvals",
-            f",{_LATEST},{_REQUIRED} select *, approved >= required as fully_approved from required",
+            "template_reviewers template_approvals templates",
+            f",{_LATEST},{_REQUIRED} select id as template_id, coalesce(required, 0) as required, coalesce(approved, 0) "
+            "as approved, coalesce(approved >= required, false) as fully_approved from templates "
+            "left join required on template_id = id",
         ),
     ),
     "fully_approved_by_rows": (
@@ -302,16 +330,30 @@ where action is null""",
         with_views(
             _APPLIED_VIEWS + " domains",
             _APPLIED
-            + ","
-            + _LATEST.replace("latest as", "rounds as")
-            + ","
-            + _REQUIRED.replace("latest", "rounds")
-            + f""" select decision_id, a.template_id, created_by as creator_email, reviewer_email,
+            + _MESSAGES
+            + f""" select a.decision_id, a.template_id, created_by as creator_email, reviewer_email,
   display_name as template_display_name, fully_qualified_name, d.name as domain_name, action as decision_past_tense,
   case decision when 'reject' then 'Your template was rejected' else 'Your template has been approved' end as headline,
   case decision when 'reject' then {_BACK} else {_MESSAGE} end as status_message
 from applied as a join templates as t on t.id = a.template_id join domains as d on d.id = t.domain_id
-left join required as q on q.template_id = a.template_id where outcome = 'recorded'""",
+left join texts as q on q.decision_id = a.decision_id where outcome = 'recorded'""",
+        ),
+    ),
+    "tables_after_decisions": (
+        tables_after_decisions,
+        with_views(
+            _APPLIED_VIEWS,
+            _APPLIED
+            + """,
+last as (select template_id, arg_max(template_status, (decided_at, decision_id)) as status from applied
+  where outcome = 'recorded' and template_status <> 'Pending Approval' group by template_id),
+now as (select a.template_id, a.approval_token, a.token_used or max(o.token) is not null as used,
+    coalesce(max(o.action), a.action) as action from token_approvals as a
+  left join applied as o on o.token = a.approval_token and o.outcome = 'recorded'
+  group by a.template_id, a.approval_token, a.token_used, a.action)
+select t.id as template_id, coalesce(l.status, t.status) as status, count(*) filter (n.used) as used,
+  count(*) filter (n.action = 'approved') as approved_rows from templates as t left join last as l on l.template_id = t.id
+left join now as n on n.template_id = t.id group by t.id, l.status, t.status""",
         ),
     ),
     "activation_failures": (

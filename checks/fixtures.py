@@ -131,14 +131,25 @@ VIEWS = {
           case event_type when 'signup' then 'file_uploaded' when 'view' then 'schema_validated'
             when 'click' then 'constraints_checked' when 'purchase' then 'completed' else 'failed' end as status
         from {events}""",
+    # Every request is decided once, soon after it was made, and those of every fourth order
+    # once more by then-used or expired tokens.
     "decisions": """
-        select o_orderkey as decision_id, o_orderdate as decided_at,
-          case when o_orderkey % 11 = 0 then concat('unknown-', cast(o_orderkey as string))
-               else min(concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-',
-                 cast(l_suppkey as string))) end as token,
-          case when o_orderkey % 3 = 0 then 'reject' else 'approve' end as decision
-        from {orders} join {lineitem} on l_orderkey = o_orderkey - o_orderkey % 2
-        group by o_orderkey, o_orderdate""",
+        select decision_id, decided_at,
+          case when decision_id % 11 = 0 then concat('unknown-', cast(decision_id as string)) else token end as token,
+          decision
+        from (
+          select l_orderkey * 20 + l_linenumber as decision_id,
+            min(cast(l_shipdate as {TS})) + interval '3' day as decided_at,
+            min(concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_suppkey as string)))
+              as token,
+            case when l_orderkey % 13 = 0 then 'reject' else 'approve' end as decision
+          from {lineitem} group by l_orderkey, l_linenumber
+          union all
+          select l_orderkey * 20 + 10 + l_linenumber, min(cast(o_orderdate as {TS})) + interval '90' day,
+            min(concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_suppkey as string))),
+            'approve'
+          from {lineitem} join {orders} on l_orderkey = o_orderkey
+          where o_orderkey % 4 = 0 group by l_orderkey, l_linenumber) as d""",
     "lifecycle_events": """
         select event_id, user_id as template_id, ts,
           case event_type when 'signup' then 'Pending Approval' when 'view' then 'Pending DDL'

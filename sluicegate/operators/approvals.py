@@ -1,7 +1,8 @@
 """Approval workflow over the registry tables.
 
 Times of evaluation are parameters (`as_of`), never the clock. A review round is the set
-of approval rows of one submission, numbered in a `round` column.
+of approval rows of one submission, numbered in a `round` column; tables without that
+column, like the registry's own, are numbered by their times of creation (`with_rounds`).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from sluicegate.sources.workspace import materialise
 PARTLY_APPROVED = "%d of %d required reviewers have approved. Awaiting %d more."
 ALL_APPROVED = "All %d required reviewers have approved. The Unity Catalog table will be provisioned shortly."
 BACK_TO_DRAFT = "Your template has been moved back to Draft status. You can revise it and submit again."
+REJECTED = "Your template was rejected"
+APPROVED = "Your template has been approved"
 LINK = "%s/api/v1/approvals/%s/%s"
 DATE_FORMAT = "MMMM dd, yyyy"
 
@@ -60,12 +63,23 @@ def readiness(templates: DataFrame, columns: DataFrame, reviewers: DataFrame) ->
     )
 
 
+def with_rounds(approvals: DataFrame) -> DataFrame:
+    """Approvals with `round`: as it is there, else the rank of `created_at`, which all rows
+    of one submission share, among the submissions of the template."""
+    if "round" in approvals.columns:
+        return approvals
+    times = approvals.select("template_id", "created_at").distinct()
+    number = F.row_number().over(Window.partitionBy("template_id").orderBy("created_at"))
+    return approvals.join(times.withColumn("round", number), ["template_id", "created_at"])
+
+
 def fan_out(submissions: DataFrame, reviewers: DataFrame) -> DataFrame:
     """One pending approval row per reviewer of each submitted template (template_id,
-    submitted_at). Tokens are secrets and issued elsewhere."""
+    submitted_at). Tokens are secrets and issued elsewhere. Names are copied if there are any."""
     return submissions.join(reviewers, "template_id").select(
         "template_id",
         "reviewer_email",
+        *[c for c in ("reviewer_name",) if c in reviewers.columns],
         "reviewer_type",
         F.lit(None).cast("string").alias("action"),
         F.lit(False).alias("token_used"),
@@ -130,18 +144,26 @@ def apply_decisions(
     """Outcome per decision (decision_id, decided_at, token, decision), as if they were
     handled one after the other: recorded, not_found, used, expired or not_pending.
 
-    A token is consumed by the first decision recorded with it. A template stops taking
-    decisions at the first rejection by a required reviewer (`strict_reference`: by any
-    reviewer), or once every required reviewer has approved. The new status of the
-    template as of the decision is returned for recorded ones.
+    A token is consumed by the first decision recorded with it. A token of an earlier round
+    than the template's latest records nothing (`old_round`). A template stops taking
+    decisions at the first rejection by a required reviewer, or once every required
+    reviewer has approved in the latest round. With `strict_reference` any reviewer's
+    rejection counts, tokens of all rounds are taken, and approval rows of required
+    reviewers are counted over all rounds.
+    The new status of the template as of the decision is returned for recorded ones.
+    Starts jobs.
     """
+    approvals = with_rounds(approvals)
+    newest = approvals.groupBy("template_id").agg(F.max("round").alias("_newest"))
     # Both are read several times below.
     asked = materialise(_with_token(decisions, approvals, "decision_id", as_of, hot_rows), "decisions")
-    states = templates.select(F.col("id").alias("template_id"), F.col("status").alias("_status"))
-    at = F.struct("decided_at", "decision_id")
-    open_requests = asked.filter(F.col("token_state") == "valid").join(
-        states.filter(F.col("_status") == "Pending Approval").select("template_id"), "template_id", "left_semi"
+    states = templates.select(F.col("id").alias("template_id"), F.col("status").alias("_status")).join(
+        newest, "template_id", "left"
     )
+    at = F.struct("decided_at", "decision_id")
+    pending = states.filter(F.col("_status") == "Pending Approval").select("template_id", F.col("_newest").alias("round"))
+    same = ["template_id"] if strict_reference else ["template_id", "round"]
+    open_requests = asked.filter(F.col("token_state") == "valid").join(pending.select(*same), same, "left_semi")
     # First use of each token; a token belongs to one reviewer of one template.
     first_uses = materialise(
         open_requests.groupBy("token").agg(
@@ -162,7 +184,8 @@ def apply_decisions(
         .groupBy("template_id")
         .agg(F.min("at").alias("rejected_at"))
     )
-    completed = _completion_moment(by_required, required, approvals, decisions)
+    moment = _completion_by_rows if strict_reference else _completion_moment
+    completed = moment(by_required, required, approvals)
     closed = (
         rejected.join(completed, "template_id", "full")
         .select("template_id", F.least("rejected_at", "completed_at").alias("closed_at"), "rejected_at", "completed_at")
@@ -178,6 +201,7 @@ def apply_decisions(
         .when(token_taken, "used")
         .when(F.col("token_state") == "expired", "expired")
         .when(F.col("_status").isNull() | (F.col("_status") != "Pending Approval"), "not_pending")
+        .when(in_time & (F.col("round") < F.col("_newest")) & F.lit(not strict_reference), "old_round")
         .when(in_time, "recorded")
         .otherwise("not_pending")
     )
@@ -200,9 +224,31 @@ def apply_decisions(
     )
 
 
-def _completion_moment(
-    by_required: DataFrame, required: DataFrame, approvals: DataFrame, decisions: DataFrame
-) -> DataFrame:
+def _completion_by_rows(by_required: DataFrame, required: DataFrame, approvals: DataFrame) -> DataFrame:
+    """(template_id, completed_at) when approval rows of required reviewers are counted, of
+    any round: the first approval, by anyone, at which there are as many as required
+    reviewers."""
+    needed = required.groupBy("template_id").agg(F.count(F.lit(1)).alias("needed"))
+    earlier = (
+        approvals.filter(F.col("action") == "approved")
+        .join(required, ["template_id", "reviewer_email"], "left_semi")
+        .groupBy("template_id")
+        .agg(F.count(F.lit(1)).alias("earlier"))
+    )
+    until_now = Window.partitionBy("template_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    arriving = by_required.filter(F.col("decision") == "approve").withColumn(
+        "_now", F.sum(F.when(F.col("_required"), 1).otherwise(0)).over(until_now)
+    )
+    return (
+        arriving.join(needed, "template_id")
+        .join(earlier, "template_id", "left")
+        .filter(F.coalesce("earlier", F.lit(0)) + F.col("_now") >= F.col("needed"))
+        .groupBy("template_id")
+        .agg(F.min("at").alias("completed_at"))
+    )
+
+
+def _completion_moment(by_required: DataFrame, required: DataFrame, approvals: DataFrame) -> DataFrame:
     """(template_id, completed_at): when the last missing required approval comes in.
     Templates that were complete before this batch are not among them."""
     concerned = by_required.select("template_id").distinct()
@@ -241,6 +287,7 @@ def latest_round(approvals: DataFrame) -> DataFrame:
     """One row per reviewer in the latest round of each template: (template_id,
     reviewer_email, round, approved, acted, requested_at). Approval rows are combined per
     reviewer before anything is joined."""
+    approvals = with_rounds(approvals)
     per_reviewer = approvals.groupBy("template_id", "round", "reviewer_email").agg(
         F.max(F.coalesce(F.col("action") == "approved", F.lit(False))).alias("approved"),
         F.max(F.col("action").isNotNull()).alias("acted"),
@@ -279,10 +326,61 @@ def required_approvals(reviewers: DataFrame, approvals: DataFrame, row_counting:
     )
 
 
-def fully_approved(reviewers: DataFrame, approvals: DataFrame, row_counting: bool = False) -> DataFrame:
-    """(template_id, required, approved, fully_approved)."""
-    return required_approvals(reviewers, approvals, row_counting).withColumn(
-        "fully_approved", F.col("approved") >= F.col("required")
+def fully_approved(
+    reviewers: DataFrame, approvals: DataFrame, row_counting: bool = False, templates: DataFrame | None = None
+) -> DataFrame:
+    """(template_id, required, approved, fully_approved). With `templates` there is a row
+    for each of them; without required reviewers a template is not fully approved."""
+    counts = required_approvals(reviewers, approvals, row_counting)
+    if templates is not None:
+        counts = templates.select(F.col("id").alias("template_id")).join(counts, "template_id", "left")
+        counts = counts.fillna(0, ["required", "approved"])
+    enough = (F.col("required") > 0) & (F.col("approved") >= F.col("required"))
+    return counts.withColumn("fully_approved", enough)
+
+
+def applied_tables(
+    outcomes: DataFrame, approvals: DataFrame, templates: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Approvals and templates after the recorded `outcomes` of `apply_decisions`: action,
+    comment, token_used and actioned_at of the tokens used; status and, where they carry
+    it, approved_at of the templates decided."""
+    recorded = outcomes.filter(F.col("outcome") == "recorded")
+    used = recorded.select(
+        F.col("token").alias("approval_token"),
+        F.col("action").alias("_action"),
+        F.col("decided_at").alias("_at"),
+        (F.col("comment") if "comment" in outcomes.columns else F.lit(None).cast("string")).alias("_comment"),
+    )
+    now = {
+        "action": F.coalesce("_action", "action"),
+        "token_used": F.col("_action").isNotNull() | F.col("token_used"),
+        "actioned_at": F.coalesce("_at", "actioned_at"),
+        "comment": F.coalesce("_comment", "comment") if "comment" in approvals.columns else F.col("_comment"),
+    }
+    after = approvals.join(used, "approval_token", "left").select(
+        *[now[c].alias(c) if c in now else F.col(c) for c in approvals.columns]
+    )
+    decided = (
+        recorded.filter(F.col("template_status") != "Pending Approval")
+        .groupBy("template_id")
+        .agg(F.max_by(F.struct("template_status", "decided_at"), F.struct("decided_at", "decision_id")).alias("_d"))
+        .select(F.col("template_id").alias("id"), "_d")
+    )
+    fields = {"status": F.coalesce("_d.template_status", "status")}
+    if "approved_at" in templates.columns:
+        done = F.col("_d.template_status") == "Pending DDL"
+        fields["approved_at"] = F.when(done, F.col("_d.decided_at")).otherwise(F.col("approved_at"))
+    changed = templates.join(decided, "id", "left")
+    return after, changed.select(*[fields[c].alias(c) if c in fields else F.col(c) for c in templates.columns])
+
+
+def submitted_templates(templates: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Templates after submission: Drafts that were submitted (template_id) are pending."""
+    asked = submissions.select(F.col("template_id").alias("id"), F.lit(True).alias("_asked")).distinct()
+    status = F.when(F.col("_asked") & (F.col("status") == "Draft"), "Pending Approval").otherwise(F.col("status"))
+    return templates.join(asked, "id", "left").select(
+        *[status.alias(c) if c == "status" else F.col(c) for c in templates.columns]
     )
 
 
@@ -298,6 +396,36 @@ def progress_messages(reviewers: DataFrame, approvals: DataFrame, decision: str
     return counts.select("template_id", message.alias("message"))
 
 
+def messages_after(outcomes: DataFrame, reviewers: DataFrame, approvals: DataFrame) -> DataFrame:
+    """(decision_id, message): what the creator is told after each recorded approval, with
+    the required reviewers counted who had approved in the latest round by then."""
+    counts = required_approvals(reviewers, approvals)
+    required = reviewers.filter(F.col("reviewer_type") == "required").select(
+        "template_id", "reviewer_email", F.lit(True).alias("_required")
+    )
+    earlier = latest_round(approvals).filter("approved").select(
+        "template_id", "reviewer_email", F.lit(True).alias("_earlier")
+    )
+    given = (
+        outcomes.filter((F.col("outcome") == "recorded") & (F.col("decision") == "approve"))
+        .join(required, ["template_id", "reviewer_email"], "left")
+        .join(earlier, ["template_id", "reviewer_email"], "left")
+    )
+    order = ("decided_at", "decision_id")
+    first = F.row_number().over(Window.partitionBy("template_id", "reviewer_email").orderBy(*order)) == 1
+    new = F.when(F.col("_required") & F.col("_earlier").isNull() & F.col("_first"), 1).otherwise(0)
+    so_far = F.sum(new).over(
+        Window.partitionBy("template_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    counted = given.withColumn("_first", first).withColumn("_new", so_far).join(counts, "template_id")
+    approved = F.col("approved") + F.col("_new")
+    missing = F.col("required") - approved
+    message = F.when(missing <= 0, F.format_string(ALL_APPROVED, "required")).otherwise(
+        F.format_string(PARTLY_APPROVED, approved, F.col("required"), missing)
+    )
+    return counted.select("decision_id", message.alias("message"))
+
+
 # ---------------------------------------------------------------------------
 # Lifecycle
 # ---------------------------------------------------------------------------
@@ -451,7 +579,8 @@ def approval_requests(
 def decision_notices(
     outcomes: DataFrame, templates: DataFrame, domains: DataFrame, messages: DataFrame
 ) -> DataFrame:
-    """Message data for the creator after each recorded decision of `apply_decisions`."""
+    """Message data for the creator after each recorded decision of `apply_decisions`, with
+    the `messages` of `messages_after` (by decision) or `progress_messages` (by template)."""
     t = templates.select(
         F.col("id").alias("template_id"),
         F.col("display_name").alias("template_display_name"),
@@ -465,7 +594,7 @@ def decision_notices(
         outcomes.filter(F.col("outcome") == "recorded")
         .join(t, "template_id")
         .join(d, "domain_id")
-        .join(messages, "template_id", "left")
+        .join(messages, "decision_id" if "decision_id" in messages.columns else "template_id", "left")
         .select(
             "decision_id",
             "template_id",
@@ -475,9 +604,7 @@ def decision_notices(
             "fully_qualified_name",
             "domain_name",
             F.col("action").alias("decision_past_tense"),
-            F.when(rejected, "Your template was rejected")
-            .otherwise("Your template has been approved")
-            .alias("headline"),
+            F.when(rejected, REJECTED).otherwise(APPROVED).alias("headline"),
             F.when(rejected, BACK_TO_DRAFT).otherwise(F.col("message")).alias("status_message"),
         )
     )

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluicegate.operators import approvals
 
@@ -49,6 +50,8 @@ def replay(decisions, tokens, statuses, required, strict):
             outcomes[number] = ("expired", None)
         elif statuses.get(t["template"]) != "Pending Approval":
             outcomes[number] = ("not_pending", None)
+        elif not strict and t["round"] < max(x["round"] for x in tokens.values() if x["template"] == t["template"]):
+            outcomes[number] = ("old_round", None)
         else:
             t["used"], t["action"] = True, "approved" if decision == "approve" else "rejected"
             needed = {e for i, e in required if i == t["template"]}
@@ -57,7 +60,9 @@ def replay(decisions, tokens, statuses, required, strict):
             mine = [x for x in tokens.values() if x["template"] == t["template"]]
             latest = max(x["round"] for x in mine)
             given = {x["email"] for x in mine if x["action"] == "approved" and x["round"] == latest}
-            if decision == "approve" and t["email"] in needed and needed <= given:
+            rows = sum(x["action"] == "approved" and x["email"] in needed for x in mine)
+            complete = rows >= len(needed) > 0 if strict else t["email"] in needed and needed <= given
+            if decision == "approve" and complete:
                 statuses[t["template"]] = "Pending DDL"
             outcomes[number] = ("recorded", statuses[t["template"]])
     return outcomes
@@ -71,9 +76,10 @@ def test_decisions_equal_one_by_one_handling(spark, seed, strict):
     statuses = [(i, "Pending Approval" if i % 5 else "Draft") for i in range(12)]
     required = [(i, e) for i, _ in statuses for e in emails[: 1 + i % 3]]
     tokens = [
-        token(f"{i}-{e}", pick.random() < 0.15, NOW + timedelta(hours=pick.choice([5, 500])), i, e, 1, None)
+        token(f"{i}-{e}-{r}", pick.random() < 0.15, NOW + timedelta(hours=pick.choice([5, 500])), i, e, r, None)
         for i, _ in statuses
         for e in emails
+        for r in range(1, 2 + i % 2)
     ]
     tokens = [t if not t[3] else t[:6] + (pick.choice(["approved", "rejected"]),) + t[7:] for t in tokens]
     decisions = [
@@ -83,7 +89,7 @@ def test_decisions_equal_one_by_one_handling(spark, seed, strict):
             pick.choice([t[0] for t in tokens] + ["unknown"]),
             pick.choice(["approve", "approve", "approve", "reject"]),
         )
-        for n in range(150)
+        for n in range(220)
     ]
     found = approvals.apply_decisions(
         spark.createDataFrame(decisions, REQUESTS),
@@ -94,6 +100,8 @@ def test_decisions_equal_one_by_one_handling(spark, seed, strict):
         hot_rows=3,
     )
     expected = replay(decisions, tokens, statuses, required, strict)
+    assert strict or {"recorded", "old_round", "used", "not_pending"} <= {o for o, _ in expected.values()}
+    assert "Pending DDL" in {s for _, s in expected.values()}
     assert {r.decision_id: (r.outcome, r.template_status) for r in found.collect()} == expected
 
 
@@ -120,6 +128,39 @@ def test_completion(spark):
     assert completion(spark, [("a", "approved", 1), ("b", "approved", 2)]) == (2, 1, False)
 
 
+def test_registry_tables_have_rounds_and_names(spark):
+    """The tables that the registry makes, without a round column, are enough."""
+    columns = "template_id int, reviewer_email string, action string, created_at timestamp_ntz"
+    later = NOW + timedelta(days=2)
+    rows = [(1, "a", "approved", NOW), (1, "b", "rejected", NOW), (1, "a", "approved", later), (1, "b", None, later)]
+    given = spark.createDataFrame(rows, columns)
+    assert {(r.created_at, r.round) for r in approvals.with_rounds(given).collect()} == {(NOW, 1), (later, 2)}
+    reviewers = spark.createDataFrame([(1, "a", "required"), (1, "b", "required"), (2, "c", "optional")], REVIEWERS)
+    templates = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    found = approvals.fully_approved(reviewers, given, templates=templates).collect()
+    assert {(r.template_id, r.required, r.approved, r.fully_approved) for r in found} == {
+        (1, 2, 1, False),
+        (2, 0, 0, False),
+        (3, 0, 0, False),
+    }
+
+
+def test_messages_and_tables_after_each_decision(spark):
+    reviewers = spark.createDataFrame([(1, "a", "required"), (1, "b", "required"), (1, "c", "optional")], REVIEWERS)
+    tokens = [token(f"t-{e}", False, NOW + timedelta(days=9), 1, e, 1, None) for e in "abc"]
+    known = spark.createDataFrame(tokens, TOKENS)
+    steps = [(i, NOW + timedelta(hours=i), f"t-{e}", "approve") for i, e in enumerate("cabb")]
+    templates = spark.createDataFrame([(1, "Pending Approval"), (2, "Draft")], "id int, status string")
+    outcomes = approvals.apply_decisions(spark.createDataFrame(steps, REQUESTS), known, templates, reviewers)
+    texts = {r.decision_id: r.message[:8] for r in approvals.messages_after(outcomes, reviewers, known).collect()}
+    assert texts == {0: "0 of 2 r", 1: "1 of 2 r", 2: "All 2 re"}
+    rows, after = approvals.applied_tables(outcomes, known.withColumn("actioned_at", F.lit(None).cast("timestamp_ntz")), templates)
+    assert {(r.id, r.status) for r in after.collect()} == {(1, "Pending DDL"), (2, "Draft")}
+    assert {(r.approval_token, r.token_used, r.action) for r in rows.collect()} == {(f"t-{e}", True, "approved") for e in "abc"}
+    submitted = approvals.submitted_templates(after, spark.createDataFrame([(1,), (2,)], "template_id int"))
+    assert {(r.id, r.status) for r in submitted.collect()} == {(1, "Pending DDL"), (2, "Pending Approval")}
+
+
 def test_messages(spark):
     reviewers = spark.createDataFrame([(1, "a", "required"), (1, "b", "required")], REVIEWERS)
     rows = spark.createDataFrame([(1, "a", "approved", 1, NOW)], APPROVALS)
