@@ -37,8 +37,10 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's domain, rate and copies in a mixture of set weights."""
     documents = table(spark, sf_dir, "documents")
     labelled = labelled_domains(spark, sf_dir)
-    mixture = soft_mixing.fit_mixture(documents, labelled, MIXTURE_WEIGHTS, MIXTURE_ANCHOR, MIXTURE_EPOCHS)
-    return soft_mixing.mixing_rates(documents, mixture)
+    mixture = soft_mixing.fit_mixture(
+        documents, labelled, MIXTURE_WEIGHTS, MIXTURE_ANCHOR, MIXTURE_EPOCHS, keep_fitted=True
+    )
+    return soft_mixing.fitted_rates(mixture)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +263,29 @@ def op10_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# Every pair that shares a shingle is compared, then links are followed from every document.
+OP10_SQL = rf"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_vocabulary.UPPER}', '{url_vocabulary.LOWER}'),
+    '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from sets group by doc_id
+), common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select x, y from common join sizes nx on nx.doc_id = x join sizes ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)
+), edges as (select x, y from links union all select y, x from links
+), reach(start, node) as (
+  select distinct x, x from edges union select start, y from reach join edges on node = x
+), found as (select start, min(node) as least from reach group by start)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, d.doc_id) as component_id,
+  d.doc_id = coalesce(least, d.doc_id) as kept
+from docs d left join sizes using (doc_id) left join found on start = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_token_counts": op2_token_counts,
@@ -280,4 +305,5 @@ ORACLES = {
     "op5_quality_rules": OP5_SQL,
     "op6_licence_scan": _op6_sql(),
     "op7_url_filter": _op7_sql(),
+    "op10_odd_minhash": OP10_SQL,
 }

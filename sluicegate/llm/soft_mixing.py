@@ -49,7 +49,8 @@ _TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 class Mixture:
     """A fitted mixture: domains in the order of the posterior, the classifier (None with
     fewer than two domains), the starting rate and the steps' multiples of the posterior.
-    `reached` and `targets` are expected tokens per domain."""
+    `reached` and `targets` are expected tokens per domain. `fitted` has the posteriors of
+    the documents it was fitted to (row, n_tokens, posterior) if they were to be kept."""
 
     domains: tuple[str, ...]
     model: LogisticRegressionModel | None
@@ -57,6 +58,7 @@ class Mixture:
     steps: tuple[tuple[float, ...], ...]
     reached: tuple[float, ...]
     targets: tuple[float, ...]
+    fitted: DataFrame | None = None
 
 
 def _tokens(text: Column) -> Column:
@@ -130,6 +132,7 @@ def fit_mixture(
     text: str = "text",
     max_labelled: int = MAX_LABELLED,
     max_epochs: float | None = None,
+    keep_fitted: bool = False,
 ) -> Mixture:
     """Fit rates so that domain d has `weights[d]` of all expected tokens, and the domain
     `anchor` is taken `epochs` times over. `labelled` has the columns id and domain.
@@ -140,8 +143,17 @@ def fit_mixture(
     """
     staging = Staging(docs.sparkSession, "mixing")
     domains, model = fit_classifier(docs, labelled, key, text, max_labelled, staging)
-    rows = docs.select(F.lit(None).cast("int").alias("row"), F.col(f"`{text}`").alias("text"))
-    compact = staging.keep(with_posteriors(rows, domains, model).select("n_tokens", "posterior"), "posteriors")
+    row = F.col(f"`{key}`") if keep_fitted else F.lit(None).cast("int")
+    compact = staging.keep(
+        with_posteriors(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), domains, model), "posteriors"
+    )
+
+    def result(start: float, steps: list, reached: np.ndarray, targets: np.ndarray) -> Mixture:
+        if not keep_fitted:
+            staging.close()
+        fitted = compact if keep_fitted else None
+        return Mixture(domains, model, start, tuple(steps), tuple(reached), tuple(targets), fitted)
+
     many = range(len(domains))
     tokens, own = F.col("n_tokens"), F.col("posterior")
     moments = [F.sum(tokens * own[d]) for d in many] + [F.sum(tokens * own[d] * own[e]) for d in many for e in many]
@@ -149,8 +161,7 @@ def fit_mixture(
     base, gram = np.array(seen[: len(domains)]), np.array(seen[len(domains) :]).reshape(len(domains), len(domains))
     wanted = np.array([weights.get(d, 0.0) for d in domains])
     if not domains or base.sum() == 0 or wanted.sum() == 0:
-        staging.close()
-        return Mixture(domains, model, 1.0, (), tuple(base), tuple(base))
+        return result(1.0, [], base, base)
     wanted = wanted / wanted.sum()
     at = domains.index(anchor) if anchor in domains and wanted[domains.index(anchor)] else int(wanted.argmax())
     targets = np.minimum(wanted * (epochs * base[at] / wanted[at]), (max_epochs or epochs) * base)
@@ -173,18 +184,15 @@ def fit_mixture(
         scale, size = _step_size(free_gram if error < least else gram)
         least = min(least, error)
         steps.append(tuple((size * scale * miss).tolist()))
-    staging.close()
-    return Mixture(domains, model, start, tuple(steps), tuple(reached), tuple(targets))
+    return result(start, steps, reached, targets)
 
 
-def _mixed(rows: DataFrame, mixture: Mixture, seed: Column) -> DataFrame:
-    """row, text -> row, n_tokens, domain, rate, copies: the rate rounded up or down by a
-    draw from the row's hash, so that copies have the rate on average."""
-    seeded = rows.select(F.struct("row", seed.alias("seed")).alias("row"), "text")
-    scored = with_posteriors(seeded, mixture.domains, mixture.model)
+def _mixed(scored: DataFrame, mixture: Mixture, seed: Column) -> DataFrame:
+    """row, n_tokens, posterior -> row, n_tokens, domain, rate, copies: the rate rounded up
+    or down by a draw from the row's hash, so that copies have the rate on average."""
     rated = scored.select(
-        "row.row",
-        "row.seed",
+        "row",
+        seed.alias("seed"),
         "n_tokens",
         F.array(*[F.lit(d) for d in mixture.domains]).cast("array<string>").alias("domains"),
         "posterior",
@@ -198,9 +206,17 @@ def _mixed(rows: DataFrame, mixture: Mixture, seed: Column) -> DataFrame:
 
 
 def mixing_rates(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_tokens, domain (the likeliest), rate, copies."""
+    """One row per document: key, n_tokens, domain (the likeliest), rate, copies. The
+    documents need not be those that the mixture was fitted to."""
     rows = docs.select(F.col(f"`{key}`").alias("row"), F.col(f"`{text}`").alias("text"))
-    return _mixed(rows, mixture, F.xxhash64("row", F.lit("mixing"))).withColumnRenamed("row", key)
+    scored = with_posteriors(rows, mixture.domains, mixture.model)
+    return _mixed(scored, mixture, F.xxhash64("row", F.lit("mixing"))).withColumnRenamed("row", key)
+
+
+def fitted_rates(mixture: Mixture, key: str = "doc_id") -> DataFrame:
+    """`mixing_rates` of the documents that the mixture was fitted to, without reading their
+    texts again. The stored posteriors stay until the session's shared folder is cleared."""
+    return _mixed(mixture.fitted, mixture, F.xxhash64("row", F.lit("mixing"))).withColumnRenamed("row", key)
 
 
 def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,6 +224,7 @@ def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "tex
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")
     )
-    taken = _mixed(rows, mixture, F.xxhash64(F.col("row")[key], F.lit("mixing")))
+    scored = with_posteriors(rows, mixture.domains, mixture.model)
+    taken = _mixed(scored, mixture, F.xxhash64(F.col("row")[key], F.lit("mixing")))
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return taken.select("row", repeated).select("row.*")

@@ -29,7 +29,7 @@ def fitted(spark):
     rows = corpus(1, 600)
     docs = spark.createDataFrame([(i, t, "clash", 0.5) for i, t, _ in rows], "doc_id bigint, text string, domain string, rate double")
     labelled = spark.createDataFrame([(i, d) for i, _, d in rows if i % 3 == 0], "id bigint, domain string")
-    return rows, docs, mixing.fit_mixture(docs, labelled, WEIGHTS, "plain", 1.5, max_epochs=3.0)
+    return rows, docs, mixing.fit_mixture(docs, labelled, WEIGHTS, "plain", 1.5, max_epochs=3.0, keep_fitted=True)
 
 
 def test_held_out_accuracy(fitted):
@@ -79,6 +79,7 @@ def test_copies_follow_rates(fitted):
     rated = mixing.mixing_rates(docs, mixture).collect()
     assert all(int(r.rate) <= r.copies <= int(r.rate) + 1 for r in rated)
     assert abs(sum(r.copies for r in rated) - sum(r.rate for r in rated)) < 40
+    assert sorted(mixing.fitted_rates(mixture).collect()) == sorted(rated)
     mixed = mixing.mix(docs, mixture)
     assert mixed.schema == docs.schema
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
