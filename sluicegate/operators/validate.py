@@ -173,15 +173,20 @@ def unique_cells(df: DataFrame, cfg: TemplateConfig) -> DataFrame:
     )
 
 
-def check_unique(cells: DataFrame, hot_rows: int = HOT_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
+def check_unique(
+    cells: DataFrame, hot_rows: int = HOT_ROWS, limit: int = BROADCAST_BYTES, folder: str | None = None
+) -> DataFrame:
     """Cells whose value occurs more than once in its upload and column; every member of
     a group is returned. One shuffle of the cells serves any number of columns, and the
-    rows themselves move only if very many values are repeated (see `repeated_keys`)."""
-    return repeated_keys(cells, ["upload_id", "column_name", "value"], "row_number", hot_rows, limit)
+    rows themselves move only if very many values are repeated (see `repeated_keys`).
+    Starts a job."""
+    return repeated_keys(cells, ["upload_id", "column_name", "value"], "row_number", hot_rows, limit, folder)
 
 
-def unique_errors(df: DataFrame, cfg: TemplateConfig) -> DataFrame:
-    return check_unique(unique_cells(df, cfg)).select(
+def unique_errors(df: DataFrame, cfg: TemplateConfig, folder: str | None = None) -> DataFrame:
+    """UNIQUE errors. Starts a job; its table of repeated values is put into `folder` if one
+    is given, to be removed with it."""
+    return check_unique(unique_cells(df, cfg), folder=folder).select(
         "upload_id",
         "row_number",
         "column_name",

@@ -21,7 +21,7 @@ from sluicegate.operators.publish import (
     observed_log,
     with_audit_columns,
 )
-from sluicegate.operators.validate import ROW_COLUMN, clean_rows, validate, verdict
+from sluicegate.operators.validate import ROW_COLUMN, clean_rows, unique_errors, validate, verdict
 from sluicegate.sources.files import (
     FILE_NAME,
     data_rows,
@@ -71,6 +71,11 @@ class IngestResult:
     rejected_files: DataFrame
     log: list[tuple[str, int, int, int]]
     wrote: bool
+    folder: str
+
+    def release(self) -> None:
+        """Remove the stored verdicts and file list, once they are not needed any more."""
+        remove_folder(self.verdicts.sparkSession, self.folder)
 
 
 def _config_frames(spark: SparkSession, cfg: TemplateConfig) -> tuple[DataFrame, DataFrame]:
@@ -100,11 +105,14 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         ctx = dataclasses.replace(ctx, upload_id=path_below(spark, *roots))
 
     listed = list_files(spark, paths).unionByName(empty_files(spark, paths))
+    # What the result gives out stays until it is released; the rest goes at the end.
+    staging, kept = new_folder(spark, "ingest"), new_folder(spark, "ingest-result")
     gated = materialise(
         upload_gates(listed, ctx.max_bytes, ("csv",)).select(
             F.expr(ctx.upload_id).alias("upload_id"), "path", "length", "modificationTime", "gate"
         ),
         "files",
+        kept,
     )
     same = gated.groupBy("upload_id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
     if twice := [r["upload_id"] for r in same.limit(5).collect()]:
@@ -116,18 +124,17 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
 
     only = {"pathGlobFilter": "*.[cC][sS][vV]"}
     scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, **only)
-    staging = new_folder(spark, "ingest")
     numbered = number_records(scan, folder=staging, upload_id=ctx.upload_id)
 
     found = header_rows(numbered.rows, cfg).select("upload_id", "header")
     headers = uploads.join(found, "upload_id", "left").withColumn(
         "header", F.coalesce("header", F.array().cast("array<string>"))
     )
-    checked = materialise(check_headers(headers, columns), "headers")
+    checked = materialise(check_headers(headers, columns), "headers", staging)
     bad_headers = checked.filter(~F.col("header_ok")).select("upload_id")
     file_errors = header_errors(checked)
     if not cfg.multi_line:
-        broken = _quote_errors(open_quotes(numbered.staged, cfg, paths, encoding=cfg.encoding, **only), ctx)
+        broken = _quote_errors(open_quotes(numbered.staged, cfg, paths, staging, encoding=cfg.encoding, **only), ctx)
         broken = materialise(broken.join(bad_headers, "upload_id", "left_anti"), "open_quotes", staging)
         bad_headers = bad_headers.unionByName(broken.select("upload_id"))
         file_errors = file_errors.unionByName(broken)
@@ -135,14 +142,16 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     times[STEPS[1]] = _now()
 
     rows = data_rows(numbered.rows).join(broadcast_if_small(bad_headers), "upload_id", "left_anti")
+    twice_found = unique_errors(rows, cfg, staging) if cfg.unique else None
     errors = write_errors(
-        validate(rows, cfg).unionByName(file_errors), ctx.errors_path, ctx.run_id
+        validate(rows, cfg, twice_found).unionByName(file_errors), ctx.errors_path, ctx.run_id
     )
     verdicts = materialise(
         verdict(
             record_counts(numbered.splits).withColumn("template_id", F.lit(template_id)), errors, templates, uploads
         ),
         "verdicts",
+        kept,
     )
 
     times[STEPS[2]] = times[STEPS[3]] = _now()
@@ -155,7 +164,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
             .agg(F.max_by("upload_id", F.struct("modificationTime", "upload_id")).alias("upload_id"))
         )
         passing = passing.join(newest, "upload_id", "left_semi")
-    passing = materialise(passing, "passing")
+    passing = materialise(passing, "passing", staging)
     wrote = not passing.isEmpty()
     log: list[tuple[str, int, int, int]] = []
     if wrote:
@@ -172,8 +181,8 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
             write_validated(clean, folder, ctx.fmt, scattered=bool(cfg.unique) and few is None)
             clean = spark.read.schema(clean.schema).format(ctx.fmt).load(folder)
         rules = expectations(cfg, ctx.checks)
-        kept, observation = observe_expectations(clean, rules, f"expectations_{ctx.run_id}")
-        target = with_audit_columns(kept, ctx.uploaded_by, ctx.uploaded_at, F.col(FILE_NAME))
+        observed, observation = observe_expectations(clean, rules, f"expectations_{ctx.run_id}")
+        target = with_audit_columns(observed, ctx.uploaded_by, ctx.uploaded_at, F.col(FILE_NAME))
         if ctx.slice:
             target = target.withColumn(ctx.slice[0], F.lit(ctx.slice[1]))
         write_target(
@@ -195,7 +204,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
 
     _write_end(verdicts, written, bad_headers, rejected, template_id, ctx, times)
     remove_folder(spark, staging)  # as large as the input; a failed run leaves it for inspection
-    return IngestResult(ctx.run_id, verdicts, errors, rejected, log, wrote)
+    return IngestResult(ctx.run_id, verdicts, errors, rejected, log, wrote, kept)
 
 
 COUNTS = ("total_rows", "valid_rows", "invalid_rows", "dropped_rows", "written_rows")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicegate.sources.workspace import BROADCAST_BYTES, materialise, sized
+from sluicegate.sources.workspace import BROADCAST_BYTES, broadcast_if_small, materialise, sized
 
 # A key with at least this many rows is hot. The hot keys of a table hold at most
 # (bytes of the key columns) / HOT_ROWS: 100 MB for 100 TB, so they can be broadcast.
@@ -36,24 +36,28 @@ def lookup_join(
     The rows of hot keys are dealt over `SPREAD` slots, and only their lookup rows are
     repeated per slot; all other keys join as usual. Rows with a NULL key match nothing
     and are dealt out too. `spread_by` is a column of `left` that differs within a key.
+    The hot keys are counted and stored when this is called, and broadcast if they measure
+    small, which they do for all but tiny values of `hot_rows`.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
     on = list(on)
-    hot = (
+    hot = materialise(
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") >= hot_rows)
-        .select(*on, F.lit(True).alias(_HOT))
+        .select(*on, F.lit(True).alias(_HOT)),
+        "hot_keys",
     )
+    hot = broadcast_if_small(hot)
     keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    marked = left.join(F.broadcast(hot), on, "left").withColumn(
+    marked = left.join(hot, on, "left").withColumn(
         _SLOT, F.when(F.col(_HOT) | keyless, slot(F.col(spread_by))).otherwise(F.lit(0).cast("bigint"))
     )
     slots = F.when(F.col(_HOT), F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).otherwise(
         F.array(F.lit(0).cast("bigint"))
     )
-    spread = right.join(F.broadcast(hot), on, "left").withColumn(_SLOT, F.explode(slots)).drop(_HOT)
+    spread = right.join(hot, on, "left").withColumn(_SLOT, F.explode(slots)).drop(_HOT)
     return marked.join(spread, [*on, _SLOT], how).drop(_HOT, _SLOT)
 
 
@@ -80,6 +84,7 @@ def repeated_keys(
     spread_by: str,
     hot_rows: int = HOT_ROWS,
     limit: int = BROADCAST_BYTES,
+    folder: str | None = None,
 ) -> DataFrame:
     """Rows whose key occurs more than once, every member of a group included.
 
@@ -90,18 +95,20 @@ def repeated_keys(
     """
     on = list(on)
     counts = materialise(
-        rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1), "repeated_keys"
+        rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1),
+        "repeated_keys",
+        folder,
     )
     few = sized(counts.select(*on), limit)
     if few is not None:
         return rows.join(few, on, "left_semi").select(*rows.columns)
-    hot = counts.filter(F.col("_rows") >= hot_rows).select(*on, F.lit(True).alias(_HOT))
+    hot = broadcast_if_small(counts.filter(F.col("_rows") >= hot_rows).select(*on, F.lit(True).alias(_HOT)))
     # Slot 0, but not as a literal: a literal would be folded out of the join key, and hot
     # rows would meet in one partition after all.
     cold = counts.filter(F.col("_rows") < hot_rows).select(
         *on, F.pmod(F.col("_rows"), F.lit(1).cast("bigint")).alias(_SLOT), F.lit(True).alias("_repeated")
     )
-    marked = rows.join(F.broadcast(hot), on, "left").withColumn(
+    marked = rows.join(hot, on, "left").withColumn(
         _SLOT, F.when(F.col(_HOT), slot(F.col(spread_by)) + 1).otherwise(F.lit(0).cast("bigint"))
     )
     return (

@@ -119,13 +119,20 @@ def number_records(
     )
     # Two splits with the same number are next to impossible, and then the names decide.
     clash = not splits.groupBy(SPLIT).count().filter("count > 1").isEmpty()
-    keys = [SPLIT, FILE, BLOCK] if clash else [SPLIT]
-    rows = (
-        staged.drop(*[c for c in (FILE, BLOCK) if c not in keys])
-        .join(broadcast_if_small(splits.drop("records")), keys)
-        .withColumn("row_number", F.col(ORDINAL) + F.col("_shift"))
-        .drop("_shift", SPLIT)
-    )
+    if clash:
+        rows = staged.join(broadcast_if_small(splits.drop("records")), [SPLIT, FILE, BLOCK])
+    else:
+        # Splits carry numbers only, so that even very many of them can be broadcast; names
+        # come with the file, of which there are fewer.
+        numbers = splits.select(SPLIT, BLOCK, "_shift", F.xxhash64(FILE).alias("_number"))
+        named = splits.filter(F.col(BLOCK) == 0).select(F.xxhash64(FILE).alias("_number"), FILE, FILE_NAME, "upload_id")
+        rows = (
+            staged.drop(FILE, BLOCK)
+            .join(broadcast_if_small(numbers), SPLIT)
+            .join(broadcast_if_small(named), "_number")
+            .drop("_number")
+        )
+    rows = rows.withColumn("row_number", F.col(ORDINAL) + F.col("_shift")).drop("_shift", SPLIT)
     return NumberedScan(rows, splits, staged)
 
 
@@ -181,7 +188,9 @@ def path_below(spark: SparkSession, *roots: str) -> str:
     return found
 
 
-def open_quotes(scan: DataFrame, cfg: TemplateConfig, paths: str | Sequence[str], **options: str) -> DataFrame:
+def open_quotes(
+    scan: DataFrame, cfg: TemplateConfig, paths: str | Sequence[str], folder: str | None = None, **options: str
+) -> DataFrame:
     """Lines that open a quoted cell and don't close it: (path, line). A template that is
     not `multi_line` can't hold what follows, and reading on would make up records.
 
@@ -191,8 +200,8 @@ def open_quotes(scan: DataFrame, cfg: TemplateConfig, paths: str | Sequence[str]
     spark = scan.sparkSession
     odd = [F.col(f"`{c.column_name}`").startswith('"') for c in cfg.columns]
     odd.append(F.contains(F.col(RAGGED), F.lit('"')))
-    suspects = scan.filter(F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in odd]), F.lit(False)))
-    suspects = materialise(suspects.select(_plain(F.col(FILE)).alias("path")).distinct(), "suspects")
+    suspects = scan.filter(reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in odd]))
+    suspects = materialise(suspects.select(_plain(F.col(FILE)).alias("path")).distinct(), "suspects", folder)
     sep = re.escape(cfg.delimiter)
     cell = f'(?:\\s*+"(?:[^"]++|"")*+"[^{sep}]*+|\\s*+[^"{sep}][^{sep}]*+|\\s*+)'
     unclosed = f'^(?:{cell}{sep})*+\\s*+"(?:[^"]++|"")*+$'
