@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.llm.links import components
-from sluicegate.llm.tables import Staging, fresh_name
+from sluicegate.llm.tables import Staging, fresh_name, text_batches
 from sluicegate.sources.workspace import broadcast_if_small
 
 SHINGLE_WORDS = 5
@@ -310,6 +310,7 @@ def near_duplicates(
     """One row per row of `docs`: key, n_shingles, component_id (the smallest doc_id that
     links reach, itself included) and kept (it is that one). Starts jobs."""
     spark = docs.sparkSession
+    text_batches(spark)
     staging = Staging(spark, "duplicates")
     rows = staging.keep(_features(docs, key, text), "features")
     classes = staging.keep(

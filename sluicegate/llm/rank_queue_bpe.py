@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.llm.tables import text_batches
+
 # Pre-tokens up to this size are remembered, and so many of them per worker.
-MEMO_BYTES, MEMO_ENTRIES = 48, 700_000
+MEMO_BYTES, MEMO_ENTRIES = 48, 600_000
 _NONE = -1
 
 
@@ -166,6 +168,7 @@ def encoder(file: bytes, pattern: str) -> Encoder:
 
 def _mapped(df: DataFrame, path: str, pattern: str, work: Callable, source: str, schema: str, columns: list[str]) -> DataFrame:
     """Rows of `df` whose column `source` is replaced by what `work` makes of its batch."""
+    text_batches(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(path))  # about 1 MB
     at = df.columns.index(source)
 

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Python see `TEXT_ROWS` rows at a time, unless the session asks for fewer: texts
+    are large, and a batch of thousands of them is held twice on each side."""
+    if int(spark.conf.get(ARROW_ROWS)) > TEXT_ROWS:
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+
 def widened(df: DataFrame, **columns: str) -> StructType:
     """The schema of a frame with further columns, given as name=type."""
     return StructType([*df.schema, *(StructField(n, DataType.fromDDL(t)) for n, t in columns.items())])

@@ -40,6 +40,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.llm.tables import text_batches
+
 CHUNK_CHARS = 1 << 16
 # What a worker keeps: states, transitions by whole stretches up to a length, judged pairs.
 MAX_STATES = 400_000
@@ -346,6 +348,7 @@ def transducer(vocabulary: bytes) -> Transducer:
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes (UTF-8), n_tokens of every whole text. Nothing is shuffled."""
+    text_batches(docs.sparkSession)
     with open(path, "rb") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())  # about 2 MB
 
