@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.llm import (
@@ -12,7 +12,10 @@ from sluicegate.llm import (
     jump_shards,
     kmeans_tree,
     licence_sentences,
+    line_index,
     odd_minhash,
+    periodic_runs,
+    prefix_trie,
     rank_queue_bpe,
     soft_mixing,
     token_transducer,
@@ -30,7 +33,7 @@ from sluicegate.llm.settings import (
     TOKEN_LIMIT,
     labelled_domains,
 )
-from sluicegate.llm.tables import table
+from sluicegate.llm.tables import Staging, table
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +289,122 @@ from docs d left join sizes using (doc_id) left join found on start = d.doc_id
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text, of which one in ten is rewritten to repeat itself to its end."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    words = F.regexp_extract_all(body, F.lit(prefix_trie.WORDS), 0)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i >= a, words[a + (i - a) % p]).otherwise(w)), " ")
+
+    picked = (h % 10 == 0) & F.regexp_like(body, F.lit(prefix_trie.WORDS))
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.when(picked, words).alias("words"), "text")
+    rewritten = documents.select("doc_id", F.when(F.col("words").isNotNull(), repeated(F.col("words"))).otherwise(F.col("text")).alias("text"))
+    longest = F.array_sort(
+        "runs",
+        lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], -1)
+        .when(x["length"] * y["period"] < y["length"] * x["period"], 1)
+        .when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int"))
+        .otherwise(F.signum(x["period"] - y["period"]).cast("int")),
+    )
+    found = periodic_runs.find_runs(rewritten).withColumn("best", F.try_element_at(longest, F.lit(1)))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the long lines that it shares with many."""
+    cleaned = line_index.drop_common_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = rf"""
+with lines as (
+  select row_number() over () as id, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), keyed as (
+  select id, doc_id, i, lines[i] as line, translate(regexp_replace(lines[i], '^[ 	-]+|[ 	-]+$', '', 'g'),
+    '{url_vocabulary.UPPER}', '{url_vocabulary.LOWER}') as key
+  from (select id, doc_id, lines, unnest(range(1, len(lines) + 1)) as i from lines)
+), common as (
+  select key, max(doc_id) as largest from keyed where length(key) >= {line_index.MIN_CHARS}
+  group by key having count(distinct id) >= {line_index.MIN_DOCS}
+), marked as (select id, doc_id, i, line, largest is not null and doc_id <> largest as gone from keyed left join common using (key))
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from marked group by id
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with its first turns borrowed from another one."""
+    own = Staging(spark, "turns").keep(prefix_trie.conversation_turns(table(spark, sf_dir, "conversations")), "turns")
+    lenders = own.select(F.col("conv_id").alias("lender"), F.slice("turns", 1, 3).alias("lent"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    borrowed = F.coalesce(F.slice("lent", F.lit(1), h), F.slice("turns", 1, 0))
+    rebuilt = own.join(lenders, F.col("conv_id") - F.col("conv_id") % 20 == F.col("lender"), "left").select(
+        "conv_id", F.concat(borrowed, F.slice("turns", h + 1, F.size("turns"))).alias("turns")
+    )
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+# CRC-32 of the decimal id is worked out bit by bit; a node is known by the digest of its turns.
+OP13_SQL = r"""
+with recursive said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), numbered as (
+  select conv_id, md5(length(role) || ':' || role || text) as mark, len(regexp_extract_all(text, '[^ 	-]+')) as tokens,
+    row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) as i from said
+), codes as (
+  select conv_id, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint) as bytes from (select distinct conv_id from said)
+), bits as (
+  select conv_id, bytes, 4294967295::bigint as crc, 0 as done from codes
+  union all
+  select conv_id, bytes, (with recursive r(k, x) as (select 0, xor(b.crc, b.bytes[b.done + 1]) union all
+    select k + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end from r where k < 8)
+    select x from r where k = 8), done + 1 from bits b where done < len(bytes)
+), heads as (select conv_id, xor(crc, 4294967295::bigint) % 4 as h from bits where done = len(bytes)
+), rebuilt as (
+  select h.conv_id, n.i, n.mark, n.tokens from heads h join numbered n on n.conv_id = h.conv_id - h.conv_id % 20 and n.i <= h.h
+  union all
+  select h.conv_id, n.i + 1000000, n.mark, n.tokens from heads h join numbered n on n.conv_id = h.conv_id and n.i > h.h
+), placed as (select conv_id, mark, tokens, row_number() over (partition by conv_id order by i) as d from rebuilt
+), nodes as (
+  select conv_id, d, tokens, md5(string_agg(mark, '') over (partition by conv_id order by d)) as node,
+    coalesce(md5(string_agg(mark, '') over (partition by conv_id order by d rows between unbounded preceding and 1 preceding)), 'root') as parent
+  from placed
+  union all select conv_id, 0, 0, 'root', null from heads
+), sizes as (select conv_id, max(d) as size from nodes group by conv_id
+), grouped as (
+  select node, any_value(d) as d, any_value(parent) as parent, any_value(tokens) as tokens, min(conv_id) as least, count(*) as n,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (d = size) as ended
+  from nodes join sizes using (conv_id) group by node
+), families as (select parent as node, count(*) as n_children from grouped where parent is not null group by parent
+), below as (select distinct a.node as top, b.node from nodes a join nodes b on a.conv_id = b.conv_id and b.d >= a.d
+), sums as (
+  select top as node, count(*) filter (n_children is null) as n_leaves, sum((n - 1) * tokens) as saved
+  from below join grouped g on g.node = below.node left join families f on f.node = below.node group by top
+)
+select g.least as conv_id, g.d::bigint as depth, p.least as parent_conv_id, g.n::bigint as n_convs,
+  coalesce(n_children, 0)::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens,
+  sha256(coalesce(g.ended, '')) as ends_sha256
+from grouped g join sums s on s.node = g.node left join families f on f.node = g.node left join grouped p on p.node = g.parent
+"""
+
+
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_token_counts": op2_token_counts,
@@ -297,6 +416,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_odd_minhash": op10_odd_minhash,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_index": op12_line_index,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -306,4 +428,6 @@ ORACLES = {
     "op6_licence_scan": _op6_sql(),
     "op7_url_filter": _op7_sql(),
     "op10_odd_minhash": OP10_SQL,
+    "op12_line_index": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
