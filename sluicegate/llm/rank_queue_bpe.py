@@ -14,6 +14,7 @@ Nothing is shuffled, and a text's ids are never more than its bytes.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from sluicegate.llm.tables import text_batches
 
 # Pre-tokens up to this size are remembered, and so many of them per worker.
-MEMO_BYTES, MEMO_ENTRIES = 48, 600_000
+MEMO_BYTES, MEMO_ENTRIES = 48, 1_200_000
 _NONE = -1
 
 
@@ -49,23 +50,70 @@ class _Memo(dict):
         return packed
 
 
+def _ranges(inside: str) -> str:
+    """The characters up to U+FFFF of a class, as ranges that any engine reads alike."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    codes = np.array([ord(c) for m in regex.finditer(f"[{inside}]+", plane) for c in m.group()])
+    if not len(codes):
+        return ""
+    last = np.flatnonzero(np.append(np.diff(codes) > 1, True))
+    first = np.append(0, last[:-1] + 1)
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(codes[first].tolist(), codes[last].tolist()))
+
+
+def _plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for the faster engine, its classes written out, for texts without characters
+    beyond U+FFFF. None if it has more than letters, numbers and spaces as classes."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        found = re.match(r"\\p\{(\w+)\}|\\([sS])|\\.|.", pattern[at:], re.DOTALL)
+        token = found.group()
+        at += len(token)
+        if found.group(1) or found.group(2) == "s":
+            out.append(_ranges(token) if inside else f"[{_ranges(token)}]")
+        elif token == r"\S":
+            if inside:
+                return None
+            out.append(f"[^{_ranges(r'\s')}]")
+        elif len(token) > 1 and token[1].isalpha() and token[1] not in "nrt" or token in ("(?i", "&&"):
+            return None
+        else:
+            inside = token == "[" or inside and token != "]"
+            out.append(token)
+    return None if "(?i" in pattern else re.compile("".join(out))
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 class Encoder:
     """The merges of one rank file. Not shared between threads."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.longest = max(map(len, ranks), default=1)
+        self.plain = _plain_pattern(pattern)
         self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
         self.byte_ids = [ranks.get(bytes([b]), _NONE) for b in range(256)]
+        if _NONE in self.byte_ids:
+            raise ValueError("the vocabulary lacks a byte")
         self.memo = _Memo(self)
         self.pieces: list[bytes] = [b""] * (max(ranks.values(), default=0) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
+        # What two tokens side by side make: the key is left * base + right.
+        self.base = len(self.pieces)
+        self.pairs = {
+            ranks[piece[:cut]] * self.base + ranks[piece[cut:]]: rank
+            for piece, rank in ranks.items()
+            for cut in range(1, len(piece))
+            if piece[:cut] in ranks and piece[cut:] in ranks
+        }
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed."""
-        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+        pattern = self.pattern if self.plain is None or _BEYOND.search(text) else self.plain
+        return b"".join(map(self.memo.__getitem__, pattern.findall(text)))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token. A piece that is a token as a whole is that token.
@@ -73,28 +121,28 @@ class Encoder:
         The queue is written out here, as this is where the time goes. A bucket is the one
         position that it holds or a heap of them. `words` are bitmaps of 256 ranks each, a
         bit per rank with a bucket; `top` has a bit per word that isn't zero. All of them
-        are empty again at the end.
+        are empty again at the end. `pair` has the rank of the pair that begins at a
+        position; the last place stands for the end of the list.
         """
-        rank_of, words, buckets = self.ranks.get, self.words, {}
-        whole = rank_of(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size, longest = len(piece), self.longest
+        rank_of, base, words, buckets = self.pairs.get, self.base, self.words, {}
+        byte_ids = self.byte_ids
+        ids = [byte_ids[b] for b in piece]
+        size = len(ids)
         after = list(range(1, size + 1))
         before = list(range(-1, size))
-        ids = [self.byte_ids[b] for b in piece]
-        pair = [_NONE] * (size + 1)  # the rank of the pair that begins here
+        pair = [rank_of(left * base + right) for left, right in zip(ids, ids[1:])]
+        pair += (None, None)
         top = 0
-        for start in range(size - 1):
-            rank = rank_of(piece[start : start + 2])
+        for start, rank in enumerate(pair):
             if rank is not None:
-                pair[start] = rank
-                bucket = buckets.get(rank)
-                if bucket is None:
+                if rank not in buckets:
                     buckets[rank] = start
                     words[rank >> 8] |= 1 << (rank & 255)
                     top |= 1 << (rank >> 8)
-                elif type(bucket) is int:
+                elif type(bucket := buckets[rank]) is int:
                     buckets[rank] = [bucket, start]
                 else:
                     bucket.append(start)  # positions rise, so this is a heap
@@ -120,28 +168,34 @@ class Encoder:
             ids[start] = rank
             gone = after[start]
             end = after[start] = after[gone]
-            pair[gone] = _NONE
+            pair[gone] = None
             before[end] = start
+            # The pairs that the grown token makes with its neighbours.
+            if end < size:
+                new = pair[start] = rank_of(rank * base + ids[end])
+                if new is not None:
+                    if new not in buckets:
+                        buckets[new] = start
+                        words[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+                    elif type(bucket := buckets[new]) is int:
+                        buckets[new] = [bucket, start] if bucket < start else [start, bucket]
+                    else:
+                        heappush(bucket, start)
+            else:
+                pair[start] = None
             left = before[start]
-            for begin, stop in ((start, after[end] if end < size else 0), (left, end if left >= 0 else 0)):
-                if not stop:
-                    if begin >= 0:
-                        pair[begin] = _NONE
-                    continue
-                rank = rank_of(piece[begin:stop]) if stop - begin <= longest else None
-                if rank is None:
-                    pair[begin] = _NONE
-                    continue
-                pair[begin] = rank
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    buckets[rank] = begin
-                    words[rank >> 8] |= 1 << (rank & 255)
-                    top |= 1 << (rank >> 8)
-                elif type(bucket) is int:
-                    buckets[rank] = [bucket, begin] if bucket < begin else [begin, bucket]
-                else:
-                    heappush(bucket, begin)
+            if left >= 0:
+                new = pair[left] = rank_of(ids[left] * base + rank)
+                if new is not None:
+                    if new not in buckets:
+                        buckets[new] = left
+                        words[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
+                    elif type(bucket := buckets[new]) is int:
+                        buckets[new] = [bucket, left] if bucket < left else [left, bucket]
+                    else:
+                        heappush(bucket, left)
         found, start = [], 0
         while start < size:
             found.append(ids[start])
@@ -149,8 +203,7 @@ class Encoder:
         return found
 
     def decode(self, packed: bytes) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
 def read_ranks(path: str) -> bytes:
