@@ -211,8 +211,10 @@ def streamed_rows(spark, sf):
 
 
 def _by_parts(spark: SparkSession, sf: str, folder: str, parts: int) -> list[str]:
-    """The uploads of the orders files dealt over folders of their own, as links would do."""
-    rows = view(spark, sf, "filed_orders").select("*", (F.col("upload_id") % parts).alias("part"))
+    """The uploads of the orders files dealt over folders of their own, month by month, as
+    links would do."""
+    month = F.floor(F.col("upload_id") / 1000)
+    rows = view(spark, sf, "filed_orders").select("*", (month % parts).alias("part"))
     ordered = rows.repartition("upload_id").sortWithinPartitions("upload_id", "order_number")
     ordered.select("part", "upload_id", *NAMES).write.partitionBy("part", "upload_id").option("header", True).csv(folder)
     return [f"{folder}/part={i}" for i in range(parts)]
@@ -250,16 +252,10 @@ def _taken(spark: SparkSession, name: str) -> DataFrame:
 
 
 def nested_uploads(spark, sf):
-    """Files of one name in many folders, told apart by their path below the landing folder."""
-    rows = view(spark, sf, "filed_orders").filter("upload_id % 1000 = 0").select("upload_id", *NAMES)
-    folder = new_folder(spark, "landing")
-    rows.repartition("upload_id").write.partitionBy("upload_id").option("header", True).csv(folder)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for r in files.list_files(spark, folder, "*.csv").select("path").collect():
-        path = hadoop.Path(r.path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path, hadoop.Path(path.getParent(), "orders.csv"))
-    verdicts = ingest(spark, folder, INGESTED, dataclasses.replace(_context(spark), upload_id=None)).verdicts
-    return verdicts.select("upload_id", "total_rows")
+    """Files in many folders, all of them named by their partition only, told apart by their
+    path below the landing folder."""
+    verdicts = ingest(spark, order_files(spark, sf), INGESTED, dataclasses.replace(_context(spark), upload_id=None)).verdicts
+    return verdicts.select(F.regexp_replace("upload_id", "/[^/]*$", "").alias("folder"), "total_rows")
 
 
 TEXTS = TemplateConfig(
@@ -406,8 +402,7 @@ where length(raw_value) - length(replace(raw_value, ',', '')) <> 2""",
         nested_uploads,
         with_views(
             "filed_orders",
-            "select 'upload_id=' || upload_id || '/orders.csv' as upload_id, count(*) as total_rows from filed_orders "
-            "where upload_id % 1000 = 0 group by upload_id",
+            "select 'upload_id=' || upload_id as folder, count(*) as total_rows from filed_orders group by upload_id",
         ),
     ),
     "multi_line_texts": (

@@ -127,7 +127,7 @@ class TemplateConfig:
     delimiter: str = ","
     encoding: str = "UTF-8"
     file_format: str = "csv"
-    multi_line: bool = False  # quoted cells may hold line breaks; files are then not split
+    multi_line: bool = False  # quoted cells may hold line breaks
     write_mode: str = "append"
     bad_row_threshold: Any = "5.00"
     bad_row_action: str = "drop"

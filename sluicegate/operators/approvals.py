@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluicegate.model import LEGAL_TRANSITIONS, REMINDER_DAYS, TOKEN_EXPIRY_DAYS
-from sluicegate.plans.skew import HOT_ROWS, lookup_join, measured_lookup
-from sluicegate.sources.workspace import materialise
+from sluicegate.plans.skew import HOT_ROWS, measured_lookup
+from sluicegate.sources.workspace import broadcast_if_small, materialise
 
 # Fixed texts shown to template creators.
 PARTLY_APPROVED = "%d of %d required reviewers have approved. Awaiting %d more."
@@ -113,8 +113,9 @@ def _with_token(
         .when(F.col("_expires") < asked, "expired")
         .otherwise("valid")
     )
+    known = materialise(known.filter(F.col("token").isNotNull()), "tokens")
     return (
-        lookup_join(requests, known, ["token"], request_id, "left", hot_rows)
+        measured_lookup(requests, known, ["token"], request_id, "left", hot_rows)
         .withColumn("token_state", state)
         .drop("_known", "_used", "_expires")
     )
@@ -293,8 +294,10 @@ def latest_round(approvals: DataFrame) -> DataFrame:
         F.max(F.col("action").isNotNull()).alias("acted"),
         F.min("created_at").alias("requested_at"),
     )
-    newest = approvals.groupBy("template_id").agg(F.max("round").alias("round"))
-    return per_reviewer.join(newest, ["template_id", "round"], "left_semi")
+    # The newest round of a template from the combined rows: approvals are read once.
+    newest = F.max("round").over(Window.partitionBy("template_id"))
+    found = per_reviewer.withColumn("_newest", newest).filter(F.col("round") == F.col("_newest"))
+    return found.select("template_id", "round", "reviewer_email", "approved", "acted", "requested_at")
 
 
 def required_approvals(reviewers: DataFrame, approvals: DataFrame, row_counting: bool = False) -> DataFrame:
@@ -443,25 +446,34 @@ def replay_status(events: DataFrame) -> DataFrame:
     )
 
 
-def with_previous_status(events: DataFrame, span: str = "hour") -> DataFrame:
+def with_previous_status(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """Add `from_status`, the status before each event (`Draft` before the first).
 
-    The window runs within (template, span of time). The first event of a span takes the
-    last status of the template's span before it from a table with one row per span, so
-    no template is ever one group of events.
+    Events are sorted by template and time and cut into pieces of about equal size, by
+    default as many as shuffles have partitions, so that neither a template nor a moment with very many events is one
+    task. Inside a piece an event follows the one before it; what a template's earlier
+    pieces come to is their last status, carried in a table with a row for each template
+    in a piece. Starts a job.
     """
-    moment = F.struct("ts", "event_id")
-    spanned = events.withColumn("_span", F.date_trunc(span, "ts"))
-    inside = Window.partitionBy("template_id", "_span").orderBy("ts", "event_id")
-    spans = spanned.groupBy("template_id", "_span").agg(F.max_by("to_status", moment).alias("_last"))
-    before = spans.select(
-        "template_id",
-        "_span",
-        F.lag("_last").over(Window.partitionBy("template_id").orderBy("_span")).alias("_carried"),
+    spark = events.sparkSession
+    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["template_id", "ts", "event_id"]
+    cut = materialise(
+        events.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id()), "status_pieces"
+    )
+    inside = Window.partitionBy("template_id", "_piece").orderBy("ts", "event_id")
+    ends = cut.groupBy("template_id", "_piece").agg(F.max_by("to_status", F.struct("ts", "event_id")).alias("_last"))
+    before = materialise(
+        ends.select(
+            "template_id",
+            "_piece",
+            F.lag("_last").over(Window.partitionBy("template_id").orderBy("_piece")).alias("_carried"),
+        ).filter(F.col("_carried").isNotNull()),
+        "carried_status",
     )
     return (
-        spanned.withColumn("_prior", F.lag("to_status").over(inside))
-        .join(before, ["template_id", "_span"])
+        cut.withColumn("_prior", F.lag("to_status").over(inside))
+        .join(broadcast_if_small(before), ["template_id", "_piece"], "left")
         .withColumn("from_status", F.coalesce("_prior", "_carried", F.lit(INITIAL_STATUS)))
         .select(*events.columns, "from_status")
     )
@@ -472,9 +484,9 @@ def is_legal(from_status: Column, to_status: Column) -> Column:
     return F.concat(from_status, F.lit(">"), to_status).isin(*pairs)
 
 
-def invalid_transitions(events: DataFrame, span: str = "hour") -> DataFrame:
+def invalid_transitions(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """Events whose change of status the lifecycle does not allow."""
-    return with_previous_status(events, span).filter(~is_legal(F.col("from_status"), F.col("to_status")))
+    return with_previous_status(events, pieces).filter(~is_legal(F.col("from_status"), F.col("to_status")))
 
 
 # ---------------------------------------------------------------------------

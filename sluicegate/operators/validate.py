@@ -19,6 +19,7 @@ from sluicegate.functions.cells import castable, is_blank, typed
 from sluicegate.model import ColumnConfig, TemplateConfig
 from sluicegate.plans.skew import HOT_ROWS, repeated_keys
 from sluicegate.sources.files import RAGGED
+from sluicegate.sources.records import GARBLED
 from sluicegate.sources.workspace import BROADCAST_BYTES
 
 ERROR_COLUMNS = ("upload_id", "row_number", "column_name", "error_type", "error_message", "raw_value")
@@ -48,8 +49,11 @@ def _error(error_type: str, column_name: str, message: Column, raw: Column) -> C
     )
 
 
-def _undecodable(value: Column) -> Column:
-    return F.coalesce(F.contains(value, F.lit(REPLACEMENT)), F.lit(False))
+def _undecodable(df: DataFrame, value: Column) -> Column:
+    """True for cells in which the reader had to replace bytes. Rows that were read from files
+    say whether their bytes were wrong; a replacement character among right ones is text."""
+    replaced = F.coalesce(F.contains(value, F.lit(REPLACEMENT)), F.lit(False))
+    return replaced & F.col(GARBLED) if GARBLED in df.columns else replaced
 
 
 def _whole(df: DataFrame) -> Column:
@@ -76,7 +80,7 @@ def cell_rules(df: DataFrame, cfg: TemplateConfig) -> list[CellRule]:
         )
     for c in cfg.included:
         v = _quoted(c.column_name)
-        garbled = whole & _undecodable(v)
+        garbled = whole & _undecodable(df, v)
         rules.append(
             CellRule(
                 "ENCODING_ERROR",
@@ -96,7 +100,7 @@ def cell_rules(df: DataFrame, cfg: TemplateConfig) -> list[CellRule]:
             rules.append(
                 CellRule(
                     "TYPE_MISMATCH",
-                    whole & ~_undecodable(v) & ~is_blank(v) & ~castable(v, c.type),
+                    whole & ~_undecodable(df, v) & ~is_blank(v) & ~castable(v, c.type),
                     _error("TYPE_MISMATCH", c.column_name, F.lit(f"Value is not a valid {c.data_type}"), v),
                 )
             )
@@ -119,7 +123,7 @@ def is_bad_row(df: DataFrame, cfg: TemplateConfig) -> Column:
             unusable = ~castable(v, c.type)
             if c.is_nullable:
                 unusable = unusable & ~is_blank(v)
-        tests.append(unusable | _undecodable(v))
+        tests.append(unusable | _undecodable(df, v))
     return _any(tests)
 
 
@@ -163,14 +167,15 @@ def unique_cells(df: DataFrame, cfg: TemplateConfig) -> DataFrame:
         return F.struct(F.lit(c.column_name).alias("column_name"), F.trim(v).alias("value"), v.alias("raw_value"))
 
     usable = df.filter(_whole(df))
+    kept = ["upload_id", "row_number", *([GARBLED] if GARBLED in df.columns else [])]
     if len(cfg.unique) == 1:
         (only,) = cfg.unique
-        long = usable.select("upload_id", "row_number", cell(only).alias("c"))
+        long = usable.select(*kept, cell(only).alias("c"))
     else:
-        long = usable.select("upload_id", "row_number", F.explode(F.array(*[cell(c) for c in cfg.unique])).alias("c"))
-    return long.select("upload_id", "row_number", "c.column_name", "c.value", "c.raw_value").filter(
-        ~is_blank("value") & ~_undecodable(F.col("value"))
-    )
+        long = usable.select(*kept, F.explode(F.array(*[cell(c) for c in cfg.unique])).alias("c"))
+    long = long.select(*kept, "c.column_name", "c.value", "c.raw_value")
+    long = long.filter(~is_blank("value") & ~_undecodable(long, F.col("value")))
+    return long.select("upload_id", "row_number", "column_name", "value", "raw_value")
 
 
 def check_unique(

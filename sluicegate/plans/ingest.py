@@ -23,7 +23,9 @@ from sluicegate.operators.publish import (
 )
 from sluicegate.operators.validate import ROW_COLUMN, clean_rows, unique_errors, validate, verdict
 from sluicegate.sources.files import (
+    FILE,
     FILE_NAME,
+    NumberedScan,
     data_rows,
     empty_files,
     header_rows,
@@ -31,9 +33,11 @@ from sluicegate.sources.files import (
     number_records,
     open_quotes,
     path_below,
+    plain_path,
     record_counts,
     scan_csv,
 )
+from sluicegate.sources.records import OPEN_LINE, RecordScan, can_scan, scan_records
 from sluicegate.sources.sinks import write_errors, write_target, write_validated
 from sluicegate.sources.workspace import broadcast_if_small, materialise, new_folder, remove_folder, sized
 
@@ -93,7 +97,8 @@ def _config_frames(spark: SparkSession, cfg: TemplateConfig) -> tuple[DataFrame,
 def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig, ctx: IngestContext) -> IngestResult:
     """Validate every file below `paths` and write the clean rows of those that pass.
 
-    The text is parsed once; everything after reads the staged columns. Each frame used
+    The text is read and parsed once (twice in encodings other than UTF-8 and ISO-8859-1);
+    everything after reads the staged columns. Each frame used
     more than once (staged records, errors, verdicts) is a table in the shared folder, so
     a lost executor repeats tasks, not the scan.
     """
@@ -123,19 +128,23 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     uploads = accepted.select("upload_id", F.lit(template_id).alias("template_id"))
 
     only = {"pathGlobFilter": "*.[cC][sS][vV]"}
-    scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, **only)
+    scanned = scan_records(spark, paths, cfg, staging, ctx.max_bytes, **only) if can_scan(cfg) else None
+    scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, **only) if scanned is None else scanned.rows
     numbered = number_records(scan, folder=staging, upload_id=ctx.upload_id)
+    broken = _unread_quotes(spark, paths, cfg, scanned, numbered, staging, only)
+    if broken is not None:
+        broken = materialise(_quote_errors(broken, cfg, ctx), "open_quotes", staging)
 
     found = header_rows(numbered.rows, cfg).select("upload_id", "header")
-    headers = uploads.join(found, "upload_id", "left").withColumn(
+    judged = uploads.join(broken.select("upload_id"), "upload_id", "left_anti") if cfg.multi_line and broken is not None else uploads
+    headers = judged.join(found, "upload_id", "left").withColumn(
         "header", F.coalesce("header", F.array().cast("array<string>"))
     )
     checked = materialise(check_headers(headers, columns), "headers", staging)
     bad_headers = checked.filter(~F.col("header_ok")).select("upload_id")
     file_errors = header_errors(checked)
-    if not cfg.multi_line:
-        broken = _quote_errors(open_quotes(numbered.staged, cfg, paths, staging, encoding=cfg.encoding, **only), ctx)
-        broken = materialise(broken.join(bad_headers, "upload_id", "left_anti"), "open_quotes", staging)
+    if broken is not None:
+        broken = broken.join(bad_headers, "upload_id", "left_anti")
         bad_headers = bad_headers.unionByName(broken.select("upload_id"))
         file_errors = file_errors.unionByName(broken)
     bad_headers = materialise(bad_headers, "bad_headers", staging)
@@ -214,8 +223,29 @@ def _now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%fZ")
 
 
-def _quote_errors(lines: DataFrame, ctx: IngestContext) -> DataFrame:
+def _unread_quotes(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    cfg: TemplateConfig,
+    scanned: RecordScan | None,
+    numbered: NumberedScan,
+    staging: str,
+    only: dict[str, str],
+) -> DataFrame | None:
+    """Files with a quoted cell that is not closed (path, line). They come from the scan itself,
+    but for encodings that only the CSV source reads; those with line breaks in their cells
+    are not looked at."""
+    if scanned is None:
+        return None if cfg.multi_line else open_quotes(numbered.staged, cfg, paths, staging, encoding=cfg.encoding, **only)
+    if cfg.multi_line:
+        return scanned.unclosed.select("path", F.lit(None).cast("string").alias("line"))
+    opened = numbered.staged.filter(F.col(OPEN_LINE).isNotNull())
+    return opened.select(plain_path(F.col(FILE)).alias("path"), F.col(OPEN_LINE).alias("line"))
+
+
+def _quote_errors(lines: DataFrame, cfg: TemplateConfig, ctx: IngestContext) -> DataFrame:
     """One error for each upload with an open quote, in the row of the file as a whole."""
+    where = "in its file" if cfg.multi_line else "in its line, and the template is not multi-line"
     return (
         lines.select(F.expr(ctx.upload_id).alias("upload_id"), "line")
         .groupBy("upload_id")
@@ -225,7 +255,7 @@ def _quote_errors(lines: DataFrame, ctx: IngestContext) -> DataFrame:
             F.lit(0).cast("bigint").alias("row_number"),
             F.lit(ROW_COLUMN).alias("column_name"),
             F.lit("SCHEMA_MISMATCH").alias("error_type"),
-            F.lit("A quoted cell is not closed in its line, and the template is not multi-line").alias("error_message"),
+            F.lit(f"A quoted cell is not closed {where}").alias("error_message"),
             "raw_value",
         )
     )

@@ -70,7 +70,7 @@ def scan_csv(
     )
 
 
-def _plain(uri: Column) -> Column:
+def plain_path(uri: Column) -> Column:
     """The path a file listing shows; scans report it with percent escapes."""
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
@@ -111,7 +111,7 @@ def number_records(
             "records",
             (F.coalesce(F.sum("records").over(before), F.lit(0)) - F.col("_first") + F.lit(start)).alias("_shift"),
         )
-        .withColumn("path", _plain(F.col(FILE)))
+        .withColumn("path", plain_path(F.col(FILE)))
         .withColumns({FILE_NAME: F.element_at(F.split("path", "/"), -1), "upload_id": F.expr(upload_id)})
         .drop("path"),
         "splits",
@@ -194,14 +194,15 @@ def open_quotes(
     """Lines that open a quoted cell and don't close it: (path, line). A template that is
     not `multi_line` can't hold what follows, and reading on would make up records.
 
-    `scan` is a staged scan of the same files. Such a line leaves a cell that begins with a
-    quote, or a record of another width; only files that have one are looked at again.
+    For encodings that `records.scan_records` does not read. `scan` is a staged scan of the
+    same files. Such a line leaves a cell that begins with a quote, or a record of another
+    width; only files that have one are looked at again.
     """
     spark = scan.sparkSession
     odd = [F.col(f"`{c.column_name}`").startswith('"') for c in cfg.columns]
     odd.append(F.contains(F.col(RAGGED), F.lit('"')))
     suspects = scan.filter(reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in odd]))
-    suspects = materialise(suspects.select(_plain(F.col(FILE)).alias("path")).distinct(), "suspects", folder)
+    suspects = materialise(suspects.select(plain_path(F.col(FILE)).alias("path")).distinct(), "suspects", folder)
     sep = re.escape(cfg.delimiter)
     cell = f'(?:\\s*+"(?:[^"]++|"")*+"[^{sep}]*+|\\s*+[^"{sep}][^{sep}]*+|\\s*+)'
     unclosed = f'^(?:{cell}{sep})*+\\s*+"(?:[^"]++|"")*+$'
@@ -209,7 +210,7 @@ def open_quotes(
         spark.read.option("recursiveFileLookup", True)
         .options(**options)
         .text(list(paths) if not isinstance(paths, str) else paths)
-        .select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("line"))
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("line"))
     )
     return lines.join(broadcast_if_small(suspects), "path", "left_semi").filter(F.col("line").rlike(unclosed))
 
@@ -252,14 +253,3 @@ def existing_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataF
     return wanted.join(there, "path", "left").select(
         *wanted.columns, F.coalesce("_there", F.lit(False)).alias("file_exists")
     )
-
-
-def undecodable_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
-    """Whole-file pre-gate: files that are not valid UTF-8 (path, length). The content
-    of one file is held by one task, so run it behind the size gate."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    return (
-        files.load(folder if isinstance(folder, str) else list(folder))
-        .filter(~F.is_valid_utf8(F.col("content").cast("string")))
-        .select("path", "length")
-    )

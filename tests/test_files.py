@@ -12,7 +12,7 @@ from sluicegate.operators.gates import check_headers, header_errors
 from sluicegate.operators.provision import provision
 from sluicegate.operators.validate import cell_errors, ragged_errors
 from sluicegate.plans.ingest import IngestContext, ingest
-from sluicegate.sources import files, sinks, workspace
+from sluicegate.sources import files, records, sinks, workspace
 from sluicegate.streaming.ingest import BATCH, ingest_stream
 from sluicegate.streaming.quality import quality_stream
 
@@ -90,7 +90,7 @@ def test_encodings(spark, tmp_path):
     assert cell_errors(files.data_rows(scanned(spark, tmp_path, right)), right).count() == 0
     wrong = cell_errors(files.data_rows(scanned(spark, tmp_path, ABC)), ABC).collect()
     assert [(r.row_number, r.column_name, r.error_type) for r in wrong] == [(1, "a", "ENCODING_ERROR")]
-    assert [os.path.basename(r.path) for r in files.undecodable_files(spark, str(tmp_path)).collect()] == ["latin1.csv"]
+    assert [os.path.basename(r.path) for r in records.undecodable_files(spark, str(tmp_path)).collect()] == ["latin1.csv"]
 
 
 def test_wide_encoding(spark, tmp_path):
