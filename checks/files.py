@@ -16,8 +16,10 @@ from sluicegate.operators.gates import check_headers
 from sluicegate.operators.provision import provision
 from sluicegate.operators.publish import with_audit_columns
 from sluicegate.operators.validate import ragged_errors
+from sluicegate.operators.history import current_uploads
 from sluicegate.plans.ingest import IngestContext, ingest
 from sluicegate.sources import files, sinks
+from sluicegate.sources.records import undecodable_files
 from sluicegate.sources.workspace import materialise, new_folder
 from sluicegate.streaming.ingest import BATCH, ingest_stream
 
@@ -210,6 +212,38 @@ def streamed_rows(spark, sf):
     return spark.read.parquet(ctx.target_path).select(*NAMES, "uploaded_by")
 
 
+def _with_an_empty_file(spark: SparkSession, sf: str, folder: str) -> None:
+    """The orders files and, as upload 0, a file without a byte."""
+    rows = view(spark, sf, "filed_orders").repartition("upload_id").sortWithinPartitions("upload_id", "order_number")
+    rows.select("upload_id", *NAMES).write.partitionBy("upload_id").option("header", True).csv(folder)
+    rows.select(*NAMES).filter("false").coalesce(1).write.csv(f"{folder}/upload_id=0")
+
+
+def streamed_outcomes(spark, sf):
+    """The last status of every file of a stream, one of which is empty."""
+    ctx = _context(spark)
+    folder = _once(spark, sf, "order_files_and_empty", lambda f: _with_an_empty_file(spark, sf, f))
+    ingest_stream(spark, folder, INGESTED, ctx, new_folder(spark, "checkpoint")).awaitTermination()
+    return current_uploads(spark.read.parquet(ctx.history_path)).select("upload_id", "status")
+
+
+def bad_bytes(spark, sf):
+    """Documents as lines of bounded files, some with a byte that UTF-8 does not have: where the
+    first one of each file lies."""
+
+    def write(folder: str) -> None:
+        line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+        docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 500).alias("part"), "doc_id", line.alias("line"))
+        broken = F.expr("concat(substring(line, 1, 7), cast(x'FF' as string), substring(line, 8))")
+        lines = docs.withColumn("line", F.when(F.col("doc_id") % 97 == 5, broken).otherwise(F.col("line")))
+        ordered = lines.repartition("part").sortWithinPartitions("part", "doc_id")
+        ordered.select("part", "line").write.partitionBy("part").text(folder)
+
+    found = undecodable_files(spark, _once(spark, sf, "document_lines", write))
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part")
+    return found.select(part, "length", "first_bad_byte")
+
+
 def _by_parts(spark: SparkSession, sf: str, folder: str, parts: int) -> list[str]:
     """The uploads of the orders files dealt over folders of their own, month by month, as
     links would do."""
@@ -411,5 +445,18 @@ where length(raw_value) - length(replace(raw_value, ',', '')) <> 2""",
     ),
     "ingested_history": (ingested_history, _over_files(_EVENTS_SQL)),
     "ingested_log": (ingested_log, _over_files(_LOG_SQL)),
+    "streamed_outcomes": (
+        streamed_outcomes,
+        _over_files("select upload_id, outcome as status from verdicts union all select 0, 'failed'"),
+    ),
+    "bad_bytes": (
+        bad_bytes,
+        r"""with lines as (select doc_id // 500 as part, doc_id, doc_id % 97 = 5 as bad,
+    replace(coalesce(text, ''), chr(10), ' ') as line from documents),
+placed as (select *, strlen(line) + 1 + bad::int as bytes, min(doc_id) filter (bad) over (partition by part) as first from lines)
+select part, sum(bytes)::bigint as length,
+  (sum(bytes) filter (doc_id < first) + any_value(strlen(substr(line, 1, 7))) filter (doc_id = first))::bigint as first_bad_byte
+from placed where first is not null group by part""",
+    ),
     "streamed_rows": (streamed_rows, _over_files(f"select {_TARGET}, 's1@x.test' as uploaded_by from clean")),
 }

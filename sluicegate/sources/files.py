@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,23 +229,19 @@ def list_files(spark: SparkSession, folder: str | Sequence[str], pattern: str |
 
 
 def empty_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
-    """Files of length 0 below a folder, in the form of `list_files`. They are listed by
-    the file system client on the driver, which holds only the names it returns."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for root in [folder] if isinstance(folder, str) else folder:
-        pattern = hadoop.Path(root)
-        system = pattern.getFileSystem(conf)
-        for matched in system.globStatus(pattern) or []:
-            statuses = system.listFiles(matched.getPath(), True)
-            while statuses.hasNext():
-                status = statuses.next()
-                name = status.getPath().getName()
-                if status.getLen() == 0 and not name.startswith(("_", ".")):
-                    found.append((status.getPath().toString(), name, 0, status.getModificationTime() / 1000.0))
-    rows = spark.createDataFrame(found, "path string, name string, length long, changed double")
-    return rows.select("path", "name", "length", F.timestamp_seconds("changed").alias("modificationTime"))
+    """Files of length 0 below a folder, in the form of `list_files`, without a time. They are
+    the files of Spark's own listing, which many tasks make where there are many folders,
+    that no scan shows; the driver holds names only, as it does for every scan."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(folder if isinstance(folder, str) else list(folder))
+    names = spark.createDataFrame(pd.DataFrame({FILE: files.inputFiles()}, dtype=object), f"{FILE} string")
+    listed = names.select(F.regexp_replace(plain_path(F.col(FILE)), "^file:/+", "file:/").alias("path"))
+    return listed.join(files.select("path"), "path", "left_anti").select(
+        "path",
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.lit(0).cast("bigint").alias("length"),
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+    )
 
 
 def existing_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:

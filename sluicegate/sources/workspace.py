@@ -43,6 +43,13 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Whether some file or folder fits a pattern of paths."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return bool(found)
+
+
 def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write a frame once and read it back: lineage is cut, a lost executor loses
     nothing, and Catalyst plans the rest with the table's real size. `folder` (one of

@@ -5,11 +5,13 @@ from __future__ import annotations
 import dataclasses
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sluicegate.model import TemplateConfig
 from sluicegate.plans.ingest import IngestContext, ingest
-from sluicegate.sources.files import literal_path, path_below
+from sluicegate.sources.files import empty_files, literal_path, path_below
+from sluicegate.sources.workspace import any_path
 
 BATCH = "ingest_batch"
 
@@ -30,6 +32,10 @@ def ingest_stream(
     of the error table and one of the history, and replaces them when it is repeated. Its
     name is that of the query, which the checkpoint keeps, and the batch number, so that
     streams may share their tables. An upload is known by its path below `folder`.
+
+    Spark's file stream counts empty files as new ones but shows no rows for them. So every
+    batch also takes the empty files of the folder for which no other batch of the query left a
+    receipt (the first event of an upload) in the history; they fail like any other.
     """
     if ctx.upload_id is None:
         ctx = dataclasses.replace(ctx, upload_id=path_below(spark, folder))
@@ -43,11 +49,12 @@ def ingest_stream(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        paths = [literal_path(row.path) for row in batch.select("path").distinct().collect()]
-        if not paths:
-            return
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         run_id = f"{query}-{batch_id}"
+        new = batch.select("path").distinct().unionByName(_unreceived(batch.sparkSession, folder, ctx, query, batch_id))
+        paths = [literal_path(row.path) for row in new.collect()]
+        if not paths:
+            return
         slice_of_batch = (BATCH, run_id) if cfg.write_mode == "append" else None
         ingest(
             batch.sparkSession,
@@ -62,3 +69,14 @@ def ingest_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _unreceived(spark: SparkSession, folder: str, ctx: IngestContext, query: str, batch_id: int) -> DataFrame:
+    """Empty files (path) below the folder that no other batch of this query has taken."""
+    empty = empty_files(spark, folder).select("path", F.expr(ctx.upload_id).alias("upload_id"))
+    receipts = f"{ctx.history_path.rstrip('/')}/run_id={query}-*/stage=start"
+    if batch_id == 0 or not any_path(spark, receipts):
+        return empty.select("path")
+    events = spark.read.option("basePath", ctx.history_path).parquet(receipts)
+    taken = events.filter(F.col("run_id") != f"{query}-{batch_id}").select("upload_id")
+    return empty.join(taken, "upload_id", "left_anti").select("path")

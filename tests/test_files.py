@@ -374,6 +374,24 @@ def test_stream_takes_each_file_once_and_equals_the_batch(spark, tmp_path, rows_
     assert rows_of(run(), *columns) == rows_of(spark.read.parquet(batch.target_path), *columns)
 
 
+def test_empty_files_fail_once_on_a_stream(spark, tmp_path):
+    landing, ctx = tmp_path / "landing", context(tmp_path)
+
+    def run():
+        ingest_stream(spark, str(landing), SALES, ctx, str(tmp_path / "checkpoint"), files_per_batch=1).awaitTermination()
+        events = spark.read.parquet(ctx.history_path).filter("event_id > 0")
+        return sorted((r.upload_id, r.status) for r in events.collect() if r.status in ("failed", "completed", "partial"))
+
+    put(landing, "empty.csv", "")
+    assert run() == [("empty.csv", "failed")]
+    put(landing / "s", "é 1.csv", "")
+    put(landing, "full.csv", "code,amount,internal\na,1,i\n")
+    put(landing, "later.csv", "code,amount,internal\nb,1,i\n")
+    expected = [("empty.csv", "failed"), ("full.csv", "completed"), ("later.csv", "completed"), ("s/é 1.csv", "failed")]
+    assert run() == expected
+    assert run() == expected
+
+
 @pytest.mark.parametrize("name", ["a b.csv", "50%20.csv", "é+ü.csv", "r[1]{2}.csv"])
 def test_unusual_file_names(spark, tmp_path, name):
     put(tmp_path / "landing", name, "code,amount,internal\na,1,i\n")
