@@ -178,8 +178,8 @@ def format_chats(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> Dat
     """key, formatted, loss_spans: a row per conversation of a frame with a known schema.
 
     `loss_spans` are (start, length) pairs in code points from 0: the escaped texts of the
-    assistant. Turns are marked row by row before rows of one conversation meet; what meets
-    is then no more than the conversation that is returned.
+    assistant. Rows of a conversation are put in order of turn, role and text (NULL turns
+    first) and marked then; what meets is no more than the conversation that is returned.
     """
     layout = layout_of(records.schema, layouts)
     key = F.expr(layout.key).alias("key")
@@ -189,11 +189,12 @@ def format_chats(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> Dat
         key,
         F.expr(layout.order).alias("turn"),
         F.coalesce(F.expr(layout.role), F.lit("")).alias("role"),
-        _turn(F.expr(layout.role), F.expr(layout.text)).alias("marked"),
-    )
-    return _format(
-        rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "marked"))).alias("turns"))
+        F.coalesce(F.expr(layout.text), F.lit("")).alias("text"),
     )
+    # Sorted as they are said; marks come afterwards, as an end mark would sort among the texts.
+    sorted_rows = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    marked = F.transform("said", lambda t: F.struct(t["role"].alias("role"), _turn(t["role"], t["text"]).alias("marked")))
+    return _format(sorted_rows.select("key", marked.alias("turns")))
 
 
 def json_fingerprint(record: Column) -> Column:

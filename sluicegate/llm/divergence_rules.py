@@ -42,7 +42,9 @@ MAX_REPEATED_PERCENT = 50
 
 COMMON_WORDS = 24
 COMMON_CHARS = 5
-MIN_WORDS = 50
+# Documents below this are too short for their distances to tell anything (those below
+# MIN_BASE_WORDS fail anyway).
+MIN_WORDS = 80
 MIN_REFERENCE_WORDS = 2_000
 # Limits on the squared distance (in bits) for a long text, and what a short one gets on top.
 CLASS_LIMIT, CLASS_SLACK = 0.05, 3.0

@@ -6,8 +6,8 @@ table is then put into the leaf that it reaches going down by nearest centroids.
 
 A query visits leaves best bin first: a priority queue holds the nodes met so far by the
 distance of their centroids, the nearest is opened, a leaf is visited. How many leaves are
-visited is calibrated: for a bounded set of vectors the exact neighbours are found by
-comparing them with all rows, and the visits are widened until the leaves visited hold the
+visited is calibrated: for a bounded set of vectors, outside the sample that the tree was
+fitted on, the exact neighbours are found by comparing them with all rows, and the visits are widened until the leaves visited hold the
 wanted share of these neighbours. A query goes on beyond that until its leaves hold more
 than k vectors. Distances inside the visited leaves are exact.
 
@@ -22,7 +22,10 @@ Defined results: vectors that are NULL, of another length than most, zero, or wi
 non-finite components take no part, as query or candidate; nor do rows without an id. Rows
 that repeat an id count once per query, with the nearest of their vectors; a query that is
 repeated takes the smallest of its vectors. Ties go to the smaller id. Fewer candidates than
-k give as many rows, and an empty frame none. Only the named columns are read.
+k give as many rows, and an empty frame none. Only the named columns are read. `left_out`
+counts the rows that take no part, by reason. Work: queries and rows per leaf both grow with
+the table while the leaves follow the sample, so pass a larger `sample_rows` for larger
+tables.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ SAMPLE_ROWS = 20_000
 BRANCHING = 8
 LEAF_ROWS = 16
 CALIBRATION_QUERIES = 200
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.97
 BLOCK_ROWS = 4096
 _STEPS = 12
 
@@ -190,6 +193,19 @@ def calibrated_visits(tree: Tree, queries: list, leaves: dict[int, list[int]], t
     return next(v for v in range(max(1, high // 2), high + 1) if reached(v))
 
 
+def left_out(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """reason, n: how many rows `nearest_neighbours` passes over: no_id, no_vector (NULL, empty,
+    zero, or a component that is no finite number) or other_length (than most vectors have)."""
+    usable = _usable(F.col(f"`{vector}`"))
+    known = F.col(f"`{key}`").isNotNull()
+    counted = rows.select(
+        F.when(~known, "no_id").when(~F.coalesce(usable, F.lit(False)), "no_vector").alias("reason"), F.size(f"`{vector}`").alias("length")
+    ).groupBy("reason", F.when(F.col("reason").isNull(), F.col("length")).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    most = counted.filter("reason is null").agg(F.max_by("length", F.struct("n", -F.col("length")))).first()[0]
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("length") != F.lit(most), "other_length")
+    return counted.select(reason.alias("reason"), "n").filter("reason is not null").groupBy("reason").agg(F.sum("n").alias("n"))
+
+
 def nearest_neighbours(
     rows: DataFrame,
     queries: str,
@@ -215,8 +231,13 @@ def nearest_neighbours(
     if lengths is None:
         return spark.createDataFrame([], f"query_id bigint, rank int, {key} bigint, score double")
     named = named.filter(F.size("vector") == lengths["n"])
-    by_hash = named.select("id", "vector").orderBy(F.xxhash64("id"), "id", "vector")
-    sample = by_hash.limit(sample_rows).collect()  # bounded by the parameter
+    # By hash, each task gives only its share; equal rows fall together, so a limit holds the bound.
+    total = lengths["count"]
+    held_out = min(0.5, CALIBRATION_QUERIES / total)
+    by_hash = named.select("id", "vector", (F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
+    fitting = F.col("at").between(held_out, held_out + sample_rows / total)
+    sample = by_hash.filter(fitting).limit(sample_rows).collect() or by_hash.limit(sample_rows).collect()
+    some = by_hash.filter(F.col("at") < held_out).limit(2 * CALIBRATION_QUERIES).collect() or sample[:CALIBRATION_QUERIES]
     tree = fit_tree(_vectors(sample), branching, leaf_rows)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -230,7 +251,6 @@ def nearest_neighbours(
     )
     counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row per leaf
     rows_of = [counts.get(leaf, 0) for leaf in range(tree.leaves)]
-    some = sample[:CALIBRATION_QUERIES]
     visits = calibrated_visits(tree, some, _exact_leaves(placed, some, k), target_recall)
 
     bin_of = _bins(rows_of, block_rows)

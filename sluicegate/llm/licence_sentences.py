@@ -8,7 +8,7 @@ at every line end and at blank lines only, as licences are found wrapped and unw
 rule holds if it matches in either.
 
 Defined results: a NULL or empty text has no sentences and no licences; a licence that is
-found often is named once; repeated rows give repeated rows and an empty frame none. Only
+found often is named once, and very long texts are taken whole; repeated rows give repeated rows and an empty frame none. Only
 the named columns are read. It is one projection: nothing is shuffled.
 """
 
@@ -45,6 +45,29 @@ SENTENCES = {
     "isc warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "bsd grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "gpl redistribute 2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl terms 2": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",
+    "gpl version 2": "either version 2 of the License, or (at your option) any later version.",
+    "lgpl library": "This library is free software;",
+    "lgpl terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl version 2.1": "either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl version 3": "either version 3 of the License, or (at your option) any later version.",
+    "lgpl hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "agpl terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl subject cut": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl number": "2.0.",
+    "mpl copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "bsd source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "unlicense domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0 extent": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0 warranty": "This software is distributed without any warranty.",
+    "zlib as is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "boost grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
 }
 
 
@@ -61,17 +84,30 @@ RULES = (
     LicenceRule("Apache-2.0", ("apache notice",)),
     LicenceRule("Apache-2.0", ("apache header", "apache compliance")),
     LicenceRule("Apache-2.0", ("apache compliance", "apache basis"), 4),
+    LicenceRule("AGPL-3.0", ("gpl free software", "agpl terms", "gpl hope")),
     LicenceRule("BSD", ("bsd grant", "bsd warranty"), 8),
+    LicenceRule("BSD-2-Clause", ("bsd source", "bsd binary", "bsd warranty"), 0),
+    LicenceRule("BSD-3-Clause", ("bsd source", "bsd binary", "bsd endorse", "bsd warranty"), 1),
+    LicenceRule("BSL-1.0", ("boost grant",)),
+    LicenceRule("CC0-1.0", ("cc0 extent", "cc0 warranty")),
     LicenceRule("CC-BY-4.0", ("cc by 4 notice",)),
     LicenceRule("CC-BY-NC-4.0", ("cc by nc 4 notice",)),
     LicenceRule("CC-BY-SA-4.0", ("cc by sa 4 notice",)),
+    LicenceRule("GPL-2.0", ("gpl redistribute 2", "gpl hope")),
+    LicenceRule("GPL-2.0", ("gpl free software", "gpl terms 2", "gpl version 2", "gpl hope")),
     LicenceRule("GPL-3.0", ("gpl3 notice",)),
     LicenceRule("GPL-3.0", ("gpl redistribute 3", "gpl hope")),
     LicenceRule("GPL-3.0", ("gpl free software", "gpl terms 3", "gpl hope")),
     LicenceRule("ISC", ("isc grant", "isc warranty")),
+    LicenceRule("LGPL-2.1", ("lgpl library", "lgpl terms", "lgpl version 2.1", "lgpl hope")),
+    LicenceRule("LGPL-3.0", ("lgpl library", "lgpl terms", "lgpl version 3", "lgpl hope")),
     LicenceRule("MIT", ("mit notice",)),
     LicenceRule("MIT", ("mit licensed",)),
     LicenceRule("MIT", ("mit grant", "mit condition", "mit warranty")),
+    LicenceRule("MPL-2.0", ("mpl subject", "mpl copy")),
+    LicenceRule("MPL-2.0", ("mpl subject cut", "mpl number", "mpl copy")),
+    LicenceRule("Unlicense", ("unlicense domain", "unlicense anyone")),
+    LicenceRule("Zlib", ("zlib as is", "zlib liable")),
 )
 
 # What ends a sentence, and what is left of one: the same in every engine.
@@ -87,7 +123,10 @@ def normalised(sentence: str) -> str:
 
 def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, int]:
     """Normalised sentence -> number, from 1 in the order of definition."""
-    return {normalised(text): i for i, text in enumerate(sentences.values(), 1)}
+    numbers = {normalised(text): i for i, text in enumerate(sentences.values(), 1)}
+    if len(numbers) < len(sentences):
+        raise ValueError("two sentences are the same once normalised")
+    return numbers
 
 
 def rule_pattern(rule: LicenceRule, sentences: dict[str, str] = SENTENCES) -> str:

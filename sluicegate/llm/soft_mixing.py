@@ -11,8 +11,9 @@ a step is one aggregate over (tokens, posterior), no rates are stored between st
 lost executor costs nothing but its tasks.
 
 The classifier is a multinomial logistic regression on hashed words and runs of signs. It is
-fitted on at most `max_labelled` labelled documents, those with the smallest hashed ids; all
-counts and totals are over all documents.
+fitted on at most `max_labelled` labelled documents, chosen by the hash of their ids; all
+counts and totals are over all documents. A fit that has not met its targets after
+`MAX_STEPS` steps says so (`converged`).
 
 Defined results: a NULL text is empty, has no tokens and the posterior of an empty text. A
 label row without an id, a domain or a document is left out, and one of several labels of a
@@ -40,7 +41,7 @@ from sluicegate.sources.workspace import broadcast_if_small
 
 FEATURES = 1 << 14
 MAX_LABELLED = 20_000
-MAX_STEPS = 40
+MAX_STEPS = 200
 TOLERANCE = 1e-4
 _TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
@@ -49,8 +50,9 @@ _TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 class Mixture:
     """A fitted mixture: domains in the order of the posterior, the classifier (None with
     fewer than two domains), the starting rate and the steps' multiples of the posterior.
-    `reached` and `targets` are expected tokens per domain. `fitted` has the posteriors of
-    the documents it was fitted to (row, n_tokens, posterior) if they were to be kept."""
+    `reached` and `targets` are expected tokens per domain; `asked` are the targets before any
+    was lowered, and `converged` says whether all were reached. `fitted` has the posteriors
+    of the documents it was fitted to (row, n_tokens, posterior) if they were to be kept."""
 
     domains: tuple[str, ...]
     model: LogisticRegressionModel | None
@@ -58,6 +60,8 @@ class Mixture:
     steps: tuple[tuple[float, ...], ...]
     reached: tuple[float, ...]
     targets: tuple[float, ...]
+    asked: tuple[float, ...] = ()
+    converged: bool = True
     fitted: DataFrame | None = None
 
 
@@ -81,7 +85,10 @@ def fit_classifier(
     )
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     known = chosen.join(texts.select("id").distinct(), "id", "left_semi")
-    known = staging.keep(known.orderBy(F.xxhash64("id"), "id").limit(max_labelled), "labelled")
+    known = staging.keep(known, "known")
+    # Each task drops its own share of what is beyond the bound.
+    share = min(1.0, max_labelled / max(known.count(), 1))  # met on average
+    known = staging.keep(known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))), "labelled")
     domains = tuple(sorted(r["domain"] for r in known.select("domain").distinct().collect()))
     if len(domains) < 2:
         return domains, None
@@ -148,11 +155,11 @@ def fit_mixture(
         with_posteriors(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), domains, model), "posteriors"
     )
 
-    def result(start: float, steps: list, reached: np.ndarray, targets: np.ndarray) -> Mixture:
+    def result(start: float, steps: list, reached: np.ndarray, targets: np.ndarray, asked: np.ndarray, converged: bool) -> Mixture:
         if not keep_fitted:
             staging.close()
         fitted = compact if keep_fitted else None
-        return Mixture(domains, model, start, tuple(steps), tuple(reached), tuple(targets), fitted)
+        return Mixture(domains, model, start, tuple(steps), tuple(reached), tuple(targets), tuple(asked), converged, fitted)
 
     many = range(len(domains))
     tokens, own = F.col("n_tokens"), F.col("posterior")
@@ -161,10 +168,11 @@ def fit_mixture(
     base, gram = np.array(seen[: len(domains)]), np.array(seen[len(domains) :]).reshape(len(domains), len(domains))
     wanted = np.array([weights.get(d, 0.0) for d in domains])
     if not domains or base.sum() == 0 or wanted.sum() == 0:
-        return result(1.0, [], base, base)
+        return result(1.0, [], base, base, base, True)
     wanted = wanted / wanted.sum()
     at = domains.index(anchor) if anchor in domains and wanted[domains.index(anchor)] else int(wanted.argmax())
-    targets = np.minimum(wanted * (epochs * base[at] / wanted[at]), (max_epochs or epochs) * base)
+    asked = wanted * (epochs * base[at] / wanted[at])
+    targets = np.minimum(asked, (max_epochs or epochs) * base)
     start = float(targets.sum() / base.sum())
     steps: list[tuple[float, ...]] = []
     least = np.inf
@@ -176,7 +184,8 @@ def fit_mixture(
         seen = [float(x) for x in rated.agg(*sums).first()]
         reached, free_gram = np.array(seen[: len(domains)]), np.array(seen[len(domains) :]).reshape(gram.shape)
         miss = reached - targets
-        if np.abs(miss).max() <= TOLERANCE * targets.sum() or len(steps) == MAX_STEPS:
+        converged = bool(np.abs(miss).max() <= TOLERANCE * targets.sum())
+        if converged or len(steps) == MAX_STEPS:
             break
         # Rates at 0 don't move, so the step is fitted to the others; if that overshoots, the
         # next one is bounded by all rates, which can't.
@@ -184,7 +193,7 @@ def fit_mixture(
         scale, size = _step_size(free_gram if error < least else gram)
         least = min(least, error)
         steps.append(tuple((size * scale * miss).tolist()))
-    return result(start, steps, reached, targets)
+    return result(start, steps, reached, targets, asked, converged)
 
 
 def _mixed(scored: DataFrame, mixture: Mixture, seed: Column) -> DataFrame:

@@ -75,3 +75,17 @@ def test_json_records_of_mixed_layouts(frame):
 def test_unknown_schema_is_named(frame):
     with pytest.raises(ValueError, match="surprise"):
         chat.format_chats(frame([], "conv_id bigint, surprise string"))
+
+
+def test_equal_turns_are_ordered_by_role_and_text(frame):
+    rows = [(1, 0, "user", t) for t in ("a!", "a", "a ", "")] + [(1, None, "user", "z"), (1, 0, "assistant", "q")]
+    for order in (rows, rows[::-1]):
+        told = chat.format_chats(frame(order, "conv_id bigint, turn int, role string, text string"))
+        (row,) = told.select(chat.read_turns(F.col("formatted")).alias("turns")).collect()
+        assert [(t.role, t.text) for t in row.turns] == [
+            ("user", "z"), ("assistant", "q"), ("user", ""), ("user", "a"), ("user", "a "), ("user", "a!"),
+        ]
+
+
+def test_empty_frame(frame):
+    assert chat.format_chats(frame([], "conv_id bigint, turn int, role string, text string")).collect() == []

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sluicegate.llm.kmeans_tree import fit_tree, nearest_neighbours
+from sluicegate.llm.kmeans_tree import fit_tree, left_out, nearest_neighbours
 from sluicegate.llm.queries import op4_kmeans_tree
 
 DATA = "/root/testdata/sf0.01"
@@ -86,3 +86,26 @@ def test_query_recall(spark):
     expected = {q: e for q, e in exact(rows).items() if q % 100 == 0}
     assert got.keys() == expected.keys()
     assert recall(got, expected) >= 0.9
+
+
+def test_rows_that_take_no_part_are_counted(frame):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(5)] + [(None, [1.0, 2.0]), (7, None), (8, [0.0, 0.0]), (9, [1.0]), (10, [float("nan"), 1.0])]
+    found = left_out(frame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r.reason: r.n for r in found} == {"no_id": 1, "no_vector": 3, "other_length": 1}
+    assert left_out(frame([], "vec_id bigint, embedding array<double>")).collect() == []
+
+
+def test_recall_on_a_table_larger_than_the_sample(frame):
+    """Clustered vectors, four times as many as the tree is fitted on."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(40, 16))
+    points = centres[draw.integers(0, 40, 8000)] + 0.4 * draw.normal(size=(8000, 16))
+    df = frame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(df, ASKED, sample_rows=2000).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    recalls = []
+    for query, scores in found.items():
+        away = np.sort(np.sqrt(((points - points[query]) ** 2).sum(axis=1)))[1:11]
+        recalls.append(np.mean(np.array(scores) <= away[-1] + 1e-9))
+    assert np.mean(recalls) >= 0.95 and len(recalls) == 800

@@ -1,4 +1,7 @@
-from sluicegate.llm.licence_sentences import SENTENCES, scan_licences
+import random
+import re
+
+from sluicegate.llm.licence_sentences import RULES, SENTENCES, scan_licences
 
 MIT = [SENTENCES[n] for n in ("mit grant", "mit condition", "mit warranty")]
 APACHE = [SENTENCES[n] for n in ("apache header", "apache compliance")]
@@ -49,3 +52,45 @@ def test_cases(frame):
 
 def test_empty(frame):
     assert scan_licences(frame([], "doc_id bigint, text string")).collect() == []
+
+
+def plain_sentences(text, by_line):
+    """Names of known sentences, None for others; written without the operator's patterns."""
+    bare = lambda s: " ".join(re.findall("[a-z0-9]+", s.lower()))
+    names = {bare(s): name for name, s in SENTENCES.items()}
+    parts, now = [], ""
+    paragraphs = text.split("\n") if by_line else re.split(r"\n[ ]*\n", text)
+    for paragraph in paragraphs:
+        for word in paragraph.split():
+            now += " " + word
+            if word.rstrip("'\")")[-1:] in tuple(".!?:;"):
+                parts.append(now)
+                now = ""
+        parts.append(now)
+        now = ""
+    return [names.get(bare(p)) for p in parts if bare(p)]
+
+
+def plain_rule_holds(rule, found):
+    places = [i for i, name in enumerate(found) if name == rule.sentences[0]]
+    for wanted in rule.sentences[1:]:
+        places = [j for i in places for j in range(i + 1, min(i + rule.gap + 2, len(found))) if found[j] == wanted]
+    return bool(places)
+
+
+def test_random_texts_against_brute_force(frame):
+    draw = random.Random(11)
+    said, texts = list(SENTENCES.values()), []
+    for _ in range(400):
+        rule = draw.choice(RULES)
+        parts = []
+        for name in rule.sentences:
+            parts += [SENTENCES[name], *draw.choices(["Some prose.", "Nothing known here!", draw.choice(said)], k=draw.choice([0, 0, 1, 3, 9]))]
+        if draw.random() < 0.2:
+            draw.shuffle(parts)
+        texts.append(draw.choice([" ", "\n", "\n\n"]).join(parts))
+    got = scan_licences(frame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    for row in got:
+        ways = [plain_sentences(texts[row.doc_id], by_line) for by_line in (True, False)]
+        assert row.licences == sorted({r.licence for r in RULES for way in ways if plain_rule_holds(r, way)}), texts[row.doc_id]
+    assert len({name for r in got for name in r.licences}) == len({r.licence for r in RULES})
