@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered() -> dict:
     """name -> (query(spark, sf_dir), SQL or None)."""
-    from checks import approvals, files, registry, validation
+    from checks import approvals, files, registry, streams, validation
 
-    return {**validation.QUERIES, **registry.QUERIES, **approvals.QUERIES, **files.QUERIES}
+    return {**validation.QUERIES, **registry.QUERIES, **approvals.QUERIES, **files.QUERIES, **streams.QUERIES}

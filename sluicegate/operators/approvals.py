@@ -65,12 +65,15 @@ def readiness(templates: DataFrame, columns: DataFrame, reviewers: DataFrame) ->
 
 def with_rounds(approvals: DataFrame) -> DataFrame:
     """Approvals with `round`: as it is there, else the rank of `created_at`, which all rows
-    of one submission share, among the submissions of the template."""
+    of one submission share, among the submissions of the template. Rows without a time, or
+    without a template, belong to the first round."""
     if "round" in approvals.columns:
         return approvals
-    times = approvals.select("template_id", "created_at").distinct()
+    known = F.col("created_at").isNotNull() & F.col("template_id").isNotNull()
+    times = approvals.filter(known).select("template_id", "created_at").distinct()
     number = F.row_number().over(Window.partitionBy("template_id").orderBy("created_at"))
-    return approvals.join(times.withColumn("round", number), ["template_id", "created_at"])
+    numbered = approvals.join(times.withColumn("round", number), ["template_id", "created_at"], "left")
+    return numbered.select(*approvals.columns, F.coalesce("round", F.lit(1)).alias("round"))
 
 
 def fan_out(submissions: DataFrame, reviewers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluicegate.model import FINISHED_UPLOAD_STATUSES
 
@@ -91,9 +92,14 @@ def quality_by_day(history: DataFrame) -> DataFrame:
         F.sum("total_rows").alias("total_rows"),
         F.sum("dropped_rows").alias("dropped_rows"),
     )
-    return daily.select(
+    return quality_share(daily.withColumn("day", F.col("w.start").cast("date")))
+
+
+def quality_share(days: DataFrame) -> DataFrame:
+    """Sums per template and day with the dropped share."""
+    return days.select(
         "template_id",
-        F.col("w.start").cast("date").alias("day"),
+        "day",
         "uploads",
         "total_rows",
         "dropped_rows",
@@ -157,6 +163,23 @@ def error_summary(errors: DataFrame) -> DataFrame:
     )
 
 
+def error_samples(errors: DataFrame, k: int = 5) -> DataFrame:
+    """Per upload, error type and column: `samples`, up to `k` bad cells (row_number, raw_value).
+
+    They are those with the smallest digests, so the same however rows are dealt. Each task
+    passes on its own `k` of a group, which bounds what a frequent error sends.
+    """
+    keys = ["upload_id", "error_type", "column_name"]
+    digest = F.md5(F.concat(F.col("row_number").cast("string"), F.lit(":"), F.coalesce("raw_value", F.lit(""))))
+    drawn = errors.select(*keys, digest.alias("digest"), "row_number", "raw_value")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("digest", "row_number"))
+    chosen = drawn.withColumn("rank", rank).filter(F.col("rank") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "row_number", "raw_value")))
+    return chosen.groupBy(*keys).agg(
+        F.transform(listed, lambda s: F.struct(s["row_number"].alias("row_number"), s["raw_value"].alias("raw_value"))).alias("samples")
+    )
+
+
 def error_totals(errors: DataFrame) -> DataFrame:
     """Errors per type and column with subtotals; a subtotal names its level in `level`:
     0 = type and column, 1 = type, 3 = all."""

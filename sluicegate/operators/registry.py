@@ -504,14 +504,19 @@ def delete_children(children: DataFrame, templates: DataFrame, requests: DataFra
 # ---------------------------------------------------------------------------
 
 
-def with_root(templates: DataFrame) -> DataFrame:
-    """Add `root_id`, the original template of the lineage (versions point straight to it)."""
-    return templates.withColumn("root_id", F.coalesce("parent_template_id", "id"))
+def with_root(templates: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
+    """Add `root_id`, the original template of the lineage. Versions made here point straight to
+    it; for tables in which versions of versions do not, pass `lineage.lineages(templates)`.
+    A template without a root, on a cycle, is a lineage of its own."""
+    if lineage is None:
+        return templates.withColumn("root_id", F.coalesce("parent_template_id", "id"))
+    roots = lineage.select("id", F.coalesce("root_id", "id").alias("root_id"))
+    return templates.join(roots, "id", "left").select(*templates.columns, F.coalesce("root_id", "parent_template_id").alias("root_id"))
 
 
-def latest_versions(templates: DataFrame) -> DataFrame:
+def latest_versions(templates: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
     """Newest version of each lineage, as one aggregate."""
-    rooted = with_root(templates)
+    rooted = with_root(templates, lineage)
     rest = [c for c in rooted.columns if c != "root_id"]
     return (
         rooted.groupBy("root_id")
@@ -520,10 +525,12 @@ def latest_versions(templates: DataFrame) -> DataFrame:
     )
 
 
-def new_versions(templates: DataFrame, requests: DataFrame, created_at: Column) -> DataFrame:
+def new_versions(
+    templates: DataFrame, requests: DataFrame, created_at: Column, lineage: DataFrame | None = None
+) -> DataFrame:
     """Draft clones of Approved templates, one version up and pointing to the original.
     `requests`: id and new_id. The cloned template stays as it is."""
-    approved = with_root(templates).filter(F.col("status") == "Approved")
+    approved = with_root(templates, lineage).filter(F.col("status") == "Approved")
     clones = approved.join(requests.select("id", "new_id"), "id")
     replaced = {
         "id": F.col("new_id"),
@@ -535,9 +542,9 @@ def new_versions(templates: DataFrame, requests: DataFrame, created_at: Column)
     return clones.select(*[replaced.get(c, F.col(c)).alias(c) for c in templates.columns])
 
 
-def deprecate_older(templates: DataFrame) -> DataFrame:
+def deprecate_older(templates: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
     """Once a version is Approved, the Approved versions before it become Deprecated."""
-    rooted = with_root(templates)
+    rooted = with_root(templates, lineage)
     newest = (
         rooted.filter(F.col("status") == "Approved").groupBy("root_id").agg(F.max("version").alias("_approved"))
     )

@@ -374,6 +374,18 @@ def test_stream_takes_each_file_once_and_equals_the_batch(spark, tmp_path, rows_
     assert rows_of(run(), *columns) == rows_of(spark.read.parquet(batch.target_path), *columns)
 
 
+def test_multi_line_files_fail_where_quotes_stay_open(spark, tmp_path):
+    cfg = dataclasses.replace(SALES, multi_line=True)
+    put(tmp_path / "landing", "open.csv", 'code,amount,internal\na,1,"i\nb,2,i\n')
+    put(tmp_path / "landing", "good.csv", 'code,amount,internal\n"a\nb",1,"i"\nc,2,\ufffd\n')
+    result = ingest(spark, str(tmp_path / "landing"), cfg, context(tmp_path))
+    assert {r.upload_id: r.outcome for r in result.verdicts.collect()} == {"open.csv": "failed", "good.csv": "completed"}
+    errors = [(r.upload_id, r.error_type, r.error_message) for r in result.errors.collect()]
+    assert errors == [("open.csv", "SCHEMA_MISMATCH", "A quoted cell is not closed in its file")]
+    target = spark.read.parquet(context(tmp_path).target_path)
+    assert sorted(r.code for r in target.collect()) == ["a\nb", "c"]
+
+
 def test_empty_files_fail_once_on_a_stream(spark, tmp_path):
     landing, ctx = tmp_path / "landing", context(tmp_path)
 
