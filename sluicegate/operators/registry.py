@@ -327,42 +327,56 @@ def audit_rules(df: DataFrame, rules: Sequence[FieldRule], key: str = "id", part
 
 def integrity_audit(tables: Mapping[str, DataFrame], partial: bool = False) -> DataFrame:
     """Orphaned foreign keys and repeated unique keys of the registry's tables:
-    (check, table_name, key_columns, key_value, n). Keys are counted before they are
-    joined, so a parent with many children is one row. A table or a key column that is
+    (check, table_name, key_columns, key_value, n). Every table is read once for all its keys
+    and once more, ids only, as a parent; keys are counted together before they are joined,
+    so a parent with many children is one row. A table or a key column that is
     not there is an error, unless `partial` allows to check what there is."""
     needed = [(child, (column,)) for child, column, *_ in model.FOREIGN_KEYS] + list(model.UNIQUE_KEYS)
     absent = [t for t in model.REGISTRY_SCHEMAS if t not in tables]
     absent += [f"{t}.{c}" for t, key in needed if t in tables for c in key if c not in tables[t].columns]
     if absent and not partial:
         raise ValueError(f"can't be checked without {sorted(set(absent))}")
-    found = []
-    for child, column, parent, _ in model.FOREIGN_KEYS:
-        if child not in tables or parent not in tables or column not in tables[child].columns:
-            continue
-        used = (
-            tables[child].filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        )
-        parents = tables[parent].select(F.col("id").alias(column))
-        found.append(_violations(used.join(parents, column, "left_anti"), "orphan", child, (column,)))
-    for table, key in model.UNIQUE_KEYS:
-        if table not in tables or not set(key) <= set(tables[table].columns):
-            continue
-        counted = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        found.append(_violations(counted, "not unique", table, key))
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
-
-
-def _violations(df: DataFrame, check: str, table: str, key: Sequence[str]) -> DataFrame:
-    return df.select(
-        F.lit(check).alias("check"),
-        F.lit(table).alias("table_name"),
-        F.lit(",".join(key)).alias("key_columns"),
-        F.concat_ws(",", *[F.col(k).cast("string") for k in key]).alias("key_value"),
-        "n",
+    keys = [
+        ("orphan", child, (column,), parent)
+        for child, column, parent, _ in model.FOREIGN_KEYS
+        if child in tables and parent in tables and column in tables[child].columns
+    ]
+    keys += [
+        ("not unique", table, tuple(key), None)
+        for table, key in model.UNIQUE_KEYS
+        if table in tables and set(key) <= set(tables[table].columns)
+    ]
+    cells, parents = [], []
+    for table, rows in tables.items():
+        # All keys of a table in one look at it, as (number of the key, its values as text).
+        own = [
+            F.struct(F.lit(number).alias("key"), F.array(*[F.col(c).cast("string") for c in columns]).alias("value"))
+            for number, (_, name, columns, _) in enumerate(keys)
+            if name == table
+        ]
+        if own:
+            cells.append(rows.select(F.inline(F.array(*own))))
+        asked = [F.lit(number) for number, (*_, parent) in enumerate(keys) if parent == table]
+        if asked:
+            parents.append(rows.select(F.explode(F.array(*asked)).alias("key"), F.array(F.col("id").cast("string")).alias("value")))
+    used = _stacked(cells).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    refers = F.col("key").isin([number for number, (*_, parent) in enumerate(keys) if parent is not None])
+    orphans = used.filter(refers & F.col("value")[0].isNotNull())
+    if parents:
+        orphans = orphans.join(_stacked(parents), ["key", "value"], "left_anti")
+    named = F.array(
+        *[F.struct(F.lit(check).alias("check"), F.lit(t).alias("table_name"), F.lit(",".join(c)).alias("key_columns")) for check, t, c, _ in keys]
     )
+    return orphans.unionByName(used.filter(~refers & (F.col("n") > 1))).select(
+        named[F.col("key")].alias("k"), F.concat_ws(",", "value").alias("key_value"), "n"
+    ).select("k.check", "k.table_name", "k.key_columns", "key_value", "n")
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for more in frames[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 # ---------------------------------------------------------------------------
