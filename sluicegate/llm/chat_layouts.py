@@ -15,9 +15,9 @@ could open a control string (this template's or the usual `</s>`, `[INST]`, `<<S
 No control string is left in a text, and dropping those backslashes restores it exactly.
 
 Defined results: a NULL role or text is empty; a conversation without turns formats to the
-empty string; turns with the same number are ordered by role, then escaped text, and repeated rows
+empty string; turns with the same number are ordered by role, then text, and repeated rows
 stay repeated. Rows without a conversation id form one conversation with id NULL. Another
-column makes another layout, which has to be declared or the column left out; a JSON list
+column makes another layout, which has to be declared or the column left out; very long texts are formatted whole; an empty frame gives an empty frame; a JSON list
 of messages that is empty shows no paths inside it and so has no layout. Everything here is built from DataFrame functions.
 """
 

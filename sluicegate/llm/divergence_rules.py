@@ -13,7 +13,8 @@ Base rules: fewer than 50 words, or more than half of the words inside 3-word wi
 occur twice or more, rejects a document.
 
 Defined results: a NULL text has no words and is rejected by the base rules; a NULL language
-is a language of its own. Repeated rows are judged alike, each on its own, and rows keep all
+is a language of its own. Very long texts are counted whole. Of words that are equally
+common in a language those that sort first are its common ones. Repeated rows are judged alike, each on its own, and rows keep all
 their columns, whatever their names. An empty frame gives an empty frame. Windows are
 compared by 64-bit hashes of their three words.
 

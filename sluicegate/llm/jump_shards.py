@@ -6,7 +6,8 @@ into the new shard.
 
 Defined results: a NULL key hashes as the key 0 and stays NULL; a NULL or empty text has no bytes, so its size
 is the overhead alone and its checksum 0. Equal keys share a shard, however many rows
-have them, and equal rows get slots of their own. An empty frame gives an empty frame.
+have them, and equal rows get slots of their own; very long texts are measured whole, and rows
+of one key are numbered by checksum, then size. An empty frame gives an empty frame.
 Other columns are left out, so that no name can clash; join the result back on the key.
 """
 
@@ -123,6 +124,8 @@ def shard_rows(
 
 
 def write_shards(placed: DataFrame, docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write whole documents as Parquet under `path`/shard=N. A shard may have many files;
-    keys must be unique."""
+    """Write whole documents as Parquet under `path`/shard=N. A shard may have many files; keys
+    must be unique, and a column of the documents named shard or slot is an error."""
+    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError("the frame already has a column shard or slot")
     docs.join(placed.select(key, "shard", "slot"), key).write.partitionBy("shard").parquet(path)

@@ -22,7 +22,7 @@ Defined results: vectors that are NULL, of another length than most, zero, or wi
 non-finite components take no part, as query or candidate; nor do rows without an id. Rows
 that repeat an id count once per query, with the nearest of their vectors; a query that is
 repeated takes the smallest of its vectors. Ties go to the smaller id. Fewer candidates than
-k give as many rows, and an empty frame none. Only the named columns are read. `left_out`
+k give as many rows, and an empty frame none; rows that are equal in all are one candidate. Only the named columns are read. `left_out`
 counts the rows that take no part, by reason. Work: queries and rows per leaf both grow with
 the table while the leaves follow the sample, so pass a larger `sample_rows` for larger
 tables.

@@ -1,4 +1,10 @@
-"""Connected components of a table of links, by shuffles only."""
+"""Connected components of a table of links, by shuffles only.
+
+Defined results: links with a NULL end, and from a node to itself, link nothing; repeated
+links count once; no links, no components. The smallest node stands for a component, so there
+are no ties. All links of a component's smallest node meet it in one join, which Spark splits
+where it is skewed.
+"""
 
 from __future__ import annotations
 

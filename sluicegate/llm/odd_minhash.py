@@ -25,7 +25,9 @@ with all of its group, block by block.
 Defined results: a NULL or empty text, or one without words, has the empty set and is linked
 with nothing. A row without doc_id is linked with nothing, has no component and is kept.
 Rows with the same doc_id are one document: its texts are linked, and all rows stay or go.
-Every input row gives one row, an empty frame none. Only the named columns are read.
+Texts that are equal are compared once; very long ones count whole. Of documents that are
+equally good the smallest id stands for a group. Every input row gives one row, an empty
+frame none. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Defined results: a NULL text is empty, has no tokens and the posterior of an emp
 label row without an id, a domain or a document is left out, and one of several labels of a
 document is used. A target for a domain without labelled documents can't be met and is left
 out, the others scaled up, and one for more than there is of a domain is lowered; with fewer than two labelled domains the posterior is 1 for the
-only one, and without any every rate is 1. Equal rows get equal rates and copies. An empty
+only one, and without any every rate is 1. Of equal posteriors the domain that sorts first is
+the likeliest. Very long texts count whole. Equal rows get equal rates and copies. An empty
 frame gives an empty frame. Other columns are kept or left out whole, so that no name can
 clash.
 """

@@ -5,8 +5,9 @@ counts only between boundaries: what stands before and after it is no ASCII lett
 digit. One strict term rejects a URL, and so do several different soft ones.
 
 Defined results: a URL that is NULL, empty or without `://` has an empty host and path and
-fits no rule; its vocabulary verdict is that of its characters (NULL: allow). Repeated
-rows are judged alike; an empty frame gives an empty frame. Other columns of the frame
+fits no rule; its vocabulary verdict is that of its characters (NULL: allow). Very long
+URLs are read whole; of rules that fit the longest wins, and no two are equally long for one
+URL but for equal ones. Repeated rows are judged alike; an empty frame gives an empty frame. Other columns of the frame
 are left out, so that no name can clash. Nothing is shuffled.
 """
 

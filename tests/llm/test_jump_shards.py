@@ -2,8 +2,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
-from sluicegate.llm.jump_shards import jump, shard_rows
+from sluicegate.llm.jump_shards import jump, shard_rows, write_shards
 
 
 def plain_jump(key, shards):
@@ -51,5 +52,15 @@ def test_rows_against_brute_force(frame):
     assert {tuple(r) for r in got} == expected
 
 
+def test_written_shards(spark, frame, tmp_path):
+    docs = frame([(i, f"t{i}", "x") for i in range(60)], "doc_id bigint, text string, law string")
+    placed = shard_rows(docs, 5)
+    write_shards(placed, docs, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert {(r.doc_id, r.text, r.shard) for r in back.collect()} == {(i, f"t{i}", plain_jump(i, 5)) for i in range(60)}
+    with pytest.raises(ValueError):
+        write_shards(placed, docs.withColumnRenamed("law", "Slot"), str(tmp_path / "t"))
+
+
 def test_empty(frame):
     assert shard_rows(frame([], "doc_id bigint, text string"), 24).collect() == []

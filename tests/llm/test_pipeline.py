@@ -42,3 +42,21 @@ def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert rows.columns == ["doc_id", "n_tokens", "ids"]
     assert rows.count() > 0
+
+
+def test_stages_on_odd_rows(spark, frame):
+    """NULLs in every column, empty and very long texts, repeated rows and clashing names."""
+    good = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "clash", 1) for r in good]
+    long = " ".join(r.text for r in good if r.text) * 20
+    rows += [(None, None, None, None, None, None, None), (10_001, "", "en", "s", 0, "c", 2), (10_002, long, "en", "s", 1, "c", 2)]
+    rows += rows[:3] + [(None, good[0].text, "en", None, 5, None, 3)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, n_words int"
+    for part in (rows, []):
+        docs = frame(part, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, DATA)
+            assert kept.columns == docs.columns, name
+            docs = frame([tuple(r) for r in kept.collect()], schema)
+        ids = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+        assert ids.count() == docs.count()
