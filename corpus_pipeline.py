@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a frame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: a row without text has no words and goes at the first stage; rows that
+repeat a doc_id are one document to the second stage and stay or go together; extra columns are
+carried along whatever their names; very long texts are taken whole; of near-copies the
+smallest id stays, so there are no ties; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights ask; good prose at least once."""
+    """Documents as often as the target weights ask: good prose 1.25 times on average, a single
+    document by its own posterior, which may be less than once."""
     labelled = settings.labelled_domains(spark, sf_dir)
     mixture = soft_mixing.fit_mixture(
         docs, labelled, settings.MIXTURE_WEIGHTS, settings.MIXTURE_ANCHOR, settings.MIXTURE_EPOCHS
