@@ -150,7 +150,10 @@ arrivals as (select m.template_id, m.reviewer_email, min(pos) as pos from missin
     on f.template_id = m.template_id and f.reviewer_email = m.reviewer_email and decision = 'approve'
   group by m.template_id, m.reviewer_email),
 completions as (select template_id, max(pos) as completed_pos from arrivals group by template_id
-  having count(*) = count(pos)),
+  having count(*) = count(pos)
+  union all select f.template_id, min(pos) from firsts as f
+  join req on req.template_id = f.template_id and req.reviewer_email = f.reviewer_email
+  where decision = 'approve' and f.template_id not in (select template_id from missing) group by f.template_id),
 closing as (select t.id as template_id, rejected_pos, completed_pos,
     least(coalesce(rejected_pos, 9e18), coalesce(completed_pos, 9e18)) as closed_pos
   from templates as t left join rejections as r on r.template_id = t.id

@@ -142,7 +142,7 @@ VIEWS = {
             min(cast(l_shipdate as {TS})) + interval '3' day as decided_at,
             min(concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_suppkey as string)))
               as token,
-            case when l_orderkey % 13 = 0 then 'reject' else 'approve' end as decision
+            case when l_orderkey % 5 = 0 then 'reject' else 'approve' end as decision
           from {lineitem} group by l_orderkey, l_linenumber
           union all
           select l_orderkey * 20 + 10 + l_linenumber, min(cast(o_orderdate as {TS})) + interval '90' day,

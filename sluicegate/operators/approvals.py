@@ -253,8 +253,8 @@ def _completion_by_rows(by_required: DataFrame, required: DataFrame, approvals:
 
 
 def _completion_moment(by_required: DataFrame, required: DataFrame, approvals: DataFrame) -> DataFrame:
-    """(template_id, completed_at): when the last missing required approval comes in.
-    Templates that were complete before this batch are not among them."""
+    """(template_id, completed_at): when the last missing required approval comes in. Where
+    none was missing before this batch, the first approval by a required reviewer completes."""
     concerned = by_required.select("template_id").distinct()
     earlier = (
         latest_round(approvals.join(concerned, "template_id", "left_semi"))
@@ -275,9 +275,11 @@ def _completion_moment(by_required: DataFrame, required: DataFrame, approvals: D
         .agg(
             F.count_if(F.col("_earlier").isNull()).alias("missing"),
             F.count_if(F.col("_earlier").isNull() & F.col("at").isNotNull()).alias("arriving"),
-            F.max(F.when(F.col("_earlier").isNull(), F.col("at"))).alias("completed_at"),
+            F.max(F.when(F.col("_earlier").isNull(), F.col("at"))).alias("_last_missing"),
+            F.min("at").alias("_first"),
         )
-        .filter((F.col("missing") > 0) & (F.col("missing") == F.col("arriving")))
+        .filter(F.col("missing") == F.col("arriving"))
+        .withColumn("completed_at", F.when(F.col("missing") > 0, F.col("_last_missing")).otherwise(F.col("_first")))
         .select("template_id", "completed_at")
     )
 

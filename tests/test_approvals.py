@@ -1,13 +1,17 @@
 """Tokens, decisions, completion, lifecycle; decisions against a one-by-one replay."""
 
+import os
 import random
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixtures import stored, view
 from sluicegate.operators import approvals
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NOW = datetime(2024, 2, 1)
 TOKENS = "approval_token string, template_id int, reviewer_email string, token_used boolean, token_expires_at timestamp_ntz, round int, action string, created_at timestamp_ntz"
 REQUESTS = "decision_id int, decided_at timestamp_ntz, token string, decision string"
@@ -39,7 +43,11 @@ def replay(decisions, tokens, statuses, required, strict):
     """The workflow handled one decision at a time."""
     tokens = {t[0]: dict(zip("token template email used expires round action created".split(), t)) for t in tokens}
     statuses = dict(statuses)
-    outcomes = {}
+    outcomes, of_template, reviewers = {}, defaultdict(list), defaultdict(set)
+    for t in tokens.values():
+        of_template[t["template"]].append(t)
+    for template, email in required:
+        reviewers[template].add(email)
     for number, at, name, decision in sorted(decisions, key=lambda d: (d[1], d[0])):
         t = tokens.get(name)
         if t is None:
@@ -50,14 +58,14 @@ def replay(decisions, tokens, statuses, required, strict):
             outcomes[number] = ("expired", None)
         elif statuses.get(t["template"]) != "Pending Approval":
             outcomes[number] = ("not_pending", None)
-        elif not strict and t["round"] < max(x["round"] for x in tokens.values() if x["template"] == t["template"]):
+        elif not strict and t["round"] < max(x["round"] for x in of_template[t["template"]]):
             outcomes[number] = ("old_round", None)
         else:
             t["used"], t["action"] = True, "approved" if decision == "approve" else "rejected"
-            needed = {e for i, e in required if i == t["template"]}
+            needed = reviewers[t["template"]]
             if decision == "reject" and (strict or t["email"] in needed):
                 statuses[t["template"]] = "Draft"
-            mine = [x for x in tokens.values() if x["template"] == t["template"]]
+            mine = of_template[t["template"]]
             latest = max(x["round"] for x in mine)
             given = {x["email"] for x in mine if x["action"] == "approved" and x["round"] == latest}
             rows = sum(x["action"] == "approved" and x["email"] in needed for x in mine)
@@ -105,6 +113,26 @@ def test_decisions_equal_one_by_one_handling(spark, seed, strict):
     assert {r.decision_id: (r.outcome, r.template_status) for r in found.collect()} == expected
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("strict", [False, True])
+def test_decisions_over_the_given_tables(spark, strict):
+    """The same, over all decisions and approvals that the registered query reads."""
+    asked, known = stored(spark, DATA, "decisions"), stored(spark, DATA, "token_approvals")
+    templates, reviewers = view(spark, DATA, "templates"), view(spark, DATA, "template_reviewers")
+    found = approvals.apply_decisions(asked, known, templates, reviewers, strict_reference=strict)
+    fields = ("approval_token", "template_id", "reviewer_email", "token_used", "token_expires_at", "round", "action", "created_at")
+    required = reviewers.filter("reviewer_type = 'required'").select("template_id", "reviewer_email")
+    expected = replay(
+        [tuple(r) for r in asked.select("decision_id", "decided_at", "token", "decision").collect()],
+        [tuple(r) for r in known.select(*fields).collect()],
+        [tuple(r) for r in templates.select("id", "status").collect()],
+        [tuple(r) for r in required.collect()],
+        strict,
+    )
+    assert {r.decision_id: (r.outcome, r.template_status) for r in found.collect()} == expected
+    assert {"Draft", "Pending Approval"} <= {s for _, s in expected.values()}
+
+
 REVIEWERS = "template_id int, reviewer_email string, reviewer_type string"
 APPROVALS = "template_id int, reviewer_email string, action string, round int, created_at timestamp_ntz"
 
