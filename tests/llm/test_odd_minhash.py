@@ -115,12 +115,13 @@ def test_sketches_keep_every_similar_pair():
     assert odd._odd_bits(far)[0, 1] > 200
 
 
-def test_components(frame):
+@pytest.mark.parametrize("hot_links", [1, 20, 1000])
+def test_components(frame, hot_links):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 180)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7)]
     links += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
     df = frame(links, "a bigint, b bigint")
-    got = {r.node: r.component for r in components(df, Staging(df.sparkSession, "test")).collect()}
+    got = {r.node: r.component for r in components(df, Staging(df.sparkSession, "test"), hot_links).collect()}
     up = {}
     for a, b in links:
         up.setdefault(a, a), up.setdefault(b, b)
@@ -131,6 +132,11 @@ def test_components(frame):
     assert got == {n: c for n, c in up.items() if n not in alone}
 
 
+def test_components_without_links(frame):
+    df = frame([(7, 7), (None, 3), (3, None)], "a bigint, b bigint")
+    assert components(df, Staging(df.sparkSession, "test")).collect() == []
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert result(op10_odd_minhash(spark, DATA)) == brute_force(rows)
