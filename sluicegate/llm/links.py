@@ -2,8 +2,8 @@
 
 Defined results: links with a NULL end, and from a node to itself, link nothing; repeated
 links count once; no links, no components. The smallest node stands for a component, so there
-are no ties. A component's smallest node comes to have links to all others; such a node is
-sent to its links instead of them to it, so they stay where they are.
+are no ties. All links of a component's smallest node meet it in one join, which Spark splits
+where it is skewed.
 """
 
 from __future__ import annotations
@@ -15,34 +15,28 @@ from sluicegate.llm.tables import Staging
 
 MAX_ROUNDS = 60
 
-# A node is hot with this many links, and with a 100,000th of all links where that is more: there
-# are at most 100,000 hot nodes (16 bytes each) in a table of any size.
-HOT_LINKS = 1_000
-MAX_HOT = 100_000
 
-
-def components(links: DataFrame, staging: Staging, hot_links: int = HOT_LINKS) -> DataFrame:
+def components(links: DataFrame, staging: Staging) -> DataFrame:
     """node, component: the smallest node that links (a, b) reach, for every node in a link
     to another. Alternates two steps until nothing changes: each node sends its larger
     neighbours to the smallest one it sees, then its smaller ones. The number of rounds
     grows with the logarithm of the longest path. Starts jobs."""
     now = staging.keep(_directed(links), "links")
-    size, before = now.count(), None
+    before = None
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        larger = _to_smallest(both, 2 * size, hot_links).filter(F.col("b") > F.col("a"))
-        larger = staging.keep(_directed(larger.select(F.col("b").alias("a"), F.col("least").alias("b"))), "larger")
-        smaller = _to_smallest(larger, larger.count(), hot_links)
+        larger = _to_smallest(both).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        smaller = _to_smallest(_directed(larger))
         moved = smaller.select(F.col("b").alias("a"), F.col("least").alias("b"))
         own = smaller.select("a", F.col("least").alias("b"))
         last, now = now, staging.keep(_directed(moved.unionByName(own)), "links")
-        staging.drop(last, larger)
+        staging.drop(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before, size = seen, seen[0]
+        before = seen
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -53,12 +47,7 @@ def _directed(links: DataFrame) -> DataFrame:
     )
 
 
-def _to_smallest(links: DataFrame, size: int, hot_links: int) -> DataFrame:
-    """Links a, b with `least`, the smallest of a and all its neighbours here. `size` is the
-    number of links. Those of hot nodes take it from a broadcast, the others from a join."""
-    least = F.least("a", F.min("b")).alias("least")
-    nodes = links.groupBy("a").agg(least, F.count(F.lit(1)).alias("rows"))
-    hot = F.col("rows") >= max(hot_links, size // MAX_HOT + 1)
-    few = F.broadcast(nodes.filter(hot).drop("rows"))
-    others = links.join(few, "a", "left_anti").join(nodes.filter(~hot).drop("rows"), "a")
-    return links.join(few, "a").unionByName(others)
+def _to_smallest(links: DataFrame) -> DataFrame:
+    """Links a, b with `least`, the smallest of a and all its neighbours here."""
+    least = links.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+    return links.join(least, "a")
