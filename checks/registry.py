@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import table, view, with_views
@@ -315,6 +318,35 @@ def ddl_texts(spark, sf):
     return provision.ddl_plan(*_views(spark, sf, "template_columns", "templates"))
 
 
+def target_column_list(spark, sf):
+    return provision.target_columns(view(spark, sf, "template_columns"))
+
+
+def provisioned_columns(spark, sf):
+    """The tables of all templates that wait for them, made in a database of their own, a second
+    time without effect, and what the catalog then says of their columns."""
+    templates, domains, columns = _views(spark, sf, "templates", "domains", "template_columns")
+    pending = templates.filter("status = 'Pending DDL'")
+    database = f"provisioned_{uuid.uuid4().hex}"
+    spark.sql(f"create database {database}")
+    configs = [
+        dataclasses.replace(cfg, fully_qualified_name=f"{database}.{cfg.fully_qualified_name.split('.')[-1]}")
+        for cfg in registry.load_configs(registry.template_configs(pending, domains, columns, CATALOG))
+        if cfg.included
+    ]
+    for _ in range(2):
+        provision.provision(spark, configs)
+    listed = [
+        (cfg.fully_qualified_name.split(".")[1], i, f.name, f.dataType.simpleString(), f.metadata.get("comment"))
+        for cfg in configs
+        for i, f in enumerate(spark.table(cfg.fully_qualified_name).schema, 1)
+    ]
+    spark.sql(f"drop database {database} cascade")
+    return spark.createDataFrame(
+        listed, "table_name string, position int, column_name string, data_type string, comment string"
+    )
+
+
 def masked_documents(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select(
@@ -335,6 +367,17 @@ def grants(spark, sf):
     return provision.grant_plan(*_views(spark, sf, "templates", "domains", "principals"), CATALOG)
 
 
+_TARGET_COLUMNS = """, included as (select template_id, column_name, data_type, is_nullable,
+    cast(row_number() over (partition by template_id order by column_order) as integer) as position,
+    case when is_pii and description <> '' then 'PII - masked | ' || description when is_pii then 'PII - masked'
+      when description <> '' then description end as comment
+  from template_columns where is_included),
+targets as (select template_id, position, column_name, data_type, is_nullable, comment from included
+  union all
+  select template_id, width + n, name, kind, true, null
+  from (select template_id, max(position) as width from included group by template_id) as w,
+    (values (1, 'uploaded_by', 'STRING'), (2, 'uploaded_at', 'TIMESTAMP'), (3, 'source_file', 'STRING')) as a(n, name, kind))
+"""
 _VALID_LISTS = """
 requests as (select p_partkey as template_id, status, p_partkey % 5 = 0 as is_empty, p_partkey % 4 = 2 as repeats
   from part left join templates on id = p_partkey),
@@ -698,6 +741,20 @@ select template_id, 'CREATE TABLE IF NOT EXISTS ' || any_value(fully_qualified_n
 from clauses join templates on id = template_id group by template_id""",
         ),
     ),
+    "target_columns": (
+        target_column_list,
+        with_views("template_columns", _TARGET_COLUMNS + "select * from targets"),
+    ),
+    "provisioned_columns": (
+        provisioned_columns,
+        with_views(
+            "templates template_columns",
+            _TARGET_COLUMNS
+            + """select uc_table_name as table_name, position, column_name, case data_type when 'INTEGER' then 'int'
+    when 'DECIMAL' then 'decimal(10,0)' else lower(data_type) end as data_type, comment
+  from targets join templates on id = template_id where status = 'Pending DDL'""",
+        ),
+    ),
     "masked_text": (
         masked_documents,
         "select doc_id, repeat('*', cast(least(length(case when doc_id % 3 <> 0 then source end), 8) as int)) as masked, "

@@ -7,7 +7,7 @@ so Catalyst knows their size and chooses.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +109,15 @@ def load_config(configs: DataFrame, template_id) -> model.TemplateConfig:
     row = configs.filter(F.col("template_id") == template_id).first()
     if row is None:
         raise LookupError(f"template not found: {template_id}")
+    return _config(row)
+
+
+def load_configs(configs: DataFrame) -> Iterator[model.TemplateConfig]:
+    """All nested rows as configs, a partition of them at a time on the driver."""
+    return (_config(row) for row in configs.toLocalIterator())
+
+
+def _config(row) -> model.TemplateConfig:
     known = set(model.TemplateConfig.__dataclass_fields__) - {"columns", "extra"}
     settings = {k: v for k, v in row.asDict().items() if k in known}
     return model.TemplateConfig.from_rows(row["columns"], **settings)

@@ -48,8 +48,9 @@ STEPS = ("file_uploaded", "schema_validated", "constraints_checked", "writing_to
 @dataclass(frozen=True)
 class IngestContext:
     """Where a run writes and on whose behalf. `upload_id` is an SQL expression over `path`
-    that gives the identity of the upload (default: the path below the folder that is
-    read). `log_path` takes the log of expectations (default: beside the history)."""
+    that gives the identity of the upload, and `source_file` one for the name in the audit
+    columns (default of both: the path below the folder that is read, which for a file right
+    in it is its name). `log_path` takes the log of expectations (default: beside the history)."""
 
     uploaded_by: str
     uploaded_at: str
@@ -63,6 +64,7 @@ class IngestContext:
     max_bytes: int = MAX_UPLOAD_BYTES
     checks: Mapping[str, str] = field(default_factory=dict)
     upload_id: str | None = None
+    source_file: str | None = None
     log_path: str | None = None
     slice: tuple[str, str] | None = None  # partition of the target that this run replaces
 
@@ -105,9 +107,9 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     template_id = str(cfg.template_id)
     columns, templates = _config_frames(spark, cfg)
     times = {STEPS[0]: ctx.uploaded_at}
-    if ctx.upload_id is None:
-        roots = [paths] if isinstance(paths, str) else list(paths)
-        ctx = dataclasses.replace(ctx, upload_id=path_below(spark, *roots))
+    if ctx.upload_id is None or ctx.source_file is None:
+        below = path_below(spark, *([paths] if isinstance(paths, str) else paths))
+        ctx = dataclasses.replace(ctx, upload_id=ctx.upload_id or below, source_file=ctx.source_file or below)
 
     listed = list_files(spark, paths).unionByName(empty_files(spark, paths))
     # What the result gives out stays until it is released; the rest goes at the end.
@@ -130,7 +132,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     only = {"pathGlobFilter": "*.[cC][sS][vV]"}
     scanned = scan_records(spark, paths, cfg, staging, ctx.max_bytes, **only) if can_scan(cfg) else None
     scan = scan_csv(spark, paths, cfg, max_bytes=ctx.max_bytes, **only) if scanned is None else scanned.rows
-    numbered = number_records(scan, folder=staging, upload_id=ctx.upload_id)
+    numbered = number_records(scan, folder=staging, upload_id=ctx.upload_id, source_file=ctx.source_file)
     broken = _unread_quotes(spark, paths, cfg, scanned, numbered, staging, only)
     if broken is not None:
         broken = materialise(_quote_errors(broken, cfg, ctx), "open_quotes", staging)

@@ -88,10 +88,15 @@ class NumberedScan:
 
 
 def number_records(
-    scan: DataFrame, header: bool = True, folder: str | None = None, upload_id: str = UPLOAD_ID
+    scan: DataFrame,
+    header: bool = True,
+    folder: str | None = None,
+    upload_id: str = UPLOAD_ID,
+    source_file: str = UPLOAD_ID,
 ) -> NumberedScan:
     """Number the records of each file: 0 is the header, data starts at 1 (files without
-    header start at 1 too). `upload_id` is a SQL expression over `path`.
+    header start at 1 too). `upload_id` and `source_file`, the name that rows carry, are SQL
+    expressions over `path`.
 
     The scan is written to the shared folder first: record ordinals are only comparable
     within one execution of a scan, and all later steps then read compressed columns
@@ -113,7 +118,7 @@ def number_records(
             (F.coalesce(F.sum("records").over(before), F.lit(0)) - F.col("_first") + F.lit(start)).alias("_shift"),
         )
         .withColumn("path", plain_path(F.col(FILE)))
-        .withColumns({FILE_NAME: F.element_at(F.split("path", "/"), -1), "upload_id": F.expr(upload_id)})
+        .withColumns({FILE_NAME: F.expr(source_file), "upload_id": F.expr(upload_id)})
         .drop("path"),
         "splits",
         folder,

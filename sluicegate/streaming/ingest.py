@@ -37,8 +37,8 @@ def ingest_stream(
     batch also takes the empty files of the folder for which no other batch of the query left a
     receipt (the first event of an upload) in the history; they fail like any other.
     """
-    if ctx.upload_id is None:
-        ctx = dataclasses.replace(ctx, upload_id=path_below(spark, folder))
+    below = path_below(spark, folder)
+    ctx = dataclasses.replace(ctx, upload_id=ctx.upload_id or below, source_file=ctx.source_file or below)
     names = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")

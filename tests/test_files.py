@@ -423,7 +423,10 @@ def test_same_names_in_two_folders_are_two_uploads(spark, tmp_path):
         ("p/a.csv", "completed", 2),
         ("q/a.csv", "completed", 2),
     ]
-    assert spark.read.parquet(ctx.target_path).count() == 4
+    assert sorted(r.source_file for r in spark.read.parquet(ctx.target_path).collect()) == ["p/a.csv"] * 2 + ["q/a.csv"] * 2
+    stream = context(tmp_path / "stream")
+    ingest_stream(spark, str(tmp_path / "landing"), SALES, stream, str(tmp_path / "checkpoint")).awaitTermination()
+    assert {r.source_file for r in spark.read.parquet(stream.target_path).collect()} == {"p/a.csv", "q/a.csv"}
     with pytest.raises(ValueError, match="same upload id"):
         ingest(spark, str(tmp_path / "landing"), SALES, context(tmp_path / "again", upload_id=files.UPLOAD_ID))
 
