@@ -72,6 +72,10 @@ def test_config_round_trip(spark):
     assert (cfg.columns[1].description, cfg.unique[0].column_name, cfg.fully_qualified_name) == ("", "b", "main.hr.people")
     with pytest.raises(LookupError):
         registry.load_config(registry.template_configs(head, domains, columns, "main"), 2)
+    wide = head.unionByName(head.withColumn("id", F.col("id") + 1))
+    found = {c.template_id: c for c in registry.load_configs(registry.template_configs(wide, domains, columns, "main"))}
+    assert found[1] == cfg and found[2].columns == ()
+    assert list(registry.load_configs(registry.template_configs(head.limit(0), domains, columns, "main"))) == []
 
 
 def test_patch_tells_a_null_from_an_absent_field(spark, templates):
