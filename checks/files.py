@@ -304,12 +304,19 @@ TEXTS = TemplateConfig(
 )
 
 
+def _bounded(rows, max_bytes: int):
+    """Rows dealt over as many files as keep each well below the limit of an upload."""
+    bytes_of = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 3 for c in rows.columns]
+    size = rows.agg(F.sum(sum(bytes_of).cast("bigint"))).first()[0] or 0
+    return rows.repartition(max(size * 4 // max_bytes + 1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def multi_line_texts(spark, sf):
     """Documents, line breaks and all, as quoted CSV cells, ingested and read back."""
     folder = new_folder(spark, "landing")
-    texts = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
     ctx = dataclasses.replace(_context(spark), upload_id=None)
+    texts = _bounded(table(spark, sf, "documents").select("doc_id", "text", "lang"), ctx.max_bytes)
+    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
     ingest(spark, folder, TEXTS, ctx)
     return spark.read.parquet(ctx.target_path).select("doc_id", F.trim("text").alias("text"), "lang")
 

@@ -518,3 +518,15 @@ def test_quality_stream(spark, tmp_path):
     assert [(str(r.day), r.uploads, r.total_rows, r.dropped_pct) for r in spark.table("quality").collect()] == [
         ("2024-01-01", 2, 20, 15.0)
     ]
+
+
+def test_landed_texts_keep_below_the_upload_limit(spark, tmp_path, monkeypatch):
+    from checks import files
+
+    texts = [(i, f"line {i}\n" + 'word "x" ' * 400, "en") for i in range(300)]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    context = files._context
+    monkeypatch.setattr(files, "_context", lambda s: dataclasses.replace(context(s), max_bytes=250_000))
+    got = files.multi_line_texts(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(i, t.strip(), lang) for i, t, lang in texts]
