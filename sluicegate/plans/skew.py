@@ -15,6 +15,10 @@ from sluicegate.sources.workspace import BROADCAST_BYTES, broadcast_if_small, ma
 HOT_ROWS = 1_000_000
 SPREAD = 256
 
+# Rows are first counted by this many hashes of their key; far fewer rows than HOT_ROWS share
+# one by chance, up to some 10 billion rows.
+KEY_BINS = 1 << 16
+
 _HOT, _SLOT = "_hot", "_slot"
 
 
@@ -23,6 +27,27 @@ def slot(spread_by: Column, slots: int = SPREAD) -> Column:
     return F.pmod(F.xxhash64(spread_by), F.lit(slots))
 
 
+def _hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys with at least `hot_rows` rows, None if there are none.
+
+    Counts per hash of the key, which are few and combined before their shuffle, tell where
+    such keys can be; only rows there are counted by the key itself, so that the keys of a
+    table without hot ones are not shuffled. Starts a job.
+    """
+    bin_of = F.pmod(F.xxhash64(*on), F.lit(KEY_BINS))
+    full = rows.groupBy(bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= hot_rows)
+    bins = [r["_bin"] for r in full.select("_bin").collect()]
+    if not bins:
+        return None
+    return (
+        rows.filter(bin_of.isin(bins))
+        .groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") >= hot_rows)
+        .select(*on)
+    )
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -42,14 +67,10 @@ def lookup_join(
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
     on = list(on)
-    hot = materialise(
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows)
-        .select(*on, F.lit(True).alias(_HOT)),
-        "hot_keys",
-    )
-    hot = broadcast_if_small(hot)
+    hot = _hot_keys(left, on, hot_rows)
+    if hot is None:
+        return left.join(right, on, how)
+    hot = broadcast_if_small(materialise(hot.select(*on, F.lit(True).alias(_HOT)), "hot_keys"))
     keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     marked = left.join(hot, on, "left").withColumn(
         _SLOT, F.when(F.col(_HOT) | keyless, slot(F.col(spread_by))).otherwise(F.lit(0).cast("bigint"))
