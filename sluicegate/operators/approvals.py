@@ -97,11 +97,15 @@ def fan_out(submissions: DataFrame, reviewers: DataFrame) -> DataFrame:
 
 
 def _with_token(
-    requests: DataFrame, approvals: DataFrame, request_id: str, as_of: str | None, hot_rows: int
+    requests: DataFrame,
+    approvals: DataFrame,
+    request_id: str,
+    as_of: str | None,
+    hot_rows: int,
+    fields: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Requests with their approval row and the state of the token. Tokens are unique in
-    `approvals`; one token may be used by any number of requests."""
-    fields = [c for c in ("template_id", "reviewer_email", "round") if c in approvals.columns]
+    """Requests with `fields` of their approval row and the state of the token. Tokens are
+    unique in `approvals`; one token may be used by any number of requests."""
     known = approvals.select(
         F.col("approval_token").alias("token"),
         *fields,
@@ -160,14 +164,27 @@ def apply_decisions(
     approvals = with_rounds(approvals)
     newest = approvals.groupBy("template_id").agg(F.max("round").alias("_newest"))
     # Both are read several times below.
-    asked = materialise(_with_token(decisions, approvals, "decision_id", as_of, hot_rows), "decisions")
+    fields = ("template_id", "reviewer_email", "round")
+    asked = materialise(_with_token(decisions, approvals, "decision_id", as_of, hot_rows, fields), "decisions")
     states = templates.select(F.col("id").alias("template_id"), F.col("status").alias("_status")).join(
         newest, "template_id", "left"
     )
+    is_pending = F.coalesce(F.col("_status") == "Pending Approval", F.lit(False))
+    of_template = Window.partitionBy("template_id")
+    states = materialise(
+        states.withColumns({"_open": F.max(is_pending).over(of_template), "_copies": F.count(F.lit(1)).over(of_template)}),
+        "states",
+    )
     at = F.struct("decided_at", "decision_id")
-    pending = states.filter(F.col("_status") == "Pending Approval").select("template_id", F.col("_newest").alias("round"))
-    same = ["template_id"] if strict_reference else ["template_id", "round"]
-    open_requests = asked.filter(F.col("token_state") == "valid").join(pending.select(*same), same, "left_semi")
+    # An unknown or used token says all by itself, and other decisions on templates that are
+    # not pending need the status only. The rest, far fewer rows, are joined again below.
+    by_token = F.col("token_state").isin("not_found", "used")
+    placed = materialise(
+        measured_lookup(asked.filter(~by_token), states, ["template_id"], "decision_id", "left", hot_rows), "placed"
+    )
+    open_rows = placed.filter(F.col("_open"))
+    valid = open_rows.filter((F.col("token_state") == "valid") & is_pending)
+    open_requests = valid if strict_reference else valid.filter(F.col("round") == F.col("_newest"))
     # First use of each token; a token belongs to one reviewer of one template.
     first_uses = materialise(
         open_requests.groupBy("token").agg(
@@ -195,9 +212,16 @@ def apply_decisions(
         .select("template_id", F.least("rejected_at", "completed_at").alias("closed_at"), "rejected_at", "completed_at")
     )
     uses = first_uses.select("token", F.col("at").alias("first_at"))
-    judged = measured_lookup(asked, uses, ["token"], "decision_id", "left", hot_rows)
-    situation = materialise(states.join(closed, "template_id", "left"), "situation")
-    judged = measured_lookup(judged, situation, ["template_id"], "decision_id", "left", hot_rows)
+    judged = measured_lookup(open_rows, uses, ["token"], "decision_id", "left", hot_rows)
+    judged = measured_lookup(judged, materialise(closed, "closed"), ["template_id"], "decision_id", "left", hot_rows)
+    others = placed.filter(~F.coalesce("_open", F.lit(False)))
+    # A decision comes once for each row of its template, should that be there repeatedly.
+    repeated = states.filter("_copies > 1").select("template_id", F.col("_copies").cast("int")).distinct()
+    used = measured_lookup(
+        asked.filter(by_token), materialise(repeated, "repeated"), ["template_id"], "decision_id", "left", hot_rows
+    ).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.coalesce("_copies", F.lit(1)))))
+    for settled in (others, used):
+        judged = judged.unionByName(settled, allowMissingColumns=True)
     in_time = F.col("closed_at").isNull() | (at <= F.col("closed_at"))
     token_taken = (at > F.col("first_at")) & (F.col("closed_at").isNull() | (F.col("first_at") <= F.col("closed_at")))
     outcome = (

@@ -253,3 +253,26 @@ def test_fan_out_expires_after_thirty_days(spark):
         ("a", None, False, NOW + timedelta(days=30)),
         ("b", None, False, NOW + timedelta(days=30)),
     ]
+
+
+def test_stored_tables_hold_what_is_asked_for(spark, monkeypatch):
+    """States of tokens store no other fields; decisions settled by their token are not joined on."""
+    kept = {}
+
+    def record(df, label, folder=None):
+        kept[label] = df
+        return df
+
+    monkeypatch.setattr(approvals, "materialise", record)
+    known = spark.createDataFrame([token("good"), token("spent", used=True)], TOKENS)
+    requests = [(i, NOW, name, "approve") for i, name in enumerate(("good", "spent", "missing"))]
+    decisions = spark.createDataFrame(requests, REQUESTS)
+    approvals.token_state(decisions, known)
+    assert not {"template_id", "reviewer_email", "round"} & set(kept["tokens"].columns)
+    templates = spark.createDataFrame([(1, "Pending Approval"), (1, "Draft")], "id int, status string")
+    reviewers = spark.createDataFrame([(1, "r@x.test", "required")], "template_id int, reviewer_email string, reviewer_type string")
+    got = approvals.apply_decisions(decisions, known, templates, reviewers)
+    assert sorted((r.decision_id, r.outcome) for r in got.collect()) == [
+        (0, "not_pending"), (0, "recorded"), (1, "used"), (1, "used"), (2, "not_found"),
+    ]
+    assert {r.token for r in kept["placed"].collect()} == {"good"}

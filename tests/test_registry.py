@@ -260,3 +260,15 @@ def test_config_rejects_bad_settings():
         TemplateConfig(columns=(), write_mode="merge")
     with pytest.raises(ValueError, match="bad row action"):
         TemplateConfig(columns=(), bad_row_action="ignore")
+
+
+def test_rounds_of_lineages_broadcast_nothing_by_hint(spark, monkeypatch):
+    from sluicegate.operators.lineage import lineages
+    from sluicegate.plans import skew
+
+    def refuse(*_):
+        raise AssertionError("a side that grows with the templates was measured for a broadcast")
+
+    monkeypatch.setattr(skew, "sized", refuse)
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id int, parent_template_id int")
+    assert sorted((r.id, r.root_id, r.steps) for r in lineages(chain).collect()) == [(i, 0, i) for i in range(40)]
