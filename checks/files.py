@@ -249,7 +249,7 @@ def _by_parts(spark: SparkSession, sf: str, folder: str, parts: int) -> list[str
     links would do."""
     month = F.floor(F.col("upload_id") / 1000)
     rows = view(spark, sf, "filed_orders").select("*", (month % parts).alias("part"))
-    ordered = rows.repartition("upload_id").sortWithinPartitions("upload_id", "order_number")
+    ordered = rows.repartition("upload_id").sortWithinPartitions("part", "upload_id", "order_number")
     ordered.select("part", "upload_id", *NAMES).write.partitionBy("part", "upload_id").option("header", True).csv(folder)
     return [f"{folder}/part={i}" for i in range(parts)]
 

@@ -27,9 +27,8 @@ from sluicegate.sources.files import (
     FILE_NAME,
     NumberedScan,
     data_rows,
-    empty_files,
+    every_file,
     header_rows,
-    list_files,
     number_records,
     open_quotes,
     path_below,
@@ -39,7 +38,7 @@ from sluicegate.sources.files import (
 )
 from sluicegate.sources.records import OPEN_LINE, RecordScan, can_scan, scan_records
 from sluicegate.sources.sinks import write_errors, write_target, write_validated
-from sluicegate.sources.workspace import broadcast_if_small, materialise, new_folder, remove_folder, sized
+from sluicegate.sources.workspace import bound_listings, broadcast_if_small, materialise, new_folder, remove_folder, sized
 
 COLUMN_FIELDS = "template_id string, column_name string, column_order int"
 STEPS = ("file_uploaded", "schema_validated", "constraints_checked", "writing_to_catalog")
@@ -104,6 +103,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     more than once (staged records, errors, verdicts) is a table in the shared folder, so
     a lost executor repeats tasks, not the scan.
     """
+    bound_listings(spark)
     template_id = str(cfg.template_id)
     columns, templates = _config_frames(spark, cfg)
     times = {STEPS[0]: ctx.uploaded_at}
@@ -111,7 +111,7 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
         below = path_below(spark, *([paths] if isinstance(paths, str) else paths))
         ctx = dataclasses.replace(ctx, upload_id=ctx.upload_id or below, source_file=ctx.source_file or below)
 
-    listed = list_files(spark, paths).unionByName(empty_files(spark, paths))
+    listed = every_file(spark, paths)
     # What the result gives out stays until it is released; the rest goes at the end.
     staging, kept = new_folder(spark, "ingest"), new_folder(spark, "ingest-result")
     gated = materialise(
@@ -159,7 +159,10 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], cfg: TemplateConfig,
     )
     verdicts = materialise(
         verdict(
-            record_counts(numbered.splits).withColumn("template_id", F.lit(template_id)), errors, templates, uploads
+            record_counts(numbered.splits).withColumn("template_id", F.lit(template_id)),
+            errors,
+            F.broadcast(templates),  # one row
+            uploads,
         ),
         "verdicts",
         kept,

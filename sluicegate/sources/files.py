@@ -224,10 +224,17 @@ def open_quotes(
 def list_files(spark: SparkSession, folder: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Files below a folder: path, name, length, modificationTime. Contents are not read.
     Spark's file sources pass over files of length 0; `empty_files` finds those."""
+    return _described(_listing(spark, folder, pattern))
+
+
+def _listing(spark: SparkSession, folder: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(folder if isinstance(folder, str) else list(folder))
+    return reader.load(folder if isinstance(folder, str) else list(folder))
+
+
+def _described(files: DataFrame) -> DataFrame:
     return files.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime"
     )
@@ -237,9 +244,11 @@ def empty_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
     """Files of length 0 below a folder, in the form of `list_files`, without a time. They are
     the files of Spark's own listing, which many tasks make where there are many folders,
     that no scan shows; the driver holds names only, as it does for every scan."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = reader.load(folder if isinstance(folder, str) else list(folder))
-    names = spark.createDataFrame(pd.DataFrame({FILE: files.inputFiles()}, dtype=object), f"{FILE} string")
+    return _without_rows(_listing(spark, folder))
+
+
+def _without_rows(files: DataFrame) -> DataFrame:
+    names = files.sparkSession.createDataFrame(pd.DataFrame({FILE: files.inputFiles()}, dtype=object), f"{FILE} string")
     listed = names.select(F.regexp_replace(plain_path(F.col(FILE)), "^file:/+", "file:/").alias("path"))
     return listed.join(files.select("path"), "path", "left_anti").select(
         "path",
@@ -249,6 +258,12 @@ def empty_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
     )
 
 
+def every_file(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
+    """`list_files` and `empty_files` in one, from a single listing."""
+    files = _listing(spark, folder)
+    return _described(files).unionByName(_without_rows(files))
+
+
 def existing_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """`wanted` (path) with a flag telling whether each file exists below the folder."""
     there = list_files(spark, folder).select("path", F.lit(True).alias("_there"))

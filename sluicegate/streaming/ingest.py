@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sluicegate.model import TemplateConfig
 from sluicegate.plans.ingest import IngestContext, ingest
 from sluicegate.sources.files import empty_files, literal_path, path_below
-from sluicegate.sources.workspace import any_path
+from sluicegate.sources.workspace import any_path, bound_listings
 
 BATCH = "ingest_batch"
 
@@ -33,12 +33,14 @@ def ingest_stream(
     name is that of the query, which the checkpoint keeps, and the batch number, so that
     streams may share their tables. An upload is known by its path below `folder`.
 
-    Spark's file stream counts empty files as new ones but shows no rows for them. So every
-    batch also takes the empty files of the folder for which no other batch of the query left a
-    receipt (the first event of an upload) in the history; they fail like any other.
+    Spark's file stream counts empty files as new ones but shows no rows for them. So the first
+    batch of a start also takes the empty files of the folder for which no other batch of the
+    query left a receipt (the first event of an upload) in the history; they fail like any other.
+    Like Spark's own listing, which all batches of a start share, that is one look at the folder.
     """
     below = path_below(spark, folder)
     ctx = dataclasses.replace(ctx, upload_id=ctx.upload_id or below, source_file=ctx.source_file or below)
+    bound_listings(spark)
     names = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -47,12 +49,17 @@ def ingest_stream(
         .load(folder)
         .select("path")
     )
+    looked = False
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        nonlocal looked
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         run_id = f"{query}-{batch_id}"
-        new = batch.select("path").distinct().unionByName(_unreceived(batch.sparkSession, folder, ctx, query, batch_id))
-        paths = [literal_path(row.path) for row in new.collect()]
+        new = batch.select("path")
+        if not looked:
+            new = new.unionByName(_unreceived(batch.sparkSession, folder, ctx, query, batch_id))
+        paths = [literal_path(path) for path in sorted({row.path for row in new.collect()})]
+        looked = True
         if not paths:
             return
         slice_of_batch = (BATCH, run_id) if cfg.write_mode == "append" else None

@@ -530,3 +530,46 @@ def test_landed_texts_keep_below_the_upload_limit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "_context", lambda s: dataclasses.replace(context(s), max_bytes=250_000))
     got = files.multi_line_texts(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(i, t.strip(), lang) for i, t, lang in texts]
+
+
+def test_a_start_looks_at_its_folder_once(spark, tmp_path, monkeypatch):
+    """However many batches it has; files that lie there since go to the next start."""
+    looks = []
+
+    def looked_at(session, folder):
+        looks.append(folder)
+        return files.empty_files(session, folder)
+
+    monkeypatch.setattr("sluicegate.streaming.ingest.empty_files", looked_at)
+    landing, ctx = tmp_path / "landing", context(tmp_path)
+
+    def run():
+        ingest_stream(spark, str(landing), SALES, ctx, str(tmp_path / "checkpoint"), files_per_batch=1).awaitTermination()
+        events = spark.read.parquet(ctx.history_path).filter("status in ('completed', 'failed')")
+        return sorted((r.upload_id, r.status) for r in events.collect())
+
+    for i in range(3):
+        put(landing / f"d{i}", "a.csv", f"code,amount,internal\na{i},1,i\n")
+    put(landing / "d0", "empty.csv", "")
+    expected = [("d0/a.csv", "completed"), ("d0/empty.csv", "failed"), ("d1/a.csv", "completed"), ("d2/a.csv", "completed")]
+    assert run() == expected
+    assert len(looks) == 1
+    put(landing / "d1", "late.csv", "")
+    assert run() == [*expected[:3], ("d1/late.csv", "failed"), expected[3]]
+
+
+def test_listings_of_many_folders_take_bounded_tasks(spark, tmp_path):
+    """A task of a listing looks at many folders; more than 32 are listed by tasks at all."""
+    for i in range(70):
+        put(tmp_path / "landing" / f"d{i:02}", "a.csv", f"code,amount,internal\na{i},1,i\n" if i % 35 else "")
+    before = spark.conf.get(workspace.LISTING_TASKS)
+    try:
+        spark.conf.unset(workspace.LISTING_TASKS)
+        outcomes = ingest(spark, str(tmp_path / "landing"), SALES, context(tmp_path)).verdicts
+        assert outcomes.groupBy("outcome").count().orderBy("outcome").collect() == [("completed", 68), ("failed", 2)]
+        assert int(spark.conf.get(workspace.LISTING_TASKS)) == max(32, 4 * spark.sparkContext.defaultParallelism)
+        spark.conf.set(workspace.LISTING_TASKS, "7")
+        workspace.bound_listings(spark)
+        assert spark.conf.get(workspace.LISTING_TASKS) == "7"
+    finally:
+        spark.conf.set(workspace.LISTING_TASKS, before)
